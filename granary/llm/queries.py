@@ -9,6 +9,7 @@ from granary.llm.decontaminate import find_contamination
 from granary.llm.exact_dedup import assign_copies
 from granary.llm.line_dedup import repeated_lines
 from granary.llm.mixing import cyclic_weights, mix_plan
+from granary.llm.secrets import find_secrets
 from granary.llm.sharding import assign_shards
 
 
@@ -21,6 +22,17 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "crf")]
+    base = joined(F.filter("spans", lambda x: x["kind"] != "crf"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_copies(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op4_exact_dedup, op5_extendible_sharding, op8_benchmark_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op8_benchmark_decontamination, op10_line_dedup)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
