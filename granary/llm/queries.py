@@ -9,6 +9,8 @@ from granary.llm.decontaminate import find_contamination
 from granary.llm.exact_dedup import assign_copies
 from granary.llm.line_dedup import repeated_lines
 from granary.llm.mixing import cyclic_weights, mix_plan
+from granary.llm.near_dup import near_duplicates
+from granary.llm.quality import score_quality, train_quality
 from granary.llm.secrets import find_secrets
 from granary.llm.sharding import assign_shards
 
@@ -22,6 +24,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_bad", "meta_bad", "bad", "keep")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,10 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -54,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op8_benchmark_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_line_dedup)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, slices, string_bytes
+from granary.llm.common import Words, bounded_sample, slices, string_bytes
 
 #: The rules, their order, and the least length of what they find.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -239,8 +239,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are scanned. Ids may repeat or be null; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    sample = rows.filter(F.col("body").isNotNull()).orderBy(F.xxhash64(F.lit(5), "id", "body"), F.length("body")).limit(train_docs)
-    model = docs.sparkSession.sparkContext.broadcast(train([r["body"] for r in sample.collect()]))
+    sample = bounded_sample(rows.filter(F.col("body").isNotNull()), train_docs, F.col("id"), F.col("body"))
+    model = docs.sparkSession.sparkContext.broadcast(train([r["body"] for r in sample]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
