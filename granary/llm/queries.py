@@ -13,6 +13,7 @@ from granary.llm.near_dup import near_duplicates
 from granary.llm.quality import score_quality, train_quality
 from granary.llm.secrets import find_secrets
 from granary.llm.sharding import assign_shards
+from granary.llm.suffix_dedup import repeated_strings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +61,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
