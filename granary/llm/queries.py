@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.llm.decontaminate import find_contamination
 from granary.llm.exact_dedup import assign_copies
 from granary.llm.line_dedup import repeated_lines
+from granary.llm.lm_score import score_documents
 from granary.llm.mixing import cyclic_weights, mix_plan
 from granary.llm.near_dup import near_duplicates
 from granary.llm.quality import score_quality, train_quality
@@ -51,6 +52,10 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -71,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op6_attention_lm, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
