@@ -22,6 +22,8 @@ from granary.llm.common import _BYTE, join_groups, materialize, mix, powers, sli
 
 #: Bytes of a repeated string; bytes of an anchor's hash; bytes of pieces in a block; places of an anchor in a block.
 LENGTH, ANCHOR, BLOCK_BYTES, BLOCK_PLACES = 400, 24, 2 << 20, 2048
+#: Bytes of the stretches inside a window that need an anchor of their own.
+STRETCH = 104
 #: A longer text is read in segments that overlap by a window.
 SEGMENT = 1 << 22
 _PLACE_BITS = 23
@@ -50,25 +52,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def leaders(data: np.ndarray, ends: np.ndarray, length: int):
-    """Runs of windows that have one anchor: first window, number of windows, place and hash of the anchor.
+def anchors_at(data: np.ndarray, ends: np.ndarray, length: int):
+    """Start of each stretch of `length` bytes that stays in its text, place of its anchor, and all hashes.
 
-    ends holds, for each byte, where its text ends; windows that cross it are left out.
+    ends holds, for each byte, where its text ends.
     """
-    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
     hashes = rolling(data, ANCHOR)
-    places = np.arange(len(hashes), dtype=np.uint64)
-    order = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | places
+    order = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(hashes), dtype=np.uint64)
     at = (sliding_min(order, length - ANCHOR + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
     start = np.flatnonzero(np.arange(len(at)) + length <= ends[: len(at)])
-    at = at[start]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (np.diff(start) > 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(at)))
-    return start[first], size, at[first], hashes[at[first]]
+    return start, at[start], hashes
 
 
 def segments(offsets: np.ndarray, length: int):
@@ -82,16 +78,61 @@ def segments(offsets: np.ndarray, length: int):
                 break
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int):
-    """For all rows: row, first window (in its row), number of windows, place of the anchor (in its row), its hash."""
-    out = []
+def segment_rows(data: np.ndarray, offsets: np.ndarray, length: int):
+    """The segments with, for each byte, its row and where the row ends in the segment."""
     for lo, hi, begin, end in segments(offsets, length):
         inner = np.clip(offsets[lo : hi + 1], begin, end) - begin
-        ends = np.repeat(inner[1:], np.diff(inner))
-        start, size, at, hashes = leaders(data[begin:end], ends, length)
-        row = np.searchsorted(offsets[lo : hi + 1] - begin, start, "right") - 1 + lo
-        out.append((row, start + begin - offsets[row], size, at + begin - offsets[row], hashes))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
+        row = np.repeat(np.arange(lo, hi), np.diff(inner))
+        yield begin, data[begin:end], row, inner[1:][row - lo]
+
+
+def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
+    """Row, place in it, and hash of the anchors of all stretches of texts that are long enough for a window."""
+    out = []
+    long = np.diff(offsets) >= length
+    for begin, part, row, ends in segment_rows(data, offsets, length):
+        _, at, hashes = anchors_at(part, ends, min(STRETCH, length))
+        at = np.unique(at)
+        at = at[long[row[at]]]
+        out.append((row[at], at + begin - offsets[row[at]], hashes[at]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row, at, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, at, hashes
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, keys: np.ndarray, number: np.ndarray, width: int):
+    """Runs of candidate windows with one anchor: row, first window (in its row), windows, hash, places of the anchor.
+
+    keys holds row * width + place of the repeated anchors, in order, and number their places.
+    """
+    out = []
+    stretch = min(STRETCH, length)
+    for begin, part, row, ends in segment_rows(data, offsets, length):
+        start, at, hashes = anchors_at(part, ends, length)
+        inner, near, _ = anchors_at(part, ends, stretch)
+        if not len(start) or not len(keys):
+            continue
+
+        def places(at, row=row, begin=begin):
+            own = row[at] * width + at + begin - offsets[row[at]]
+            spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            return np.where(keys[spot] == own, number[spot], 0)
+
+        lone = np.zeros(len(part) + 1, np.int64)
+        unique, back = np.unique(near, return_inverse=True)
+        lone[inner + 1] = (places(unique) == 0)[back]
+        np.cumsum(lone, out=lone)
+        keep = lone[start + length - stretch + 1] == lone[start]
+        start, at = start[keep], at[keep]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (np.diff(start) > 1)
+        first = np.flatnonzero(new)
+        size, start, at = np.diff(np.append(first, len(at))), start[first], at[first]
+        out.append((row[start], start + begin - offsets[row[start]], size, hashes[at], places(at)))
+    if not out:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def lists(values: np.ndarray, edges: np.ndarray, kind) -> pa.Array:
@@ -103,7 +144,7 @@ def read_anchors(batches, length: int):
     for batch in batches:
         data, offsets = string_bytes(batch.column("body"))
         n = batch.num_rows
-        row, _, _, at, hashes = runs_of(data, offsets, length)
+        row, at, hashes = all_anchors(data, offsets, length)
         key = row * (int(np.diff(offsets).max(initial=0)) + 1) + at
         order = np.unique(key, return_index=True)[1]
         edges = np.searchsorted(row[order], np.arange(n + 1))
@@ -118,17 +159,12 @@ def cut_pieces(batches, length: int):
     """The pieces of each document around anchors that stand elsewhere too. Neighbours with one key are one piece."""
     for batch in batches:
         data, offsets = string_bytes(batch.column("body"))
-        row, start, size, at, hashes = runs_of(data, offsets, length)
         width = int(np.diff(offsets).max(initial=0)) + 1
         marks, counts = batch.column("marks"), batch.column("counts")
         owner = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy())
         keys = owner * width + marks.flatten().to_numpy()
         order = np.argsort(keys)
-        keys, number = keys[order], counts.flatten().to_numpy()[order]
-        own = row * width + at
-        spot = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        hit = np.flatnonzero(keys[spot] == own) if len(keys) else np.zeros(0, np.int64)
-        row, start, size, hashes, number = row[hit], start[hit], size[hit], hashes[hit], number[spot[hit]]
+        row, start, size, hashes, number = runs_of(data, offsets, length, keys[order], counts.flatten().to_numpy()[order], width)
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]) | (start[1:] != start[:-1] + size[:-1])
         first = np.flatnonzero(new)
@@ -154,43 +190,55 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_direct(at: np.ndarray, words: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes in the order of their first `length` bytes. windows: a hash of these, so that equal ones wait together."""
-    n = len(words)
-    order = np.argsort(words[at], kind="stable")
-    at = at[order]
-    key = words[at]
-    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(at) else order
-    depth = 8
-    while depth < length and len(at):
-        size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
-        if not len(open_):
-            break
-        own, hashes = group[open_], windows[at[open_]]
-        low, high = np.full(len(size), np.iinfo(np.uint64).max), np.zeros(len(size), np.uint64)
-        np.minimum.at(low, own, hashes)
-        np.maximum.at(high, own, hashes)
-        open_ = open_[low[own] != high[own]]
+def sort_direct(at: np.ndarray, words: np.ndarray, windows: np.ndarray, matter: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes in the order of their first `length` bytes, those that don't matter by their first 8 only.
+
+    windows is a hash of `length` bytes: of equal ones one is sorted. Groups that are alike so far are parted by their
+    next 8 bytes; groups whose next 8 bytes agree are left as they are.
+    """
+    own = at[matter[at]]
+    _, sorted_, back = np.unique(windows[own], return_index=True, return_inverse=True)
+    pick = np.argsort(words[own[sorted_]], kind="stable")
+    lead = own[sorted_][pick]
+    number = np.empty(len(pick), np.int64)
+    key = words[lead]
+    fresh = np.ones(len(lead), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    group = np.cumsum(fresh) - 1
+    open_ = np.flatnonzero(np.bincount(group)[group] > 1) if len(lead) else pick
+    group = group[open_]
+    kept = np.arange(len(lead))
+    for depth in range(8, length, 8):
         if not len(open_):
             break
-        own = group[open_]
-        ahead = np.where(at[open_] + depth < n, words[np.minimum(at[open_] + depth, n - 1)], np.uint64(0))
-        order = np.lexsort((ahead, own))
-        at[open_] = at[open_[order]]
-        own, ahead = own[order], ahead[order]
-        fresh = np.zeros(len(at), bool)
-        fresh[0] = True
-        fresh[1:] = group[1:] != group[:-1]
-        fresh[open_[1:]] |= (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
+        place = lead[kept[open_]] + depth
+        ahead = np.where(place < len(words), words[np.minimum(place, len(words) - 1)], np.uint64(0))
+        together = group[1:] == group[:-1]
+        uneven = np.zeros(int(group[-1]) + 1, bool)
+        uneven[group[1:][together & (ahead[1:] != ahead[:-1])]] = True
+        part = np.flatnonzero(uneven[group])
+        if len(part):
+            order = part[np.lexsort((ahead[part], group[part]))]
+            kept[open_[part]], ahead[part] = kept[open_[order]], ahead[order]
+        fresh = np.ones(len(open_), bool)
+        fresh[1:] = ~together | (ahead[1:] != ahead[:-1])
         group = np.cumsum(fresh) - 1
-        depth += 8
-    return at
+        more = np.bincount(group)[group] > 1
+        open_, group = open_[more], group[more]
+    number[pick[kept]] = np.arange(len(kept))
+    rank = np.empty(len(at))
+    rank[matter[at]] = number[back]
+    rest = ~matter[at]
+    rank[rest] = np.searchsorted(key, words[at[rest]], "right") - 0.5
+    return at[np.lexsort((words[at], rank))]
 
 
-def suffix_array(text: np.ndarray, words: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, words: np.ndarray, windows: np.ndarray, last: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """All suffixes in the order of their first `length` bytes, in two stages.
 
+    last and ends: each piece's last window and its end. What stands behind the first small suffix after the last
+    window has no bearing on any window.
+
     A suffix is small if it is smaller than the one that starts a byte later. Small suffixes are sorted directly. The
     buckets of first bytes are then scanned upwards: in each, the large suffixes stand before the small ones, in the
     order in which their successors were met, those that go on with the same byte last.
@@ -201,7 +249,14 @@ def suffix_array(text: np.ndarray, words: np.ndarray, windows: np.ndarray, lengt
     small = np.zeros(n, bool)
     inner = then < n - 1
     small[inner] = text[then[inner]] < text[then[inner] + 1]
-    direct = sort_direct(np.flatnonzero(small), words, windows, length)
+    at = np.flatnonzero(small)
+    after = np.append(at, n)[np.searchsorted(at, last)]
+    spare = after + 1 < ends
+    change = np.zeros(n + 1, np.int64)
+    change[after[spare] + 1] -= 1
+    change[ends[spare]] += 1
+    matter = np.cumsum(change)[:-1] == 0
+    direct = sort_direct(at, words, windows, matter, length)
     head = text[direct]
     edge = np.searchsorted(head, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -248,7 +303,7 @@ def repeated_windows(pieces: list[bytes], windows: np.ndarray, times: np.ndarray
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     words = words_at(text)
     hashes = np.concatenate([rolling(text, length), np.arange(length - 1, dtype=np.uint64)])
-    array = suffix_array(text, words, hashes, length)
+    array = suffix_array(text, words, hashes, starts + windows - 1, starts + sizes, length)
     piece = np.repeat(np.arange(len(pieces)), sizes)[array]
     inside = array - starts[piece]
     valid = inside < windows[piece]
