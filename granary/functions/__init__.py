@@ -1 +1 @@
-
+"""Column functions: vectors, quality signals, boxes."""

@@ -1 +1 @@
-
+"""Queries over the views, and their SQL."""

@@ -1 +1 @@
-
+"""Streams of observations and frames."""
