@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from granary.llm.common import Words, bounded_sample, slices, string_bytes
 
 #: Labelled documents and unlabelled documents to learn from at most; words that the text view knows at most.
-LABELLED_DOCS, POOL_DOCS, VOCABULARY = 9000, 2000, 2048
+LABELLED_DOCS, POOL_DOCS, VOCABULARY = 5000, 1500, 1536
 #: Rounds of co-training; calibrated certainty from which a pseudo-label counts, and the most of them a round and side.
 ROUNDS, SURE, EXCHANGED = 3, 0.97, 200
 #: Bins for the values of the metadata columns; documents whose combined chance of being bad reaches LIMIT are rejected.
