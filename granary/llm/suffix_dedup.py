@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from granary.llm.common import _BYTE, join_groups, materialize, mix, powers, slices, string_bytes
 
 #: Bytes of a repeated string; bytes of an anchor's hash; bytes of pieces in a block; places of an anchor in a block.
-LENGTH, ANCHOR, BLOCK_BYTES, BLOCK_PLACES = 400, 24, 2 << 20, 2048
+LENGTH, ANCHOR, BLOCK_BYTES, BLOCK_PLACES = 400, 24, 2 << 20, 4096
 #: Bytes of the stretches inside a window that need an anchor of their own.
 STRETCH = 104
 #: A longer text is read in segments that overlap by a window.
