@@ -47,7 +47,7 @@ class TextRows:
             shapes.append(np.stack([
                 np.diff(symbols[w.offsets]) / length * 5, part(again) / size, 1 - np.bincount(pairs[0], minlength=n) / size,
                 part(odd >= 2) / size, part((odd > 0) & (odd == w.ends - w.starts)) / size * 3, np.log1p(w.counts) / 8,
-                np.minimum((w.ends - w.starts).sum() and part(w.ends - w.starts) / size, 20) / 10, (w.counts == 0).astype(float),
+                np.minimum(part(w.ends - w.starts) / size, 20) / 10, (w.counts == 0).astype(float),
             ], 1))
             at += n
         none = np.zeros(0, np.int64)
