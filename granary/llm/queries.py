@@ -12,7 +12,7 @@ from granary.llm.lm_score import score_documents
 from granary.llm.mixing import cyclic_weights, mix_plan
 from granary.llm.near_dup import near_duplicates
 from granary.llm.quality import score_quality, train_quality
-from granary.llm.secrets import find_secrets
+from granary.llm.secrets import KINDS, find_secrets
 from granary.llm.sharding import assign_shards
 from granary.llm.suffix_dedup import repeated_strings
 
@@ -38,7 +38,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "crf")]
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     base = joined(F.filter("spans", lambda x: x["kind"] != "crf"))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 

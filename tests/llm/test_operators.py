@@ -123,6 +123,22 @@ def test_secrets(spark):
     assert got[1] == [] and got[2] == []
 
 
+def test_secret_rules(spark):
+    """The query's base spans on all documents, by the rules as they are written."""
+    assign = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = {r["doc_id"]: r for r in queries.op3_secret_scan(spark, DATA).collect()}
+    for i, t in documents(spark).select("doc_id", "text").collect():
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        spans = [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found)]
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
+        assert set(spans) <= set(r["spans"].split(","))
+
+
 def test_mixing(spark):
     plan = mix_plan(documents(spark), cyclic_weights(5, 2, 1)).collect()
     assert len(plan) == documents(spark).count()
