@@ -74,6 +74,12 @@ def oracle_sql() -> dict[str, str]:
         "q_box_iou": DET + """, m AS (SELECT image, det, part, supp, greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, least(y2, b2) - greatest(y1, b1)) AS common,
             (x2 - x1) * (y2 - y1) AS s, (a2 - a1) * (b2 - b1) AS r FROM d JOIN t USING (image))
             SELECT image, det, part, supp, round(common / greatest(1e-6, s + r - common), 6) AS iou FROM m""",
+        "q_person_match": DET + """, m AS (SELECT image, (det * 1000000 + part) * 10000 + supp AS id, score, x1, y1, x2, y2, a1, b1, a2, b2, (a1 + a2) / 2 AS fx, (b1 + b2) / 2 AS fy, greatest(1, a2 - a1, b2 - b1) AS z,
+            greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, least(y2, b2) - greatest(y1, b1)) AS common, (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) AS areas
+            FROM d JOIN t USING (image) WHERE det <> tdet OR part <> tpart OR supp <> tsupp),
+            w AS (SELECT *, round(4 * (common / greatest(1e-6, areas - common)) + exp(-0.5 * (sqrt((fx - (x1 + x2) / 2) ** 2 + (fy - (y1 + y2) / 2) ** 2) / z)) + 0.1 * score, 9) AS weight FROM m),
+            b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY image ORDER BY weight DESC, id) = 1)
+            SELECT t.image, CASE WHEN fx BETWEEN x1 - z AND x2 + z AND fy BETWEEN y1 - z AND y2 + z THEN id END AS person FROM t LEFT JOIN b USING (image)""",
         "q_hamming_pairs": """WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END::HUGEINT)), lambda a, x: a * 2 + x) AS h FROM embeddings)
             SELECT a.vec_id AS "left", b.vec_id AS "right", bit_count(xor(a.h, b.h))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 16""",
         "q_anti_reference": "SELECT vec_id AS media_id, label FROM embeddings WHERE vec_id >= 50",

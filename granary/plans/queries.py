@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from granary.functions import boxes, signals
 from granary.functions.vectors import cosine, weighted_centroid
+from granary.operators import crops
+from granary.operators.matching import match_person, suppress
 from granary.operators.neighbours import hamming_pairs, reject_outliers
 from granary.operators.retain import retain
 from granary.operators.select import greedy_select
@@ -110,6 +112,33 @@ def q_box_iou(spark, sf_dir):
     return d.join(_targets(d), "image").select("image", "det", "part", "supp", F.round(boxes.iou(F.col("box"), F.col("t.box")), 6).alias("iou"))
 
 
+def _boxes(d: DataFrame) -> DataFrame:
+    return d.select("image", ((F.col("det") * 1_000_000 + F.col("part")) * 10_000 + F.col("supp")).alias("id"), "box", "score")
+
+
+def q_person_match(spark, sf_dir):
+    """The other detection of each image that goes best with its target."""
+    d = detections(spark, sf_dir)
+    faces = _targets(d).select("image", F.col("t.box").alias("face"), F.struct("t.det", "t.part", "t.supp").alias("own"))
+    rest = d.join(faces, "image").filter(F.struct("det", "part", "supp") != F.col("own"))
+    return match_person(faces.select("image", "face"), _boxes(rest), "image").select("image", F.col("person.id").alias("person"))
+
+
+def q_suppress(spark, sf_dir):
+    return suppress(_boxes(detections(spark, sf_dir)), "image").select("image", "id", "score")
+
+
+def q_safe_bounds(spark, sf_dir):
+    """The part of each image's frame of 1200 by 1000 that shows its target and nothing of other detections."""
+    d = detections(spark, sf_dir)
+    both = d.join(_targets(d), "image")
+    other = F.struct("det", "part", "supp") != F.struct("t.det", "t.part", "t.supp")
+    rows = both.groupBy("image", "t").agg(F.sort_array(F.collect_list(F.when(other, F.col("box")))).alias("others"))  # a few lines an order
+    width, height = F.lit(1200.0), F.lit(1000.0)
+    region = crops.parsing_region(F.col("t.box"), width, height)
+    return rows.select("image", crops.safe_bounds(width, height, F.col("t.box"), F.col("others"), region).alias("b")).select("image", "b.x1", "b.y1", "b.x2", "b.y2")
+
+
 def q_hamming_pairs(spark, sf_dir):
     return hamming_pairs(observations(spark, sf_dir), "media_id", "image_hash", 16).select("left", "right", "distance")
 
