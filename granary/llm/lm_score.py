@@ -22,12 +22,14 @@ VOCABULARY_FILE, IDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50257
 END = IDS - 1
 #: Classes, those that are one id each, width of the model, ids a window sees, ids by which windows advance.
 CLASSES, SINGLE, WIDTH, SEEN, ADVANCE = 128, 96, 16, 16, 12
-#: Documents that the driver begins training on, its steps, windows to a step; tasks go on with one window in SHARE.
-FIRST_DOCS, FIRST_STEPS, BATCH, SHARE, RATE = 800, 600, 256, 16, 0.05
+#: Documents that the driver begins training on, its steps, windows to a step; tasks go on with all windows.
+FIRST_DOCS, FIRST_STEPS, BATCH, RATE = 800, 600, 256, 0.05
+#: Shares of the attention model that are tried.
+MIXES = np.arange(1, 20) / 20
 #: Words whose counts travel to all tasks at most, cached words of a task, tasks that sum what tasks gathered.
 HEAD_WORDS, CACHE_WORDS, SUM_TASKS = 1 << 17, 1 << 20, 32
-#: Windows that are scored together, so that their arrays stay in a core's cache.
-SCORED = 192
+#: Windows that are scored together, so that their arrays stay in a core's cache; windows that wait for training at most.
+SCORED, TRAINED = 192, 1 << 14
 
 
 class Subwords:
@@ -194,8 +196,17 @@ class Model:
     def score(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text; each id is scored once, in the first window that sees it."""
         n = len(begin) - 1
-        classes = self.classes[ids]
         out = np.zeros(n)
+        for row, p, q, live in self.chances(ids, begin):
+            out += np.bincount(row, weights=(np.log10(self.mix * p + (1 - self.mix) * q) * live).sum(1), minlength=n)
+        inner = np.ones(len(ids), bool)
+        inner[begin[:-1]] = False
+        text = np.repeat(np.arange(n), np.diff(begin))
+        return out + np.bincount(text[inner], weights=self.within[ids[inner]], minlength=n)
+
+    def chances(self, ids: np.ndarray, begin: np.ndarray):
+        """Rows of some windows, the probability of their targets by attention and by neighbours, and which count."""
+        classes = self.classes[ids]
         row, at, left = window_places(begin)
         head = at == begin[row]
         for from_, pick in ((0, np.flatnonzero(head)), (SEEN - ADVANCE, np.flatnonzero(~head))):
@@ -203,13 +214,7 @@ class Model:
                 own = pick[lo : lo + SCORED]
                 x, target, live = window_rows(classes, at[own], left[own])
                 target, live, before = target[:, from_:], live[:, from_:], x[:, from_:]
-                p = self.attention.chances(x, from_, target).reshape(target.shape)
-                p = self.mix * p + (1 - self.mix) * self.after[before, target]
-                out += np.bincount(row[own], weights=(np.log10(p) * live).sum(1), minlength=n)
-        inner = np.ones(len(ids), bool)
-        inner[begin[:-1]] = False
-        text = np.repeat(np.arange(n), np.diff(begin))
-        return out + np.bincount(text[inner], weights=self.within[ids[inner]], minlength=n)
+                yield row[own], self.attention.chances(x, from_, target).reshape(target.shape), self.after[before, target], live
 
 
 def class_table(counts: np.ndarray) -> np.ndarray:
@@ -228,14 +233,63 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+def encoded(batches, ranks: bytes):
+    """Words, their hashes, ids and where each text's ids begin, slice by slice."""
+    subwords = Subwords(ranks)
+    for batch in batches:
+        data, offsets = string_bytes(batch.column("body"))
+        for lo, hi in slices(offsets):
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            hashes = words.hashes()
+            yield hashes, *subwords.sequences(words, hashes)
+
+
+def packed(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["sums"])
+
+
+def count_ids(batches, ranks: bytes):
+    """How often each id stands in a task's documents."""
+    seen = np.zeros(IDS)
+    for _, ids, begin in encoded(batches, ranks):
+        inner = np.ones(len(ids), bool)
+        inner[begin[:-1]] = False
+        seen += np.bincount(ids[inner], minlength=IDS)
+    yield packed(seen)
+
+
+def mix_gains(batches, ranks: bytes, model: Model):
+    """The log likelihood of a task's documents at each share in MIXES."""
+    gains = np.zeros(len(MIXES))
+    for _, ids, begin in encoded(batches, ranks):
+        for _, p, q, live in model.chances(ids, begin):
+            p, q = p[live], q[live]
+            gains += [np.log(m * p + (1 - m) * q).sum() for m in MIXES]
+    yield packed(gains)
+
+
 def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
-    """What a task's training documents give: word counts, and one row with ids, neighbours and trained weights."""
-    subwords, model = Subwords(ranks), Attention({k: x.copy() for k, x in start.weights.items()})
+    """What a task's training documents give: word counts, and one row with neighbours and weights trained on all windows."""
+    model = Attention({k: x.copy() for k, x in start.weights.items()})
     grown = {k: np.full_like(x, 1e-4) for k, x in model.weights.items()}
-    ids_seen, pairs, trained = np.zeros(IDS), np.zeros(CLASSES * CLASSES), 0
+    pairs, trained = np.zeros(CLASSES * CLASSES), 0
     held: list[tuple] = []
     pending: list = []
 
+    def train(least: int) -> None:
+        """Steps over the pending windows, until fewer than `least` are left."""
+        nonlocal pending, trained
+        if sum(len(x) for x, _, _ in pending) < least:
+            return
+        x, target, live = (np.concatenate(c) for c in zip(*pending, strict=True))
+        lo = 0
+        while len(x) - lo >= least:
+            own = slice(lo, lo + BATCH)
+            model.step(x[own], target[own], live[own], grown, RATE / 4)
+            trained += int(live[own].sum())
+            lo += BATCH
+        pending = [(x[lo:], target[lo:], live[lo:])]
+
     def counts_row(parts):
         unique, at = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate([b for _, b in parts]))
@@ -245,36 +299,27 @@ def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
         unique, n = counts_row(parts)
         return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n), pa.nulls(len(n), pa.binary())], names=["word", "count", "sums"])
 
-    for batch in batches:
-        data, offsets = string_bytes(batch.column("body"))
-        for lo, hi in slices(offsets):
-            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            hashes = words.hashes()
-            held.append(np.unique(hashes, return_counts=True))
-            if sum(len(a) for a, _ in held) > CACHE_WORDS:
-                held = [counts_row(held)]
-                if len(held[0][0]) > CACHE_WORDS:
-                    yield words_out(held)
-                    held = []
-            ids, begin = subwords.sequences(words, hashes)
-            inner = np.ones(len(ids), bool)
-            inner[begin[:-1]] = False
-            ids_seen += np.bincount(ids[inner], minlength=IDS)
-            own = classes[ids]
-            at = np.flatnonzero(inner)
-            pairs += np.bincount(own[at - 1] * CLASSES + own[at], minlength=CLASSES * CLASSES)
-            _, place, left = window_places(begin)
-            turn = np.arange(len(place)) % SHARE == (lo * 7) % SHARE
-            pending.append(window_rows(own, place[turn], left[turn]))
-            while sum(len(x) for x, _, _ in pending) >= BATCH:
-                x, target, live = (np.concatenate(c) for c in zip(*pending, strict=True))
-                model.step(x[:BATCH], target[:BATCH], live[:BATCH], grown, RATE / 4)
-                trained += int(live[:BATCH].sum())
-                pending = [(x[BATCH:], target[BATCH:], live[BATCH:])]
+    for hashes, ids, begin in encoded(batches, ranks):
+        held.append(np.unique(hashes, return_counts=True))
+        if sum(len(a) for a, _ in held) > CACHE_WORDS:
+            held = [counts_row(held)]
+            if len(held[0][0]) > CACHE_WORDS:
+                yield words_out(held)
+                held = []
+        inner = np.ones(len(ids), bool)
+        inner[begin[:-1]] = False
+        own = classes[ids]
+        at = np.flatnonzero(inner)
+        pairs += np.bincount(own[at - 1] * CLASSES + own[at], minlength=CLASSES * CLASSES)
+        _, place, left = window_places(begin)
+        for lo in range(0, len(place), TRAINED):
+            pending.append(window_rows(own, place[lo : lo + TRAINED], left[lo : lo + TRAINED]))
+            train(BATCH)
+    train(1)
     if held:
         yield words_out(held)
-    sums = np.concatenate([ids_seen, pairs, [trained], model.pack() * trained])
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["word", "count", "sums"])
+    sums = np.concatenate([pairs, [trained], model.pack() * trained])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *packed(sums).columns], names=["word", "count", "sums"])
 
 
 def add_up(batches):
@@ -284,17 +329,25 @@ def add_up(batches):
             own = np.frombuffer(zlib.decompress(x.as_py()))
             total = own.copy() if total is None else total + own
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sums"])
+        yield packed(total)
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of what tasks gathered in `sums`."""
+    parts = rows.select("sums").repartition(SUM_TASKS).mapInArrow(add_up, "sums binary").toLocalIterator()
+    return sum((np.frombuffer(zlib.decompress(r["sums"])) for r in parts), np.zeros(size))
 
 
 def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
     """The model, and the counts of all training words but those in its head."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).filter(~held_out(F.col("id")))
+    table = spark.sparkContext.broadcast(ranks)
+    seen = summed(rows.select("body").mapInArrow(lambda b: count_ids(b, table.value), "sums binary"), IDS)
+    classes = class_table(seen)
     texts = [r["body"] for r in bounded_sample(rows, FIRST_DOCS, F.col("id"), F.col("body"))]
     words = Words(*string_bytes(pa.array(texts, pa.string())))
     ids, begin = Subwords(ranks).sequences(words, words.hashes())
-    classes = class_table(np.bincount(ids, minlength=IDS).astype(float))
     start, rng = Attention.fresh(), np.random.default_rng(2)
     _, place, left = window_places(begin)
     if len(place):
@@ -303,9 +356,8 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
 
     shared = spark.sparkContext.broadcast((ranks, classes, start))
     got = materialize(rows.select("body").mapInArrow(lambda b: gather(b, *shared.value), "word long, count long, sums binary"))
-    parts = got.filter("sums is not null").select("sums").repartition(SUM_TASKS).mapInArrow(add_up, "sums binary").toLocalIterator()
-    sums = sum((np.frombuffer(zlib.decompress(r["sums"])) for r in parts), np.zeros(IDS + CLASSES**2 + 1 + len(start.pack())))
-    seen, pairs, trained, flat = np.split(sums, np.cumsum([IDS, CLASSES**2, 1]))
+    sums = summed(got.filter("sums is not null"), CLASSES**2 + 1 + len(start.pack()))
+    pairs, trained, flat = np.split(sums, np.cumsum([CLASSES**2, 1]))
     attention = start.unpack(flat / trained[0]) if trained[0] else start
     mass = np.bincount(classes, weights=seen + 1, minlength=CLASSES)
     within = np.log10((seen + 1) / mass[classes])
@@ -326,19 +378,11 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
     hashes, order = head["word"].to_numpy(np.int64).view(np.uint64), None
     order = np.argsort(hashes)
     model = Model(attention, classes, within, after, 0.5, hashes[order], head["count"].to_numpy(np.int64)[order], int(facts["n"]) + documents, int(facts["v"]) + (documents > 0))
-    if len(place):
-        model.mix = best_mix(model, classes[ids], place, left)
+    whole = spark.sparkContext.broadcast((ranks, model))
+    model.mix = float(MIXES[summed(rows.select("body").mapInArrow(lambda b: mix_gains(b, *whole.value), "sums binary"), len(MIXES)).argmax()])
     return model, counts.filter(level < least)
 
 
-def best_mix(model: Model, classes: np.ndarray, place: np.ndarray, left: np.ndarray) -> float:
-    """The share of the attention model beside the counts of neighbours, by the driver's documents."""
-    pick = np.random.default_rng(4).integers(0, len(place), 4096)
-    x, target, live = window_rows(classes, place[pick], left[pick])
-    p, q = model.attention.chances(x, 0, target).reshape(x.shape), model.after[x, target]
-    return max((k / 20 for k in range(1, 20)), key=lambda m: float((np.log(m * p + (1 - m) * q) * live).sum()))
-
-
 def score_rows(batches, ranks: bytes, model: Model):
     """A row for each document with its model score, its head words' part of the base score, and its other words."""
     subwords = Subwords(ranks)
@@ -374,8 +418,9 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY_FILE, id_col:
     the text's subword ids and its end. Null and empty texts are one end. Rows that repeat an id or a text all count.
     Held-out documents are scored and not learnt from. With nothing to learn from, no token is known.
 
-    The driver reads the vocabulary's file and trains the model's first weights on FIRST_DOCS documents; counts, and
-    the rest of the training, cover all training documents where they lie. Counts of the HEAD_WORDS most frequent
+    The driver reads the vocabulary's file and begins the model's weights on FIRST_DOCS documents. Classes, counts, the
+    training that follows, on every window, and the share of the model beside the counts of neighbours come from all
+    training documents where they lie; the weights of tasks are averaged by what they trained on. Counts of the HEAD_WORDS most frequent
     words travel to all tasks, all others are joined by word.
     """
     with open(vocabulary, "rb") as f:

@@ -6,10 +6,13 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, against_sql
 
-from granary.llm import near_dup, queries, suffix_dedup
+from granary.llm import lm_score, near_dup, queries, suffix_dedup
+from granary.llm.common import Words, string_bytes
 from granary.llm.decontaminate import find_contamination, remove_contaminated
 from granary.llm.exact_dedup import assign_copies
 from granary.llm.line_dedup import repeated_lines
@@ -109,6 +112,31 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > ids * -math.log10(50257) / 2  # far better than chance
 
 
+def test_language_model_learns_from_all(spark, monkeypatch):
+    """Classes follow the ids of all training documents, and every window of a small task trains."""
+    monkeypatch.setattr(lm_score, "FIRST_DOCS", 1)
+    monkeypatch.setattr(lm_score, "FIRST_STEPS", 1)
+    with open(lm_score.VOCABULARY_FILE, "rb") as f:
+        ranks = f.read()
+    rows = documents(spark).select("doc_id", "text")
+    model = lm_score.fit(rows, ranks, "doc_id", "text")[0]
+    texts = pa.array([t for i, t in rows.collect() if zlib.crc32(str(i).encode()) % 7 != 2], pa.string())
+    words = Words(*string_bytes(texts))
+    ids, begin = lm_score.Subwords(ranks).sequences(words, words.hashes())
+    inner = np.delete(np.arange(len(ids)), begin[:-1])
+    assert (model.classes == lm_score.class_table(np.bincount(ids[inner], minlength=lm_score.IDS).astype(float))).all()
+
+    few = pa.RecordBatch.from_arrays([pa.array(["one two three", "four", None, PHRASE * 3])], names=["body"])
+    words = Words(*string_bytes(few.column("body")))
+    begin = lm_score.Subwords(ranks).sequences(words, words.hashes())[1]
+    left = lm_score.window_places(begin)[2]
+    start = lm_score.Attention.fresh()
+    last = list(lm_score.gather([few], ranks, model.classes, start))[-1]
+    sums = np.frombuffer(zlib.decompress(last.column("sums")[0].as_py()))
+    assert sums[-len(start.pack()) - 1] == np.minimum(left, lm_score.SEEN).sum()
+    assert not np.allclose(sums[-len(start.pack()) :] / sums[-len(start.pack()) - 1], start.pack())
+
+
 def test_quality(spark):
     folder = DATA.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
