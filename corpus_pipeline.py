@@ -41,7 +41,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources", mixing), ("sharding", sharding)]
 
-#: The classifier is trained and the mix is drawn at random, which SQL can't express; tests hold the stages against plain versions.
+#: The classifier is trained and the mix is drawn at random, which SQL can't express; a test holds the near-duplicate stage against a plain version, none the whole run.
 ORACLE_SQL = None
 
 

@@ -385,6 +385,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     them, twice; what this leaves in different components is then compared within the bucket, in blocks. docs is read several
     times and must give the same rows in the same partitions, as files and checkpoints do.
     """
+    return grouped(docs, shingle, percent, id_col, text_col).drop("comp")
+
+
+def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """What near_duplicates gives, and comp, which tells components apart where ids repeat; null without shingles."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))
@@ -447,18 +452,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     by_set = sets.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     by_set = by_set.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).join(degree, "sid", "left")
     by_comp = by_set.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_set = materialize(by_set.join(by_comp, "comp").select("sid", "size", "component_id", "n_links"))
+    by_set = materialize(by_set.join(by_comp, "comp").select("sid", "size", "comp", "component_id", "n_links"))
     out = join_groups(sets.filter("sid is not null"), by_set, "sid", "size", sets.count(), F.xxhash64("rid"))
-    alone = sets.filter("sid is null").withColumns({"component_id": F.col("id"), "n_links": F.lit(None).cast("long")})
-    out = out.select("id", "rid", "n", "component_id", "n_links").unionByName(alone.select("id", "rid", "n", "component_id", "n_links"))
-    return out.select(F.col("id").alias(id_col), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = sets.filter("sid is null").withColumns({"component_id": F.col("id"), "n_links": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
+    out = out.select("id", "rid", "n", "component_id", "n_links", "comp").unionByName(alone.select("id", "rid", "n", "component_id", "n_links", "comp"))
+    return out.select(F.col("id").alias(id_col), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "comp")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest id (of equal ids, the first)."""
-    found = near_duplicates(docs, shingle, percent, id_col, text_col)
-    drop = materialize(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("rid").alias("_rid")))
-    again = found.filter((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(id_col).agg(F.min("rid").alias("first"), F.collect_list("rid").alias("all")).filter("size(all) > 1")
-    drop = drop.unionByName(again.select(F.explode("all").alias("_rid"), "first").filter("_rid <> first").select("_rid"))
+    """The rows of docs without near duplicates: of each component the row with the smallest id (of equal ids, the first).
+
+    A null id comes last. Rows that only share an id are not duplicates.
+    """
+    found = materialize(grouped(docs, shingle, percent, id_col, text_col).select("comp", F.col(id_col).isNull().alias("nul"), F.col(id_col).alias("id"), "rid"))
+    first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("nul", "id", "rid")).alias("first"))
+    keep = first.select(F.col("first.rid").alias("_rid")).unionByName(found.filter("comp is null").select(F.col("rid").alias("_rid")))
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(drop, "_rid", "left_anti").select(*docs.columns)
+    return rows.join(keep, "_rid", "left_semi").select(*docs.columns)

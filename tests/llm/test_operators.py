@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -74,6 +75,23 @@ def test_near_duplicates(spark, monkeypatch, frequent):
     assert got == plain_near([tuple(r) for r in rows.collect()])
 
 
+def test_keep_one_of_each_repeated_ids(spark):
+    """Rows that share an id and nothing else stay; of copies the smallest id stays, a null id last."""
+    other = " ".join(f"w{k}" for k in range(40))
+    third = " ".join(f"x{k}" for k in range(40))
+    rows = [(1, PHRASE * 4, 0), (1, other, 1), (1, other, 2), (2, PHRASE * 4, 3), (3, None, 4), (3, None, 5), (None, third, 6), (None, third, 7), (None, other, 8)]
+    got = near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long").coalesce(1))
+    assert sorted(r["n"] for r in got.collect()) == [0, 1, 4, 5, 6]
+
+
+def test_pipeline_near_duplicates(spark):
+    """The stage keeps the least id of each plain component, and all that have no shingles."""
+    rows = documents(spark)
+    plain = plain_near([(r["doc_id"], r["text"]) for r in rows.collect()])
+    got = corpus_pipeline.near_duplicates(spark, rows, DATA)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, (n, least) in plain.items() if least == i or not n)
+
+
 def plain_strip(rows, length):
     bodies = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[p : p + length] for _, b in bodies for p in range(len(b) - length + 1))
