@@ -27,6 +27,8 @@ TABLE_BITS, TABLE_PARTS, FREQUENT, VERY_FREQUENT = 20, 16, 32, 1024
 MAP_BITS, BLOCK_ROWS, FILTER_BITS, FILTER_TASKS = 512, 2048, 1 << 25, 32
 #: Rows of whole buckets that a task compares at once; a bucket of more rows than this is compared row by row.
 CHUNK_ROWS, SMALL_BUCKET = 60_000, 32
+#: Sets of a component that are compared at once for links, and columns of tokens that are.
+LINK_ROWS, LINK_TOKENS = 512, 4096
 #: Kinds of buckets, each of which links its sets to another one of them.
 CENTRES = 8
 #: Sets of up to 9 tokens are indexed as small, those from 8 on as large: similar ones always share a kind.
@@ -297,7 +299,26 @@ def screened(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar, by their whole sets.
+    """The pairs (a, b) of set ids that are similar, by their whole sets."""
+    sets = materialize(asked_sets(docs, pairs, k))
+    left = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a")
+    both = left.join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b")
+
+    def test(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            keep = []
+            for i in range(batch.num_rows):
+                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(common * 100 >= (len(s) + len(t) - common) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def asked_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """sid, tokens of the sets whose ids stand in the columns of `asked`, and perhaps some more.
 
     Only documents whose set is asked for send it on. The filter that tells is of fixed size: with more sets it lets
     more through, which costs time and changes nothing.
@@ -305,13 +326,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     def mark(batches):
         seen = np.zeros(FILTER_BITS >> 3, np.uint8)
         for batch in batches:
-            bit = np.unique(bits_of(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")])))
+            bit = np.unique(bits_of(np.concatenate([c.to_numpy() for c in batch.columns])))
             np.bitwise_or.at(seen, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], names=["seen"])
 
     seen = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in pairs.coalesce(FILTER_TASKS).mapInArrow(mark, "seen binary").toLocalIterator():
+    for row in asked.coalesce(FILTER_TASKS).mapInArrow(mark, "seen binary").toLocalIterator():
         seen |= np.frombuffer(zlib.decompress(row["seen"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(seen)
 
@@ -328,22 +349,69 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 at = at[np.unique(ids[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([token[edges[i] : edges[i + 1]].tobytes() for i in at], pa.binary())], names=["sid", "tokens"])
 
-    sets = docs.mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
-    sets = materialize(sets)
-    left = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b")
+    return docs.mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
+
+
+def similar(tokens: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of some sets are similar to which, as a matrix; no set is to itself."""
+    n = np.array([len(t) for t in tokens], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = (np.cumsum(shared) - 1)[column]
+    row, place = row[shared[column]], place[shared[column]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(n), len(n)), np.int64)
+    for lo in range(0, int(shared.sum()), LINK_TOKENS):
+        first, end = np.searchsorted(place, (lo, lo + LINK_TOKENS))
+        part = np.zeros((len(n), int(place[end - 1]) - lo + 1), np.float32)
+        part[row[first:end], place[first:end] - lo] = 1
+        common += (part @ part.T).astype(np.int64)
+    fit = common * 100 >= (n[:, None] + n - common) * percent
+    np.fill_diagonal(fit, False)
+    return fit
 
-    def test(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = []
-            for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common * 100 >= (len(s) + len(t) - common) * percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+def count_links(batches, percent: int):
+    """For each set of a task's units, by how many documents of the other sets of its unit it is met."""
+
+    def out(held):
+        t = pa.Table.from_batches(held)
+        sid, size, own, same = (t.column(c).to_numpy() for c in ("sid", "size", "own", "same"))
+        fit = similar([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")], percent)
+        fit &= same | (own[:, None] != own)
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(fit @ size)], names=["sid", "links"])
+
+    held, last = [], None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("comp", "part")], 1)
+        if not len(key):
+            continue
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(key[lo]) != last:
+                yield out(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(key[lo])
+    if held:
+        yield out(held)
+
+
+def links_within(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """sid, links: how many documents of other sets of its component each set is similar to; sets has one row a set.
+
+    Sets of a component are compared by their tokens in units of two blocks, so that only sums leave a task.
+    """
+    slots = F.ceil(F.col("n_sets") / LINK_ROWS)
+    units = sets.withColumn("slots", slots).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("slots")))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    least, most = F.least("block", "other"), F.greatest("block", "other")
+    units = units.select("comp", (least * F.col("slots") + most).alias("part"), (F.col("block") == least).alias("own"), (least == most).alias("same"), "sid", "size")
+    units = units.join(asked_sets(docs, sets.select("sid"), k), "sid").select("comp", "part", "own", "same", "sid", "size", "tokens")
+    units = units.repartition("comp", "part").sortWithinPartitions("comp", "part")
+    return units.mapInArrow(lambda b: count_links(b, percent), "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
 
 
 def bits_of(ids: np.ndarray) -> np.ndarray:
@@ -377,19 +445,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     Words are separated by white space and lower-cased within A-Z. Documents link when their sets of distinct
     shingles have a Jaccard similarity of `percent` or more. component_id is the smallest id that links lead to;
-    n_links counts the verified links of the document's set to other sets, which join the component together without
-    listing all pairs inside it. Null, empty and blank texts have no shingles and link with nothing, not even with each other.
+    n_links is the number of other rows, copies among them, that the document links with. Null, empty and blank texts have no shingles and link with nothing, not even with each other.
     Rows that repeat an id are documents of their own; a null id is never a component_id unless all ids of it are null.
 
     Equal sets count once, under a 64-bit hash of the set. Buckets of one signature first link all their sets to one of
-    them, twice; what this leaves in different components is then compared within the bucket, in blocks. docs is read several
+    them, twice; what this leaves in different components is then compared within the bucket, in blocks. All links lie
+    inside components, so for n_links the sets of each one of more than two are compared, in blocks too. docs is read several
     times and must give the same rows in the same partitions, as files and checkpoints do.
     """
     return grouped(docs, shingle, percent, id_col, text_col).drop("comp")
 
 
-def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """What near_duplicates gives, and comp, which tells components apart where ids repeat; null without shingles."""
+def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, count: bool = True) -> DataFrame:
+    """What near_duplicates gives, and comp, which tells components apart where ids repeat; null without shingles.
+
+    Without `count`, n_links is 0.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))
@@ -448,11 +519,16 @@ def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     links = materialize(links.unionByName(verified(body, more, shingle, percent)))
     parts = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     by_set = sets.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    by_set = by_set.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).join(degree, "sid", "left")
-    by_comp = by_set.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_set = materialize(by_set.join(by_comp, "comp").select("sid", "size", "comp", "component_id", "n_links"))
+    by_set = by_set.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    by_comp = by_set.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets"), F.sum("size").alias("n_rows"))
+    by_set = materialize(by_set.join(by_comp, "comp").select("sid", "size", "comp", "component_id", "n_sets", "n_rows"))
+    if count:
+        met = links_within(body, by_set.filter("n_sets > 2"), shingle, percent)
+        by_set = by_set.join(met, "sid", "left").withColumn("n_links", F.when(F.col("n_sets") > 2, F.col("size") - 1 + F.col("links")).otherwise(F.col("n_rows") - 1))
+    else:
+        by_set = by_set.withColumn("n_links", F.lit(0).cast("long"))
+    by_set = materialize(by_set.select("sid", "size", "comp", "component_id", "n_links"))
     out = join_groups(sets.filter("sid is not null"), by_set, "sid", "size", sets.count(), F.xxhash64("rid"))
     alone = sets.filter("sid is null").withColumns({"component_id": F.col("id"), "n_links": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
     out = out.select("id", "rid", "n", "component_id", "n_links", "comp").unionByName(alone.select("id", "rid", "n", "component_id", "n_links", "comp"))
@@ -464,7 +540,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
     A null id comes last. Rows that only share an id are not duplicates.
     """
-    found = materialize(grouped(docs, shingle, percent, id_col, text_col).select("comp", F.col(id_col).isNull().alias("nul"), F.col(id_col).alias("id"), "rid"))
+    found = materialize(grouped(docs, shingle, percent, id_col, text_col, count=False).select("comp", F.col(id_col).isNull().alias("nul"), F.col(id_col).alias("id"), "rid"))
     first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("nul", "id", "rid")).alias("first"))
     keep = first.select(F.col("first.rid").alias("_rid")).unionByName(found.filter("comp is null").select(F.col("rid").alias("_rid")))
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())

@@ -75,6 +75,21 @@ def test_near_duplicates(spark, monkeypatch, frequent):
     assert got == plain_near([tuple(r) for r in rows.collect()])
 
 
+@pytest.mark.parametrize("rows_at_once", [512, 7])
+def test_near_duplicate_links(spark, monkeypatch, rows_at_once):
+    """n_links against all pairs: near copies of one another, a chain whose ends are apart, and exact copies."""
+    monkeypatch.setattr(near_dup, "LINK_ROWS", rows_at_once)
+    base = [f"b{m}" for m in range(400)]
+    rows = [(k, " ".join(x if j != 9 * k else f"w{k}" for j, x in enumerate(base))) for k in range(20)]
+    rows += [(100 + k, " ".join(f"c{m}" for m in range(15 * k, 15 * k + 300))) for k in range(12)]
+    rows += [(200 + k, rows[3][1]) for k in range(3)] + [(300, "alone in this table"), (301, "alone in this table"), (302, None)]
+    words = {i: (t or "").split() for i, t in rows}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, min(len(w), 1)))} for i, w in words.items()}
+    want = {i: sum(j != i and 100 * len(a & b) >= 80 * len(a | b) for j, b in sets.items()) if a else 0 for i, a in sets.items()}
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_keep_one_of_each_repeated_ids(spark):
     """Rows that share an id and nothing else stay; of copies the smallest id stays, a null id last."""
     other = " ".join(f"w{k}" for k in range(40))
