@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 
 import numpy as np
@@ -17,18 +19,66 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder of spark.checkpoint.dir, which driver and executors share; on one machine, where it is unset, the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/granary"
 
 
+#: Folders that this process has written, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back. This cuts lineage: lost executors lose none of it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """Deletes on leaving what was materialized inside. Frames made inside must have been written elsewhere by then."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[mark:]:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        del _written[mark:]
+
+
+def stamped(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ... and rid, a number of each row, written once: every later reading sees the same numbers."""
+    return materialize(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("rid", F.monotonically_increasing_id()))
+
+
+#: Bits of a table of ids at most: it is 16 MB then, and lets more ids through than were asked for.
+TABLE_MOST = 27
+
+
+def id_table(ids: DataFrame, name: str) -> np.ndarray:
+    """A bit for each remainder of the ids in a column (hashes, or numbers that spread); about 16 bits an id, 2**TABLE_MOST at most."""
+    bits = min(TABLE_MOST, max(16, int(np.ceil(np.log2(max(1, ids.count())))) + 4))
+    spot = F.col(name).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = ids.select(F.bitmap_bucket_number(spot).alias("part"), F.bitmap_bit_position(spot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    table = np.zeros((1 << bits) >> 3, np.uint8).reshape(-1, 4096)
+    for part, own in parts.toLocalIterator():
+        table[part - 1] = np.frombuffer(own, np.uint8)
+    return table.ravel()
+
+
+def in_table(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of the table; no id of it is missed."""
+    bit = (ids & (8 * len(table) - 1)).astype(np.int64)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def bounded_sample(rows: DataFrame, n: int, *key: Column) -> list:
     """At most n rows, those with the smallest hashes of `key`, so that reruns agree; few more than n reach the driver."""
     total = rows.count()

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefixes of token combinations, stars of candidates, exact verification, components.
+"""N-gram Jaccard join: prefixes of token combinations, forests of candidates, exact verification, components.
 
 Tokens are hashes of word shingles. A token's class follows from a counting table of fixed size that covers all
 documents: rare tokens are indexed one by one, frequent ones by pairs, very frequent ones by triples. A set's prefix
@@ -14,23 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from granary.llm.common import Words, join_groups, materialize, mix, shingles, slices, string_bytes
+from granary.llm.common import Words, id_table, in_table, join_groups, materialize, mix, shingles, slices, stamped, string_bytes
 
 #: Words to a shingle; least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Counters of the table, in bits; parts it is summed in; documents beyond chance that make a token (very) frequent.
-TABLE_BITS, TABLE_PARTS, FREQUENT, VERY_FREQUENT = 20, 16, 32, 1024
-#: Least bits of a set's parity map; rows of a bucket that are compared at once; bits of the filter of
-#: asked sets, and tasks that fill it.
-MAP_BITS, BLOCK_ROWS, FILTER_BITS, FILTER_TASKS = 512, 2048, 1 << 25, 32
+#: Counters of the table, in bits; parts it is summed in, and sums of each; documents beyond chance that make a token
+#: (very) frequent.
+TABLE_BITS, TABLE_PARTS, TABLE_TREE, FREQUENT, VERY_FREQUENT = 20, 16, 8, 32, 1024
+#: Least bits of a set's parity map; sets to a block of a signature that very many have.
+MAP_BITS, HOT_ROWS = 512, 1 << 14
 #: Rows of whole buckets that a task compares at once; a bucket of more rows than this is compared row by row.
 CHUNK_ROWS, SMALL_BUCKET = 60_000, 32
-#: Sets of a component that are compared at once for links, and columns of tokens that are.
-LINK_ROWS, LINK_TOKENS = 512, 4096
-#: Kinds of buckets, each of which links its sets to another one of them.
-CENTRES = 8
+#: Sets to a block of those that are compared for links, and columns of tokens that are.
+LINK_ROWS, LINK_TOKENS = 1024, 4096
 #: Sets of up to 9 tokens are indexed as small, those from 8 on as large: similar ones always share a kind.
 SMALL_MOST, LARGE_LEAST = 9, 8
 
@@ -105,24 +102,31 @@ def sum_table(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-            own = np.frombuffer(zlib.decompress(counts.as_py()), np.int32).astype(np.int64)
+            own = np.frombuffer(zlib.decompress(counts.as_py()), np.int64 if batch.schema.get_field_index("wide") >= 0 else np.int32).astype(np.int64)
             sums[part] = sums[part] + own if part in sums else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
 def token_classes(sets: DataFrame) -> np.ndarray:
-    """Class (1, 2 or 3) of each counter of the table; a megabyte, whatever the input."""
-    parts = sets.filter("part is not null").select("part", "counts").repartition(TABLE_PARTS, "part")
+    """For each counter of the table its class (1, 2 or 3) and, times 4, the rounded-up logarithm of its documents beyond chance.
+
+    A megabyte, whatever the input. Tables are summed in two steps, so that no task reads those of all tasks.
+    """
+    parts = sets.filter("part is not null").select("part", "counts", F.pmod(F.spark_partition_id(), F.lit(TABLE_TREE)).alias("branch"))
+    parts = parts.repartition(TABLE_PARTS * TABLE_TREE, "part", "branch").select("part", "counts").mapInArrow(sum_table, "part int, counts binary")
+    parts = parts.withColumn("wide", F.lit(True)).repartition(TABLE_PARTS, "part").mapInArrow(sum_table, "part int, counts binary")
     table = np.zeros((TABLE_PARTS, (1 << TABLE_BITS) // TABLE_PARTS), np.int64)
-    for part, counts in parts.mapInArrow(sum_table, "part int, counts binary").collect():
-        table[part] += np.frombuffer(counts, np.int64)
+    for part, counts in parts.collect():
+        table[part] += np.frombuffer(zlib.decompress(counts), np.int64)
     table = table.ravel()
     usual = table.mean() + 6 * np.sqrt(table.mean())
-    return (1 + (table > usual + FREQUENT).astype(np.uint8) + (table > usual + VERY_FREQUENT)).astype(np.uint8)
+    level = np.ceil(np.log2(np.maximum(table, 1))).astype(np.uint8)
+    return ((1 + (table > usual + FREQUENT).astype(np.uint8) + (table > usual + VERY_FREQUENT)) + 4 * level).astype(np.uint8)
 
 
-def signatures(row: np.ndarray, token: np.ndarray, n: int, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of the indexed combinations of each set (rows in order, tokens in order within them).
+def signatures(row: np.ndarray, token: np.ndarray, n: int, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and value of the indexed combinations of each set (rows in order, tokens in order within them), and the
+    rounded-up logarithm of how many documents may have a triple; 0 for single tokens and pairs, which few have.
 
     `left` is how many tokens a similar set may miss, so a prefix needs left + 1 chances: a token of class k counts
     as one once k - 1 others of its group stand before it, since k shared tokens of a group make a shared
@@ -133,38 +137,41 @@ def signatures(row: np.ndarray, token: np.ndarray, n: int, classes: np.ndarray,
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     need = sizes * (100 - percent) // 100 + 1
     place = np.arange(len(row)) - first[row]
-    kind = classes[(token >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    both = classes[(token >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    kind, level = both & 3, both >> 2
     small = (sizes[row] <= SMALL_MOST) & (place < need[row])
-    rows, out = [row[small]], [mix(token[small] ^ np.uint64(0xA24BAED4963EE407))]
+    rows, out, hot = [row[small]], [mix(token[small] ^ np.uint64(0xA24BAED4963EE407))], [level[small]]
     ahead = place < need[row]
     hard = np.zeros(n, bool)
     hard[row[ahead & (kind > 1)]] = True
     easy = ahead & ~hard[row] & (sizes[row] >= LARGE_LEAST)
     rows.append(row[easy])
     out.append(mix(token[easy]))
+    hot.append(np.zeros(len(rows[-1]), np.uint8))
     pick = hard[row] & (sizes[row] >= LARGE_LEAST)
     if pick.any():
-        row, token, kind = row[pick], token[pick], kind[pick].astype(np.int64)
+        row, token, kind, level = row[pick], token[pick], kind[pick].astype(np.int64), level[pick]
         order = np.argsort(row * 4 + kind, kind="stable")
-        row, token, kind = row[order], token[order], kind[order]
+        row, token, kind, level = row[order], token[order], kind[order], level[order]
         low = np.floor(np.log2((-(-sizes * percent // 100)).clip(1))).astype(np.int64)
         high = np.floor(np.log2((sizes * 100 // percent).clip(1))).astype(np.int64)
-        for turn, level in enumerate((low, high)):
+        for turn, power in enumerate((low, high)):
             go = np.ones(len(row), bool) if turn == 0 else (high > low)[row]
             if not go.any():
                 continue
-            found = combinations(row[go], token[go], kind[go], level, need, n)
+            found = combinations(row[go], token[go], kind[go], level[go], power, need, n)
             if turn:  # single tokens are the same for both
                 found = [found[1], found[2]]
-            rows += [r for r, _ in found]
-            out += [s for _, s in found]
-    return np.concatenate(rows), np.concatenate(out)
+            rows += [x[0] for x in found]
+            out += [x[1] for x in found]
+            hot += [x[2] for x in found]
+    return np.concatenate(rows), np.concatenate(out), np.concatenate(hot)
 
 
-def combinations(row, token, kind, level, need, n) -> list:
-    """Rows and signatures of the single tokens, pairs and triples of the extended prefixes at one size level."""
+def combinations(row, token, kind, level, power, need, n) -> list:
+    """Rows, signatures and levels of the single tokens, pairs and triples of the extended prefixes at one power of size."""
     start = np.ones(len(row), bool)
-    bits = (level[row] - kind).clip(0)  # 4 tokens of class 2 and 8 of class 3 to a range
+    bits = (power[row] - kind).clip(0)  # 4 tokens of class 2 and 8 of class 3 to a range
     span = np.where(bits > 0, token >> (64 - bits).clip(1, 63).astype(np.uint64), np.uint64(0))
     start[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | ((kind[1:] > 1) & (span[1:] != span[:-1]))
     group = np.cumsum(start) - 1
@@ -173,25 +180,47 @@ def combinations(row, token, kind, level, need, n) -> list:
     before = np.concatenate([[0], np.cumsum(chance)])[:-1]
     begin = np.searchsorted(row, np.arange(n))
     inside = before - before[np.minimum(begin, max(len(row) - 1, 0))][row] < need[row]
-    row, token, kind, group = row[inside], token[inside], kind[inside], group[inside]
-    salt = mix(level.astype(np.uint64) + np.uint64(977))[row]
+    row, token, kind, level, group = row[inside], token[inside], kind[inside], level[inside], group[inside]
+    salt = mix(power.astype(np.uint64) + np.uint64(977))[row]
     one = kind == 1
-    found = [(row[one], mix(token[one]))]
-    pairs, triples = ([], []), ([], [])
+    found = [(row[one], mix(token[one]), np.zeros(int(one.sum()), np.uint8))]
+    pairs, triples = ([], [], []), ([], [], [])
     size = np.bincount(group[~one] - group[~one].min()).max() if (~one).any() else 0
     for d in range(1, size):
         at = np.flatnonzero((group[d:] == group[:-d]) & (kind[d:] == 2))
         pairs[0].append(row[at])
         pairs[1].append(mix(token[at] * np.uint64(3) + mix(token[at + d]) + salt[at]))
+        pairs[2].append(np.minimum(level[at], level[at + d]))
         for e in range(d + 1, size):
             at = np.flatnonzero((group[e:] == group[:-e]) & (kind[e:] == 3))
             triples[0].append(row[at])
             triples[1].append(mix(token[at] * np.uint64(5) + mix(token[at + d] * np.uint64(3) + mix(token[at + e])) + salt[at]))
-    for r, s in (pairs, triples):
-        found.append((np.concatenate(r), np.concatenate(s)) if r else (row[:0], token[:0]))
+            triples[2].append(np.minimum(np.minimum(level[at], level[at + d]), level[at + e]))
+    for x in (pairs, triples):
+        found.append(tuple(np.concatenate(c) for c in x) if x[0] else (row[:0], token[:0], level[:0]))
     return found
 
 
+def dealt(at: np.ndarray, sig: np.ndarray, level: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and signatures once more for each pair of blocks of a signature that more than HOT_ROWS sets may have.
+
+    Any two sets still share one of its signatures, and no bucket holds more than about two blocks.
+    """
+    bits = np.maximum(level.astype(np.int64) - int(np.log2(HOT_ROWS)), 0)
+    hot = np.flatnonzero(bits)
+    if not len(hot):
+        return at, sig
+    rows, out = [np.delete(at, hot)], [np.delete(sig, hot)]
+    for b in np.unique(bits[hot]).tolist():
+        own = hot[bits[hot] == b]
+        block = (mix(ids[at[own]].view(np.uint64) + np.uint64(41)) & np.uint64((1 << b) - 1)).astype(np.int64)[:, None]
+        other = np.arange(1 << b)[None, :]
+        pair = (np.minimum(block, other) << b | np.maximum(block, other)).astype(np.uint64)
+        rows.append(np.repeat(at[own], 1 << b))
+        out.append(mix(sig[own][:, None] + mix(pair + np.uint64(1 << 50))).ravel())
+    return np.concatenate(rows), np.concatenate(out)
+
+
 class Maps:
     """The parity maps of some sets."""
 
@@ -230,111 +259,106 @@ def may_be_similar(a: Maps, i: np.ndarray, b: Maps, j: np.ndarray, percent: int)
     return fit
 
 
-def candidates_of(batches, percent: int):
-    """Pairs of sets of different components within the buckets of a task's rows, which stand bucket by bucket."""
-
-    def pairs(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        sid, comp, n, own = (t.column(c).to_numpy() for c in ("sid", "comp", "n", "own"))
-        maps = Maps(t.column("map").combine_chunks(), n)
-        new = np.ones(len(t), bool)
-        for c in ("sig", "part"):
-            key = t.column(c).to_numpy()
-            new[1:] &= key[1:] == key[:-1]
-        new[0] = False
-        group = np.cumsum(~new) - 1
-        size = np.bincount(group)
-        small = size[group] <= SMALL_BUCKET
-        for d in range(1, min(SMALL_BUCKET, int(size.max()))):
-            at = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (comp[d:] != comp[:-d]) & (own[d:] | own[:-d]))
-            at = at[may_be_similar(maps, at, maps, at + d, percent)]
-            yield sid[at], sid[at + d]
-        for g in np.flatnonzero(size > SMALL_BUCKET):
-            first, end = np.searchsorted(group, g), np.searchsorted(group, g, "right")
-            for lo in range(first, end, 64):
-                x, y = np.arange(lo, min(lo + 64, end)), np.arange(lo + 1, end)
-                fit = (comp[x][:, None] != comp[y]) & (own[x][:, None] | own[y]) & (x[:, None] < y)
-                fit &= np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent
-                i, j = np.nonzero(fit)
-                i, j = x[i], y[j]
-                keep = may_be_similar(maps, i, maps, j, percent)
-                yield sid[i[keep]], sid[j[keep]]
-
-    def out(held):
-        found = [x for x in pairs(held) if len(x[0])]
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
+def whole_groups(batches, key: list[str], most: int):
+    """Tables of about `most` rows, of whole groups of rows that agree in `key` and stand together."""
     held, rows, last = [], 0, None
     for batch in batches:
-        key = np.stack([batch.column(c).to_numpy() for c in ("sig", "part")], 1)
-        if not len(key):
+        if not batch.num_rows:
             continue
-        edges = np.flatnonzero(np.concatenate([[last != tuple(key[0])], (key[1:] != key[:-1]).any(1)]))
-        if rows >= CHUNK_ROWS and len(edges):
+        own = np.stack([batch.column(c).to_numpy() for c in key], 1)
+        edges = np.flatnonzero(np.concatenate([[last != tuple(own[0])], (own[1:] != own[:-1]).any(1)]))
+        if rows >= most and len(edges):
             if edges[0]:
                 held.append(batch.slice(0, edges[0]))
-            yield out(held)
+            yield pa.Table.from_batches(held).combine_chunks()
             held, rows, batch = [], 0, batch.slice(edges[0])
-        last = tuple(key[-1])
+        last = tuple(own[-1])
         held.append(batch)
         rows += batch.num_rows
     if held:
-        yield out(held)
-
-
-def screened(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and maps don't rule them out."""
-    left = pairs.join(maps.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("map").alias("x")), "a")
-    both = left.join(maps.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")), "b")
-
-    def test(batches):
-        for batch in batches:
-            x, y = Maps(batch.column("x"), batch.column("n").to_numpy()), Maps(batch.column("y"), batch.column("m").to_numpy())
-            at = np.arange(batch.num_rows)
-            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(x, at, y, at, percent)))
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(test, "a long, b long")
 
+def shared_buckets(batches, percent: int):
+    """Buckets of two sets or more that may be similar by their sizes, each kind of membership once a chunk.
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar, by their whole sets."""
-    sets = materialize(asked_sets(docs, pairs, k))
-    left = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b")
-
-    def test(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = []
-            for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common * 100 >= (len(s) + len(t) - common) * percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    The sets of a signature, in the order of their sizes, are parted where a size is too small for the next one.
+    """
+    for t in whole_groups(batches, ["sig"], CHUNK_ROWS):
+        sig, sid, n = (t.column(c).to_numpy() for c in ("sig", "sid", "n"))
+        order = np.lexsort((sid, n, sig))
+        sig, sid, n = sig[order], sid[order], n[order].astype(np.int64)
+        first = np.ones(len(sig), bool)
+        first[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
+        sig, sid, n = sig[first], sid[first], n[first]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (n[:-1] * 100 < n[1:] * percent)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(sig)))
+        bucket = mix(np.add.reduceat(mix(sid.view(np.uint64)), start) + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        live = np.flatnonzero(size > 1)
+        live = live[np.unique(bucket[live], return_index=True)[1]]
+        row = np.repeat(start[live], size[live]) + np.arange(size[live].sum()) - np.repeat(np.cumsum(size[live]) - size[live], size[live])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket[live], size[live]).view(np.int64)), pa.array(sid[row])], names=["bucket", "sid"])
+
+
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of the n nodes that each one is connected with by the edges (i, j)."""
+    least = np.arange(n)
+    while len(i):
+        low = np.minimum(least[i], least[j])
+        np.minimum.at(least, least[i], low)
+        np.minimum.at(least, least[j], low)
+        while (least[least] != least).any():
+            least = least[least]
+        live = least[i] != least[j]
+        i, j = i[live], j[live]
+    return least
+
+
+def families(batches, percent: int):
+    """A forest over the sets of a task's buckets that links what sizes and maps don't rule out: fewer rows than sets.
+
+    Buckets of up to SMALL_BUCKET sets are compared pair by pair, all of them together. In larger ones each set is
+    compared only with those that none before it has reached.
+    """
+    for t in whole_groups(batches, ["bucket"], CHUNK_ROWS):
+        sid, n = t.column("sid").to_numpy(), t.column("n").to_numpy()
+        maps = Maps(t.column("map").combine_chunks(), n)
+        new = np.ones(len(t), bool)
+        new[1:] = np.diff(t.column("bucket").to_numpy()) != 0
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        small = size[group] <= SMALL_BUCKET
+        edges = []
+        for d in range(1, min(SMALL_BUCKET, int(size.max()))):
+            at = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            at = at[may_be_similar(maps, at, maps, at + d, percent)]
+            edges.append((at, at + d))
+        for first in np.flatnonzero(new)[size > SMALL_BUCKET].tolist():
+            left = np.arange(first, first + size[group[first]])
+            queue: list[int] = []
+            while len(left):
+                if not queue:
+                    queue, left = [int(left[0])], left[1:]
+                own = np.full(len(left), queue.pop())
+                fit = may_be_similar(maps, own, maps, left, percent)
+                edges.append((own[fit], left[fit]))
+                queue += left[fit].tolist()
+                left = left[~fit]
+        nodes, code = np.unique(sid, return_inverse=True)
+        i, j = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, np.int64) for k in (0, 1))
+        least = connected(len(nodes), code[i], code[j])
+        at = np.flatnonzero(least != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[least[at]])], names=["a", "b"])
 
 
 def asked_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """sid, tokens of the sets whose ids stand in the columns of `asked`, and perhaps some more.
+    """sid, tokens of the sets whose ids stand in `asked`, and perhaps some more.
 
-    Only documents whose set is asked for send it on. The filter that tells is of fixed size: with more sets it lets
-    more through, which costs time and changes nothing.
+    Only documents whose set is asked for send it on, as far as a table of ids of bounded size can tell.
     """
-    def mark(batches):
-        seen = np.zeros(FILTER_BITS >> 3, np.uint8)
-        for batch in batches:
-            bit = np.unique(bits_of(np.concatenate([c.to_numpy() for c in batch.columns])))
-            np.bitwise_or.at(seen, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
-        if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], names=["seen"])
-
-    seen = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in asked.coalesce(FILTER_TASKS).mapInArrow(mark, "seen binary").toLocalIterator():
-        seen |= np.frombuffer(zlib.decompress(row["seen"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(seen)
+    shared = docs.sparkSession.sparkContext.broadcast(id_table(asked, "sid"))
 
     def tokens(batches):
         for batch in batches:
@@ -343,80 +367,81 @@ def asked_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 row, token = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 n = hi - lo
                 ids, edges = set_ids(row, token, n), np.searchsorted(row, np.arange(n + 1))
-                bit = bits_of(ids)
-                keep = ((shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1) & (np.diff(edges) > 0)
-                at = np.flatnonzero(keep)
+                at = np.flatnonzero(in_table(shared.value, ids) & (np.diff(edges) > 0))
                 at = at[np.unique(ids[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([token[edges[i] : edges[i + 1]].tobytes() for i in at], pa.binary())], names=["sid", "tokens"])
 
     return docs.mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
 
 
-def similar(tokens: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of some sets are similar to which, as a matrix; no set is to itself."""
-    n = np.array([len(t) for t in tokens], np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = (np.cumsum(shared) - 1)[column]
-    row, place = row[shared[column]], place[shared[column]]
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    common = np.zeros((len(n), len(n)), np.int64)
-    for lo in range(0, int(shared.sum()), LINK_TOKENS):
-        first, end = np.searchsorted(place, (lo, lo + LINK_TOKENS))
-        part = np.zeros((len(n), int(place[end - 1]) - lo + 1), np.float32)
-        part[row[first:end], place[first:end] - lo] = 1
-        common += (part @ part.T).astype(np.int64)
-    fit = common * 100 >= (n[:, None] + n - common) * percent
-    np.fill_diagonal(fit, False)
-    return fit
-
-
-def count_links(batches, percent: int):
-    """For each set of a task's units, by how many documents of the other sets of its unit it is met."""
-
-    def out(held):
-        t = pa.Table.from_batches(held)
+def similar(own: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of `own` are similar to which of `other`, as a matrix."""
+    n, m = (np.array([len(t) for t in x], np.int64) for x in (own, other))
+    common = np.zeros((len(n), len(m)), np.int64)
+    if len(n) * len(m) <= 16:
+        for i, s in enumerate(own):
+            for j, t in enumerate(other):
+                common[i, j] = len(np.intersect1d(s, t, assume_unique=True))
+    else:
+        row = np.repeat(np.arange(len(n) + len(m)), np.concatenate([n, m]))
+        _, column, times = np.unique(np.concatenate([*own, *other]), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = (np.cumsum(shared) - 1)[column]
+        row, place = row[shared[column]], place[shared[column]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        for lo in range(0, int(shared.sum()), LINK_TOKENS):
+            first, end = np.searchsorted(place, (lo, lo + LINK_TOKENS))
+            part = np.zeros((len(n) + len(m), int(place[end - 1]) - lo + 1), np.float32)
+            part[row[first:end], place[first:end] - lo] = 1
+            common += (part[: len(n)] @ part[len(n) :].T).astype(np.int64)
+    return common * 100 >= (n[:, None] + m - common) * percent
+
+
+def verify_units(batches, percent: int):
+    """For each set of a task's units: how many documents of other sets of its unit link with it, and the smallest set that links lead to there."""
+    for t in whole_groups(batches, ["comp", "part"], 1):
         sid, size, own, same = (t.column(c).to_numpy() for c in ("sid", "size", "own", "same"))
-        fit = similar([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")], percent)
-        fit &= same | (own[:, None] != own)
-        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(fit @ size)], names=["sid", "links"])
-
-    held, last = [], None
-    for batch in batches:
-        key = np.stack([batch.column(c).to_numpy() for c in ("comp", "part")], 1)
-        if not len(key):
-            continue
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        units = np.ones(len(t), bool)
+        units[1:] = (np.diff(t.column("comp").to_numpy()) != 0) | (np.diff(t.column("part").to_numpy()) != 0)
+        edges = [*np.flatnonzero(units).tolist(), len(t)]
+        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+        links, root = np.zeros(len(t), np.int64), sid.copy()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if held and tuple(key[lo]) != last:
-                yield out(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = tuple(key[lo])
-    if held:
-        yield out(held)
-
-
-def links_within(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """sid, links: how many documents of other sets of its component each set is similar to; sets has one row a set.
-
-    Sets of a component are compared by their tokens in units of two blocks, so that only sums leave a task.
+            rows = np.arange(lo, hi)
+            x, y = (rows, rows) if same[lo] else (rows[own[rows]], rows[~own[rows]])
+            fit = similar([tokens[i] for i in x], [tokens[i] for i in y], percent)
+            if same[lo]:
+                np.fill_diagonal(fit, False)
+            links[x] += fit @ size[y]
+            if not same[lo]:
+                links[y] += size[x] @ fit
+            i, j = np.nonzero(fit)
+            root[rows] = sid[lo + connected(hi - lo, x[i] - lo, y[j] - lo)]
+        yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(links), pa.array(root), t.column("slots").combine_chunks()], names=["sid", "links", "root", "slots"])
+
+
+def verified(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """sid, links, comp: how many documents of other sets each set links with, and its component.
+
+    sets has sid, size (its documents), comp (what may be linked) and n_sets (sets of that). Sets that may be linked
+    are compared by their tokens in units of two blocks, so that a row a set and unit leaves a task, never pairs.
     """
     slots = F.ceil(F.col("n_sets") / LINK_ROWS)
     units = sets.withColumn("slots", slots).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("slots")))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
     least, most = F.least("block", "other"), F.greatest("block", "other")
-    units = units.select("comp", (least * F.col("slots") + most).alias("part"), (F.col("block") == least).alias("own"), (least == most).alias("same"), "sid", "size")
-    units = units.join(asked_sets(docs, sets.select("sid"), k), "sid").select("comp", "part", "own", "same", "sid", "size", "tokens")
+    units = units.select("comp", (least * F.col("slots") + most).alias("part"), (F.col("block") == least).alias("own"), (least == most).alias("same"), "sid", "size", "slots")
+    units = units.join(asked_sets(docs, sets.select("sid"), k), "sid")
     units = units.repartition("comp", "part").sortWithinPartitions("comp", "part")
-    return units.mapInArrow(lambda b: count_links(b, percent), "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
-
-
-def bits_of(ids: np.ndarray) -> np.ndarray:
-    """The filter bit of set ids."""
-    return (mix(ids.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    found = materialize(units.mapInArrow(lambda b: verify_units(b, percent), "sid long, links long, root long, slots long"))
+    out = found.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("comp"), F.max("slots").alias("slots"))
+    split = found.filter("slots > 1")
+    if split.isEmpty():
+        return out.drop("slots")
+    parts = components(split.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    out = out.join(parts.withColumnsRenamed({"node": "sid", "comp": "whole"}), "sid", "left")
+    return out.select("sid", "links", F.when(F.col("slots") > 1, F.coalesce("whole", "sid")).otherwise(F.col("comp")).alias("comp"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -445,25 +470,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     Words are separated by white space and lower-cased within A-Z. Documents link when their sets of distinct
     shingles have a Jaccard similarity of `percent` or more. component_id is the smallest id that links lead to;
-    n_links is the number of other rows, copies among them, that the document links with. Null, empty and blank texts have no shingles and link with nothing, not even with each other.
-    Rows that repeat an id are documents of their own; a null id is never a component_id unless all ids of it are null.
-
-    Equal sets count once, under a 64-bit hash of the set. Buckets of one signature first link all their sets to one of
-    them, twice; what this leaves in different components is then compared within the bucket, in blocks. All links lie
-    inside components, so for n_links the sets of each one of more than two are compared, in blocks too. docs is read several
-    times and must give the same rows in the same partitions, as files and checkpoints do.
+    n_links is the number of other rows, copies among them, that the document links with. Null, empty and blank texts
+    have no shingles and link with nothing, not even with each other. Rows that repeat an id are documents of their
+    own; a null id is never a component_id unless all ids of it are null. Texts of any length take part whole; a
+    text's tokens are held at once. Other columns aren't read. An empty table gives no rows.
+
+    Equal sets count once, under a 64-bit hash of the set. Within the buckets of signatures, sizes and parity maps tell
+    which sets may be similar; a forest of those links what has to be compared, and what it links is then compared
+    by whole sets, in blocks. Texts are read three times; nothing relies on the order or place of rows.
     """
     return grouped(docs, shingle, percent, id_col, text_col).drop("comp")
 
 
-def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, count: bool = True) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, rid_col: str | None = None) -> DataFrame:
     """What near_duplicates gives, and comp, which tells components apart where ids repeat; null without shingles.
 
-    Without `count`, n_links is 0.
+    rid is rid_col's value, or a new number of each row.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), rid.alias("rid"), F.col(text_col).alias("body"))
     body = docs.select(F.col(text_col).alias("body"))
     read = materialize(rows.mapInArrow(lambda batches: read_sets(batches, shingle), "id string, rid long, n int, sid long, map binary, part int, counts binary"))
     classes = spark.sparkContext.broadcast(token_classes(read))
@@ -476,72 +503,43 @@ def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
                 n = hi - lo
                 row, token = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
                 ids, sizes = set_ids(row, token, n), np.bincount(row, minlength=n)
-                once = np.zeros(n, bool)  # copies within the batch are indexed once
+                once = np.zeros(n, bool)  # copies within the slice are indexed once
                 once[np.unique(ids, return_index=True)[1]] = True
                 row, token = row[once[row]], token[once[row]]
-                at, sig = signatures(row, token, n, classes.value, percent)
+                at, sig, level = signatures(row, token, n, classes.value, percent)
+                at, sig = dealt(at, sig, level, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[at]), pa.array(sizes[at], pa.int32())], names=["sig", "sid", "n"])
 
-    bucket = Window.partitionBy("sig")
-
-    def star(turn: int, *names: str):
-        """One row of each bucket, the same in an eighth of the buckets that hold the same rows."""
-        return F.min(F.struct(F.xxhash64(F.lit(turn), F.pmod("sig", F.lit(CENTRES)), "sid").alias("place"), *names)).over(bucket)
-
-    found = body.mapInArrow(index, "sig long, sid long, n int").withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket), "centre": star(0, "sid", "n")})
-    shared = materialize(found.filter("lo <> hi").select("sig", "sid", "n", F.col("centre.sid").alias("c"), F.col("centre.n").alias("c_n")).distinct())
-    near = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent
+    found = body.mapInArrow(index, "sig long, sid long, n int").repartition("sig").sortWithinPartitions("sig")
+    shared = found.mapInArrow(lambda b: shared_buckets(b, percent), "bucket long, sid long")
     maps = read.filter("sid is not null").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("map").alias("map"))
-    ordered = (F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b"))
-    stars = materialize(screened(shared.filter("sid <> c").filter(near).select(*ordered).distinct(), maps, percent))
-    links = materialize(verified(body, stars, shingle, percent))
-    parts = components(links)
-
-    def still_mixed():
-        own = shared.select("sig", "sid", "n").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        own = own.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket), "rows": F.count("*").over(bucket)})
-        return own.filter("first <> last").drop("first", "last")
-
-    again = still_mixed().withColumn("centre", star(1, "sid", "n", "comp")).filter("comp <> centre.comp")
-    again = again.select("sid", "n", F.col("centre.sid").alias("c"), F.col("centre.n").alias("c_n")).filter(near).select(*ordered).distinct()
-    again = materialize(screened(again, maps, percent).join(stars, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(verified(body, again, shingle, percent)))
-    parts, stars = components(links), stars.unionByName(again)
-
-    mixed = still_mixed().join(maps.select("sid", "map"), "sid")
-    slots = F.ceil(F.col("rows") / BLOCK_ROWS)
-    block = F.pmod(F.xxhash64("sid"), slots)
-    units = mixed.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))})
-    least, most = F.least("block", "other"), F.greatest("block", "other")
-    units = units.select("sig", (least * slots + most).alias("part"), ((F.col("block") == least) | (least == most)).alias("own"), "sid", "comp", "n", "map")
-    units = units.repartition("sig", "part").sortWithinPartitions("sig", "part")
-    more = materialize(units.mapInArrow(lambda b: candidates_of(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(verified(body, more, shingle, percent)))
-    parts = components(links)
+    shared = shared.groupBy("sid").agg(F.collect_set("bucket").alias("buckets")).join(maps, "sid")
+    shared = shared.select(F.explode("buckets").alias("bucket"), "sid", "n", "map").repartition("bucket").sortWithinPartitions("bucket")
+    parts = components(shared.mapInArrow(lambda b: families(b, percent), "a long, b long"))
 
     by_set = sets.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    by_set = by_set.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    by_comp = by_set.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets"), F.sum("size").alias("n_rows"))
-    by_set = materialize(by_set.join(by_comp, "comp").select("sid", "size", "comp", "component_id", "n_sets", "n_rows"))
-    if count:
-        met = links_within(body, by_set.filter("n_sets > 2"), shingle, percent)
-        by_set = by_set.join(met, "sid", "left").withColumn("n_links", F.when(F.col("n_sets") > 2, F.col("size") - 1 + F.col("links")).otherwise(F.col("n_rows") - 1))
-    else:
-        by_set = by_set.withColumn("n_links", F.lit(0).cast("long"))
-    by_set = materialize(by_set.select("sid", "size", "comp", "component_id", "n_links"))
+    near = parts.unionByName(parts.select(F.col("comp").alias("node"), "comp").distinct()).distinct()
+    near = near.join(near.groupBy("comp").agg(F.count("*").alias("n_sets")), "comp").withColumnRenamed("node", "sid")
+    near = materialize(near.join(by_set.select("sid", "size"), "sid"))
+    links = verified(body, near, shingle, percent)
+    by_set = materialize(by_set.join(links, "sid", "left").select("sid", "least", "size", F.coalesce("comp", "sid").alias("comp"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    by_comp = by_set.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
+    by_set = materialize(join_groups(by_set, materialize(by_comp), "comp", "sets", by_set.count(), F.xxhash64("sid")).select("sid", "size", "comp", "component_id", "n_links"))
     out = join_groups(sets.filter("sid is not null"), by_set, "sid", "size", sets.count(), F.xxhash64("rid"))
-    alone = sets.filter("sid is null").withColumns({"component_id": F.col("id"), "n_links": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
+    alone = sets.filter("sid is null").withColumns({"component_id": F.col("id"), "n_links": F.lit(0).cast("long"), "comp": F.lit(None).cast("long")})
     out = out.select("id", "rid", "n", "component_id", "n_links", "comp").unionByName(alone.select("id", "rid", "n", "component_id", "n_links", "comp"))
-    return out.select(F.col("id").alias(id_col), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "comp")
+    return out.select(F.col("id").alias(id_col), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "comp")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest id (of equal ids, the first).
+    """The rows of docs without near duplicates: of each component the row with the smallest id (of equal ids, one).
 
-    A null id comes last. Rows that only share an id are not duplicates.
+    A null id comes last. Rows that only share an id are not duplicates; rows without words all stay. The columns of
+    docs come back as they were, whatever their names; an empty table stays empty.
     """
-    found = materialize(grouped(docs, shingle, percent, id_col, text_col, count=False).select("comp", F.col(id_col).isNull().alias("nul"), F.col(id_col).alias("id"), "rid"))
+    rows = stamped(docs)
+    own = [f"c{docs.columns.index(c)}" for c in (id_col, text_col)]
+    found = materialize(grouped(rows, shingle, percent, *own, rid_col="rid").select("comp", F.col(own[0]).isNull().alias("nul"), F.col(own[0]).alias("id"), "rid"))
     first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("nul", "id", "rid")).alias("first"))
-    keep = first.select(F.col("first.rid").alias("_rid")).unionByName(found.filter("comp is null").select(F.col("rid").alias("_rid")))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(keep, "_rid", "left_semi").select(*docs.columns)
+    keep = first.select(F.col("first.rid").alias("rid")).unionByName(found.filter("comp is null").select("rid"))
+    return rows.join(keep, "rid", "left_semi").drop("rid").toDF(*docs.columns)
