@@ -24,8 +24,9 @@ SHINGLE, PERCENT = 5, 80
 TABLE_BITS, TABLE_PARTS, TABLE_TREE, FREQUENT, VERY_FREQUENT = 20, 16, 8, 32, 1024
 #: Least bits of a set's parity map; sets to a block of a signature that very many have.
 MAP_BITS, HOT_ROWS = 512, 1 << 14
-#: Rows of whole buckets that a task compares at once; a bucket of more rows than this is compared row by row.
-CHUNK_ROWS, SMALL_BUCKET = 60_000, 32
+#: Rows of the index, and rows with maps, that a task takes at once, in whole buckets; a bucket of more rows than the
+#: third is compared row by row.
+INDEX_ROWS, CHUNK_ROWS, SMALL_BUCKET = 500_000, 60_000, 32
 #: Sets to a block of those that are compared for links, and columns of tokens that are.
 LINK_ROWS, LINK_TOKENS = 1024, 4096
 #: Sets of up to 9 tokens are indexed as small, those from 8 on as large: similar ones always share a kind.
@@ -284,7 +285,7 @@ def shared_buckets(batches, percent: int):
 
     The sets of a signature, in the order of their sizes, are parted where a size is too small for the next one.
     """
-    for t in whole_groups(batches, ["sig"], CHUNK_ROWS):
+    for t in whole_groups(batches, ["sig"], INDEX_ROWS):
         sig, sid, n = (t.column(c).to_numpy() for c in ("sig", "sid", "n"))
         order = np.lexsort((sid, n, sig))
         sig, sid, n = sig[order], sid[order], n[order].astype(np.int64)
@@ -296,10 +297,32 @@ def shared_buckets(batches, percent: int):
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(sig)))
         bucket = mix(np.add.reduceat(mix(sid.view(np.uint64)), start) + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-        live = np.flatnonzero(size > 1)
-        live = live[np.unique(bucket[live], return_index=True)[1]]
-        row = np.repeat(start[live], size[live]) + np.arange(size[live].sum()) - np.repeat(np.cumsum(size[live]) - size[live], size[live])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket[live], size[live]).view(np.int64)), pa.array(sid[row])], names=["bucket", "sid"])
+        few = np.flatnonzero((size > 1) & (size <= SMALL_BUCKET))
+        few = few[np.unique(bucket[few], return_index=True)[1]]
+        row = np.repeat(start[few], size[few]) + np.arange(size[few].sum()) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+        many = merged([sid[start[g] : start[g] + size[g]] for g in np.flatnonzero(size > SMALL_BUCKET)])
+        names = np.array([mix(np.array([mix(x.view(np.uint64)).sum()], np.uint64))[0] for x in many], np.uint64)
+        key = np.concatenate([np.repeat(bucket[few], size[few]), np.repeat(names, [len(x) for x in many])])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate([sid[row], *many]))], names=["bucket", "sid"])
+
+
+def merged(buckets: list[np.ndarray]) -> list[np.ndarray]:
+    """Large buckets, those made one of which the smaller has at least half its sets in the other; no pair of sets is parted.
+
+    The signatures of one group of near copies have much the same sets, so the group is sent on about once a chunk.
+    """
+    out: list[np.ndarray] = []
+    for own in sorted((np.unique(x) for x in buckets), key=len, reverse=True):
+        for k, have in enumerate(out):
+            at = np.minimum(np.searchsorted(have, own), len(have) - 1)
+            inside = have[at] == own
+            if 2 * inside.sum() >= len(own) and len(have) + len(own) <= 4 * HOT_ROWS:
+                if not inside.all():
+                    out[k] = np.union1d(have, own)
+                break
+        else:
+            out.append(own)
+    return out
 
 
 def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
