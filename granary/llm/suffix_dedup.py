@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import _BYTE, join_groups, materialize, mix, powers, slices, string_bytes
+from granary.llm.common import _BYTE, id_table, in_table, join_groups, materialize, mix, powers, slices, string_bytes
 
 #: Bytes of a repeated string; bytes of an anchor's hash; bytes of pieces in a block; places of an anchor in a block.
 LENGTH, ANCHOR, BLOCK_BYTES, BLOCK_PLACES = 400, 24, 2 << 20, 4096
@@ -27,6 +27,8 @@ STRETCH = 104
 #: A longer text is read in segments that overlap by a window.
 SEGMENT = 1 << 22
 _PLACE_BITS = 23
+#: Texts that a task remembers; part of all places from which an anchor is hot.
+SEEN_MOST, HOT_SHARE = 1 << 20, 1024
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -87,98 +89,120 @@ def segment_rows(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Row, place in it, and hash of the anchors of all stretches of texts that are long enough for a window."""
-    out = []
-    long = np.diff(offsets) >= length
-    for begin, part, row, ends in segment_rows(data, offsets, length):
-        _, at, hashes = anchors_at(part, ends, min(STRETCH, length))
-        at = np.unique(at)
-        at = at[long[row[at]]]
-        out.append((row[at], at + begin - offsets[row[at]], hashes[at]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, at, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-    return row, at, hashes
-
+    """Row, hash, first stretch and number of stretches of the anchors of all texts that are long enough for a window.
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, keys: np.ndarray, number: np.ndarray, width: int):
-    """Runs of candidate windows with one anchor: row, first window (in its row), windows, hash, places of the anchor.
-
-    keys holds row * width + place of the repeated anchors, in order, and number their places.
+    The stretches of a text that have one anchor start at neighbouring places. Rows and stretches stand in order.
     """
-    out = []
-    stretch = min(STRETCH, length)
+    stretch, out = min(STRETCH, length), []
+    long = np.diff(offsets) >= length
     for begin, part, row, ends in segment_rows(data, offsets, length):
-        start, at, hashes = anchors_at(part, ends, length)
-        inner, near, _ = anchors_at(part, ends, stretch)
-        if not len(start) or not len(keys):
-            continue
-
-        def places(at, row=row, begin=begin):
-            own = row[at] * width + at + begin - offsets[row[at]]
-            spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            return np.where(keys[spot] == own, number[spot], 0)
-
-        lone = np.zeros(len(part) + 1, np.int64)
-        unique, back = np.unique(near, return_inverse=True)
-        lone[inner + 1] = (places(unique) == 0)[back]
-        np.cumsum(lone, out=lone)
-        keep = lone[start + length - stretch + 1] == lone[start]
+        start, at, hashes = anchors_at(part, ends, stretch)
+        keep = long[row[start]]
+        if begin + len(part) < offsets[row[-1] + 1] if len(row) else False:  # the next segment reads the rest
+            keep &= start < SEGMENT - length + 1
         start, at = start[keep], at[keep]
-        new = np.ones(len(at), bool)
+        new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (np.diff(start) > 1)
         first = np.flatnonzero(new)
-        size, start, at = np.diff(np.append(first, len(at))), start[first], at[first]
-        out.append((row[start], start + begin - offsets[row[start]], size, hashes[at], places(at)))
+        size = np.diff(np.append(first, len(start)))
+        start, at = start[first], at[first]
+        out.append((row[start], start + begin - offsets[row[start]], size, hashes[at], at + begin - offsets[row[start]]))
     if not out:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    row, start, size, hashes, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    new = np.ones(len(row), bool)  # an anchor may go on in the next segment
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | (start[1:] != start[:-1] + size[:-1])
+    first = np.flatnonzero(new)
+    size = np.add.reduceat(size, first) if len(first) else size
+    return [row[first], start[first], size, hashes[first]]
 
 
 def lists(values: np.ndarray, edges: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
 
 
+def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """SHA-256 of each text, and its first 64 bits, by which equal texts are known."""
+    sha = [hashlib.sha256(data[s:e].tobytes()).hexdigest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return sha, np.array([int(x[:16], 16) for x in sha], np.uint64).view(np.int64)
+
+
+def unseen(ids: np.ndarray, seen: set) -> np.ndarray:
+    """Which ids this task meets for the first time, as far as it remembers."""
+    if len(seen) > SEEN_MOST:
+        seen.clear()
+    fresh = np.zeros(len(ids), bool)
+    fresh[np.unique(ids, return_index=True)[1]] = True
+    fresh &= np.array([x not in seen for x in ids.tolist()], bool)
+    seen.update(ids.tolist())
+    return fresh
+
+
 def read_anchors(batches, length: int):
-    """A row for each document: its digest, and the hashes and places of its anchors."""
+    """A row for each document: its digest, and its anchors unless the task has met the text before."""
+    seen: set[int] = set()
     for batch in batches:
         data, offsets = string_bytes(batch.column("body"))
         n = batch.num_rows
-        row, at, hashes = all_anchors(data, offsets, length)
-        key = row * (int(np.diff(offsets).max(initial=0)) + 1) + at
-        order = np.unique(key, return_index=True)[1]
-        edges = np.searchsorted(row[order], np.arange(n + 1))
-        sha = [hashlib.sha256(data[offsets[i] : offsets[i + 1]].tobytes()).hexdigest() for i in range(n)]
+        sha, tid = digests(data, offsets)
+        row, start, size, hashes = all_anchors(data, offsets, length)
+        own = unseen(tid, seen)[row]
+        row, start, size, hashes = row[own], start[own], size[own], hashes[own]
+        edges = np.searchsorted(row, np.arange(n + 1))
         yield pa.RecordBatch.from_arrays([
-            batch.column("id"), batch.column("rid"), pa.array(np.diff(offsets)), pa.array(sha),
-            lists(hashes[order].view(np.int64), edges, pa.int64()), lists(at[order], edges, pa.int64()),
-        ], names=["id", "rid", "bytes", "sha", "anchors", "places"])
+            batch.column("id"), batch.column("rid"), pa.array(np.diff(offsets)), pa.array(sha), pa.array(tid),
+            lists(hashes.view(np.int64), edges, pa.int64()), lists(start, edges, pa.int64()), lists(size, edges, pa.int32()),
+        ], names=["id", "rid", "bytes", "sha", "tid", "keys", "starts", "sizes"])
+
+
+def plan_pieces(batches, length: int):
+    """From the repeated anchors of each text alone: the pieces that hold its candidate windows, by anchor.
+
+    A window is a candidate if all stretches in it have repeated anchors. Its anchor is the least of theirs; of equal
+    ones, the first. Neighbouring windows with one anchor's hash are a piece.
+    """
+    inner = length - min(STRETCH, length)
+    for batch in batches:
+        marks = batch.column("marks")
+        flat = marks.flatten()
+        start, size, key, number = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "size", "key", "n"))
+        row = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy())
+        order = np.lexsort((start, row))
+        row, start, size, key, number = (x[order] for x in (row, start, size, key, number))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + size[:-1])
+        edges = np.append(np.flatnonzero(new), len(row))
+        out = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            total = int(size[lo:hi].sum())
+            for at in range(0, total - inner, SEGMENT):
+                part = np.repeat(np.arange(lo, hi), size[lo:hi])[at : at + SEGMENT + inner] if at or total > SEGMENT + inner else np.repeat(np.arange(lo, hi), size[lo:hi])
+                rank = (key[part].view(np.uint64) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | (part - part[0]).astype(np.uint64)
+                best = (sliding_min(rank, inner + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + part[0]
+                first = np.flatnonzero(np.concatenate([[True], key[best[1:]] != key[best[:-1]]]))
+                out.append((np.full(len(first), row[lo]), start[lo] + at + first, np.diff(np.append(first, len(best))), key[best[first]], number[best[first]]))
+        if not out:
+            continue
+        row, begin, windows, key, number = (np.concatenate(x) for x in zip(*out, strict=True))
+        live = np.unique(row)
+        edges = np.append(np.searchsorted(row, live), len(row))
+        yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(live)), *(lists(x, edges, pa.int64()) for x in (begin, windows, key, number))], names=["tid", "begin", "windows", "keys", "numbers"])
 
 
 def cut_pieces(batches, length: int):
-    """The pieces of each document around anchors that stand elsewhere too. Neighbours with one key are one piece."""
+    """The bytes of the planned pieces."""
     for batch in batches:
         data, offsets = string_bytes(batch.column("body"))
-        width = int(np.diff(offsets).max(initial=0)) + 1
-        marks, counts = batch.column("marks"), batch.column("counts")
-        owner = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy())
-        keys = owner * width + marks.flatten().to_numpy()
-        order = np.argsort(keys)
-        row, start, size, hashes, number = runs_of(data, offsets, length, keys[order], counts.flatten().to_numpy()[order], width)
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]) | (start[1:] != start[:-1] + size[:-1])
-        first = np.flatnonzero(new)
-        begin, last = start[first], np.append(first[1:], len(row)) - 1
-        windows = start[last] + size[last] - begin if len(first) else begin
-        row, hashes, number = row[first], hashes[first], number[first]
+        row = np.repeat(np.arange(batch.num_rows), batch.column("begin").value_lengths().to_numpy())
+        begin, windows, key, number = (batch.column(c).flatten().to_numpy() for c in ("begin", "windows", "keys", "numbers"))
+        tid = batch.column("tid").to_numpy()[row]
         left = offsets[row] + begin
         parts = [data[s : s + m].tobytes() for s, m in zip(left.tolist(), (windows + length - 1).tolist(), strict=True)]
         slots = -(-number // BLOCK_PLACES)
-        slot = (mix((batch.column("rid").to_numpy()[row] * 1_000_003 + begin).astype(np.uint64)) % slots.astype(np.uint64)).astype(np.int32) if len(row) else np.zeros(0, np.int32)
+        slot = (mix(mix(tid.view(np.uint64)) + begin.astype(np.uint64)) % slots.astype(np.uint64)).astype(np.int32) if len(row) else np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array(hashes.view(np.int64)), pa.array(slot, pa.int32()), pa.array(slots > 1), pa.array(batch.column("rid").to_numpy()[row]),
-            pa.array(begin, pa.int64()), pa.array(windows, pa.int64()), pa.array(parts, pa.binary()),
-        ], names=["key", "slot", "hot", "rid", "start", "windows", "piece"])
+            pa.array(key), pa.array(slot, pa.int32()), pa.array(slots > 1), pa.array(tid), pa.array(begin), pa.array(windows), pa.array(parts, pa.binary()),
+        ], names=["key", "slot", "hot", "tid", "start", "windows", "piece"])
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -314,7 +338,7 @@ def repeated_windows(pieces: list[bytes], windows: np.ndarray, times: np.ndarray
     return piece, inside, kind, np.bincount(kind, weights=times[piece]).astype(np.int64)
 
 
-FOUND = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("known", pa.bool_())])
+FOUND = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("known", pa.bool_())])
 
 
 def solve(batches, length: int):
@@ -339,7 +363,7 @@ def solve(batches, length: int):
 
 def block(held: list[pa.RecordBatch], length: int):
     table = pa.Table.from_batches(held)
-    rid, start, windows, hot = (table.column(c).to_numpy() for c in ("rid", "start", "windows", "hot"))
+    tid, start, windows, hot = (table.column(c).to_numpy() for c in ("tid", "start", "windows", "hot"))
     coded = table.column("piece").combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
@@ -360,21 +384,21 @@ def block(held: list[pa.RecordBatch], length: int):
     runs = edges[code + 1] - edges[code]
     place = np.repeat(np.arange(len(code)), runs)
     which = np.repeat(edges[code], runs) + np.arange(len(place)) - np.repeat(np.cumsum(runs) - runs, runs)
-    yield found(rid[place], start[place] + w[which], start[place] + stop[which])
+    yield found(tid[place], start[place] + w[which], start[place] + stop[which])
     if hot.any():
         lead = np.concatenate([[True], kind[1:] != kind[:-1]]) & hot[one[piece]]
         at = np.flatnonzero(lead)
         for lo in range(0, len(at), 100_000):
             part = at[lo : lo + 100_000]
-            digests = np.frombuffer(b"".join(hashlib.blake2b(pieces[a][b : b + length], digest_size=16).digest() for a, b in zip(piece[part].tolist(), inside[part].tolist(), strict=True)), np.int64).reshape(-1, 2)
+            both = np.frombuffer(b"".join(hashlib.blake2b(pieces[a][b : b + length], digest_size=16).digest() for a, b in zip(piece[part].tolist(), inside[part].tolist(), strict=True)), np.int64).reshape(-1, 2)
             owner = one[piece[part]]
             begin = start[owner] + inside[part]
-            yield found(rid[owner], begin, begin + length, digests[:, 0], digests[:, 1], count[kind[part]] > 1)
+            yield found(tid[owner], begin, begin + length, both[:, 0], both[:, 1], count[kind[part]] > 1)
 
 
-def found(rid, start, end, d1=None, d2=None, known=None) -> pa.RecordBatch:
-    n = len(rid)
-    cols = [rid, start, end, d1, d2, known]
+def found(tid, start, end, d1=None, d2=None, known=None) -> pa.RecordBatch:
+    n = len(tid)
+    cols = [tid, start, end, d1, d2, known]
     return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, FOUND, strict=True)], schema=FOUND)
 
 
@@ -398,7 +422,45 @@ def strip(batches):
             shas.append(hashlib.sha256(rest).hexdigest())
             removed.append(len(body) - len(rest))
             runs.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(shas)], names=["rid", "n_removed", "n_spans", "kept", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(shas)], names=["tid", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+
+def texts_of(docs: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """tid, body of the distinct texts whose ids stand in `asked`, and perhaps some more; of all texts without it."""
+    table = None if asked is None else docs.sparkSession.sparkContext.broadcast(id_table(asked, "tid"))
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            _, tid = digests(*string_bytes(batch.column("body")))
+            keep = unseen(tid, seen)
+            if table is not None:
+                keep &= in_table(table.value, tid)
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(tid).take(at), batch.column("body").take(at)], names=["tid", "body"])
+
+    return docs.select("body").mapInArrow(run, "tid long, body string").dropDuplicates(["tid"])
+
+
+def repeated_anchors(read: DataFrame) -> DataFrame:
+    """tid, key, start, size, n of the anchors whose hash stands at n places, n > 1.
+
+    Hot hashes are found on a sixteenth of the documents: fewer than HOT_SHARE of them have more than that part of
+    its places. They are counted by partial sums and their counts are broadcast; all others are counted by a shuffle.
+    """
+    def places(rows: DataFrame) -> DataFrame:
+        return rows.select("tid", F.explode(F.arrays_zip("keys", "starts", "sizes")).alias("x")).select(F.col("x.keys").alias("key"), "tid", F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"))
+
+    some = read.filter(F.pmod(F.xxhash64("rid"), F.lit(16)) == 3).select(F.explode("keys").alias("key"))
+    least = max(16, some.count() // HOT_SHARE)
+    hot = [r["key"] for r in some.groupBy("key").count().filter(F.col("count") > least).select("key").collect()]
+    rows = places(read)
+    if not hot:
+        return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    names = F.broadcast(read.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
+    counts = materialize(rows.join(names, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
+    cold = rows.join(names, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return cold.unionByName(rows.join(F.broadcast(counts), "key").select(*cold.columns)).filter("n > 1")
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -406,41 +468,39 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     Removed is each byte covered by a string of `length` bytes of UTF-8 that also starts anywhere else, in the same or
     another document; strings are judged on the input. Null counts as empty; rows that repeat an id or a text are
-    documents of their own, so of copies of at least `length` bytes nothing stays. Other columns aren't read.
+    documents of their own, so of copies of at least `length` bytes nothing stays. Longer texts than SEGMENT are read
+    in segments that overlap. Other columns aren't read. An empty table gives no rows.
 
-    Equal texts take part once. docs is read twice and must give the same rows in the same partitions, as files and
-    checkpoints do.
+    Equal texts, known by 64 bits of their SHA-256, take part once. Which windows may repeat follows from the hashes
+    and places of anchors alone; texts are read again only to cut the pieces that hold those windows, and once more to
+    hash what is left of them. Nothing relies on the order or place of rows.
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    read = materialize(rows.mapInArrow(lambda b: read_anchors(b, length), "id string, rid long, bytes long, sha string, anchors array<long>, places array<long>"))
-    texts = materialize(read.groupBy("sha").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.any_value("bytes").alias("n_bytes")))
-    total = read.count()
-    alone = read.join(texts.select(F.col("rep").alias("rid"), "copies"), "rid")
-    marks = alone.select("rid", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("rid", F.col("x.anchors").alias("key"), F.col("x.places").alias("place"))
-    marks = marks.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    marks = marks.groupBy("rid").agg(F.collect_list(F.struct("place", "n")).alias("m"))
-    marks = marks.select("rid", F.col("m.place").alias("marks"), F.col("m.n").alias("counts"))
-    asked = materialize(rows.select("rid", "body").join(marks, "rid"))
-    pieces = asked.mapInArrow(lambda b: cut_pieces(b, length), "key long, slot int, hot boolean, rid long, start long, windows long, piece binary")
+    read = materialize(rows.mapInArrow(lambda b: read_anchors(b, length), "id string, rid long, bytes long, sha string, tid long, keys array<long>, starts array<long>, sizes array<int>"))
+    texts = materialize(read.groupBy("tid").agg(F.count("*").alias("copies"), F.any_value("bytes").alias("n_bytes"), F.any_value("sha").alias("sha")))
+    marks = repeated_anchors(read).groupBy("tid").agg(F.collect_set(F.struct("start", "size", "key", "n")).alias("marks"))
+    plan = materialize(marks.mapInArrow(lambda b: plan_pieces(b, length), "tid long, begin array<long>, windows array<long>, keys array<long>, numbers array<long>"))
+    pieces = texts_of(rows, plan).join(plan, "tid").mapInArrow(lambda b: cut_pieces(b, length), "key long, slot int, hot boolean, tid long, start long, windows long, piece binary")
     pieces = pieces.repartition("key", "slot").sortWithinPartitions("key", "slot")
-    hits = materialize(pieces.mapInArrow(lambda b: solve(b, length), "rid long, start long, end long, d1 long, d2 long, known boolean"))
-    left = hits.filter("d1 is not null").withColumn("n", F.count("*").over(Window.partitionBy("d1", "d2"))).filter("n > 1 and not known")
-    spans = hits.filter("d1 is null").select("rid", "start", "end").unionByName(left.select("rid", "start", "end"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = asked.select("rid", "body").join(spans, "rid").mapInArrow(strip, "rid long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    cut = cut if with_bytes else cut.drop("kept")
-    by_text = texts.join(cut.withColumnRenamed("rid", "rep"), "rep", "left")
+    hits = materialize(pieces.mapInArrow(lambda b: solve(b, length), "tid long, start long, end long, d1 long, d2 long, known boolean"))
+    span = F.struct("tid", "start", "end")
+    left = hits.filter("d1 is not null").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("known"), span)).alias("spans"))
+    left = left.filter("n > 1").select(F.explode("spans").alias("s")).select("s.*")  # a row a block and kind of window
+    spans = hits.filter("d1 is null").select("tid", "start", "end").unionByName(left)
+    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    spans = materialize(spans.join(texts.filter(~whole).select("tid"), "tid"))
+    bodies = texts_of(rows, None if with_bytes else spans).join(spans, "tid", "left" if with_bytes else "inner")
+    cut = bodies.mapInArrow(strip, "tid long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     columns = {
         "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))),
         "n_spans": F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"),
         "kept_sha256": F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")),
     }
     if with_bytes:
-        by_rep = rows.select(F.col("rid").alias("rep"), F.col("body").cast("binary").alias("body"))
-        by_text = by_text.join(by_rep, "rep")
-        columns["kept"] = F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "body"))
-    by_text = materialize(by_text.withColumns(columns).select("sha", "copies", "n_bytes", *columns))
-    out = join_groups(read.select("id", "rid", "sha"), by_text, "sha", "copies", total, F.xxhash64("rid"))
+        columns["kept"] = F.when(whole, F.lit(b"")).otherwise(F.col("kept"))
+    by_text = texts.join(cut if with_bytes else cut.drop("kept"), "tid", "left")
+    by_text = materialize(by_text.withColumns(columns).select("tid", "copies", "n_bytes", *columns))
+    out = join_groups(read.select("id", "rid", "tid"), by_text, "tid", "copies", read.count(), F.xxhash64("rid"))
     return out.select(F.col("id").cast(kind).alias(id_col), "rid", "n_bytes", *columns)
