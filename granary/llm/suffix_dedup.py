@@ -446,7 +446,7 @@ def repeated_anchors(read: DataFrame) -> DataFrame:
     """tid, key, start, size, n of the anchors whose hash stands at n places, n > 1.
 
     Hot hashes are found on a sixteenth of the documents: fewer than HOT_SHARE of them have more than that part of
-    its places. They are counted by partial sums and their counts are broadcast; all others are counted by a shuffle.
+    its places. They are counted by partial sums and their counts go to the tasks; all others are counted by a shuffle.
     """
     def places(rows: DataFrame) -> DataFrame:
         return rows.select("tid", F.explode(F.arrays_zip("keys", "starts", "sizes")).alias("x")).select(F.col("x.keys").alias("key"), "tid", F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"))
@@ -457,10 +457,24 @@ def repeated_anchors(read: DataFrame) -> DataFrame:
     rows = places(read)
     if not hot:
         return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    names = F.broadcast(read.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
-    counts = materialize(rows.join(names, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
-    cold = rows.join(names, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return cold.unionByName(rows.join(F.broadcast(counts), "key").select(*cold.columns)).filter("n > 1")
+    counts = dict(rows.filter(F.col("key").isin(hot)).groupBy("key").count().collect())
+    shared = read.sparkSession.sparkContext.broadcast(counts)
+    cold = rows.filter(~F.col("key").isin(hot)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    warm = read.select("tid", "keys", "starts", "sizes").mapInArrow(lambda b: hot_places(b, shared.value), "key long, tid long, start long, size int, n long")
+    return cold.unionByName(warm).filter("n > 1")
+
+
+def hot_places(batches, counts: dict[int, int]):
+    """The places of some anchors, with the number that each has in all."""
+    names = np.sort(np.array(list(counts), np.int64))
+    numbers = np.array([counts[k] for k in names.tolist()], np.int64)
+    for batch in batches:
+        keys = batch.column("keys").flatten().to_numpy()
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        hit = np.flatnonzero(names[at] == keys)
+        row = np.repeat(np.arange(batch.num_rows), batch.column("keys").value_lengths().fill_null(0).to_numpy())[hit]
+        starts, sizes = (batch.column(c).flatten().to_numpy()[hit] for c in ("starts", "sizes"))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(batch.column("tid").to_numpy()[row]), pa.array(starts), pa.array(sizes, pa.int32()), pa.array(numbers[at[hit]])], names=["key", "tid", "start", "size", "n"])
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
