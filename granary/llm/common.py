@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/granary"
 
 
+#: Tasks that sum what other tasks have gathered.
+SUM_TASKS = 32
+
 #: Folders that this process has written, in order.
 _written: list[str] = []
 
@@ -88,6 +92,26 @@ def bounded_sample(rows: DataFrame, n: int, *key: Column) -> list:
     return sorted(rows.toLocalIterator(), key=lambda r: r["_place"])[:n]
 
 
+def packed(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["sums"])
+
+
+def add_up(batches):
+    total = None
+    for batch in batches:
+        for x in batch.column("sums"):
+            own = np.frombuffer(zlib.decompress(x.as_py()))
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield packed(total)
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of what tasks gathered in `sums`."""
+    parts = rows.select("sums").repartition(SUM_TASKS).mapInArrow(add_up, "sums binary").toLocalIterator()
+    return sum((np.frombuffer(zlib.decompress(r["sums"])) for r in parts), np.zeros(size))
+
+
 def words_of(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

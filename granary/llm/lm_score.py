@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, bounded_sample, materialize, slices, string_bytes
+from granary.llm.common import Words, bounded_sample, materialize, packed, slices, string_bytes, summed
 
 #: Public byte-level BPE ranks; one more id ends a text.
 VOCABULARY_FILE, IDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50257
@@ -26,8 +26,8 @@ CLASSES, SINGLE, WIDTH, SEEN, ADVANCE = 128, 96, 16, 16, 12
 FIRST_DOCS, FIRST_STEPS, BATCH, RATE = 800, 600, 256, 0.05
 #: Shares of the attention model that are tried.
 MIXES = np.arange(1, 20) / 20
-#: Words whose counts travel to all tasks at most, cached words of a task, tasks that sum what tasks gathered.
-HEAD_WORDS, CACHE_WORDS, SUM_TASKS = 1 << 17, 1 << 20, 32
+#: Words whose counts travel to all tasks at most, cached words of a task.
+HEAD_WORDS, CACHE_WORDS = 1 << 17, 1 << 20
 #: Windows that are scored together, so that their arrays stay in a core's cache; windows that wait for training at most.
 SCORED, TRAINED = 192, 1 << 14
 
@@ -244,10 +244,6 @@ def encoded(batches, ranks: bytes):
             yield hashes, *subwords.sequences(words, hashes)
 
 
-def packed(sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["sums"])
-
-
 def count_ids(batches, ranks: bytes):
     """How often each id stands in a task's documents."""
     seen = np.zeros(IDS)
@@ -322,22 +318,6 @@ def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *packed(sums).columns], names=["word", "count", "sums"])
 
 
-def add_up(batches):
-    total = None
-    for batch in batches:
-        for x in batch.column("sums"):
-            own = np.frombuffer(zlib.decompress(x.as_py()))
-            total = own.copy() if total is None else total + own
-    if total is not None:
-        yield packed(total)
-
-
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of what tasks gathered in `sums`."""
-    parts = rows.select("sums").repartition(SUM_TASKS).mapInArrow(add_up, "sums binary").toLocalIterator()
-    return sum((np.frombuffer(zlib.decompress(r["sums"])) for r in parts), np.zeros(size))
-
-
 def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
     """The model, and the counts of all training words but those in its head."""
     spark = docs.sparkSession
