@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, words_of
+from granary.llm.common import materialize, stamped, words_of
 
-#: Words to a block, documents (on average) to a slice of a source's order, words to an output shard.
-BLOCK_WORDS, SLICE_DOCS, SHARD_WORDS = 256, 512, 8_000_000
+#: Words to a block, blocks of all sources at most (larger corpora have larger blocks, so that numpy draws exactly),
+#: documents (on average) to a slice of a source's order, slices that are summed together, words to an output shard.
+BLOCK_WORDS, MOST_BLOCKS, SLICE_DOCS, SLICES, SHARD_WORDS = 256, 400_000_000, 512, 4096, 8_000_000
 #: The driver splits the tree down to so many nodes; tasks split the rest.
 TOP_NODES = 64
 #: No document is used more often.
@@ -67,31 +68,31 @@ def split(quotas: np.ndarray, lo: int, hi: int, stop: int, seed: int) -> list[tu
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric number; by its normal limit where the generator's range ends."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    all_ = good + bad
-    sd = math.sqrt(n * good / all_ * bad / all_ * (all_ - n) / (all_ - 1))
-    return int(min(max(round(rng.normal(n * good / all_, sd)), n - bad, 0), good, n))
+    """A hypergeometric number."""
+    return int(rng.hypergeometric(good, bad, n)) if n else 0
 
 
-def mix_plan(docs: DataFrame, weights: Callable[[list], list[float]], share: float = 1.5, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Callable[[list], list[float]], share: float = 1.5, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 7, rid_col: str | None = None) -> DataFrame:
     """One row a document: key (hash of id and text), rid, id, source, size, source_size, target, draws.
 
     draws is an array of (shard, round) of at most MOST entries, empty for documents that the mix leaves out. The
     null source is a source of its own and the last; null and empty texts have size 0 and are never drawn. Rows that
-    repeat an id and text are documents of their own. Reruns over the same rows agree, however they are partitioned.
+    repeat an id and text are documents of their own, and stand in any order. Reruns over the same rows agree, however
+    they are partitioned. A document belongs to the block that holds its middle word, so each source's taken words
+    miss its target by half a document and half a block at most. rid is rid_col's value, or a new number of each row.
     Per source, a few numbers pass through the driver; blocks, documents and the tree's lower part stay in tasks.
+    An empty table gives no rows; other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"))
     rows = materialize(rows)
     stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()
     stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
     spark, names = docs.sparkSession, [r["source"] for r in stats]
     sizes = [int(r["words"]) for r in stats]
     goals = targets(sizes, weights(names), share * sum(sizes))
-    blocks = [-(-size // BLOCK_WORDS) for size in sizes]
-    quotas = np.array([min(MOST * b, round(b * goal / size)) if size else 0 for b, goal, size in zip(blocks, goals, sizes, strict=True)], np.int64)
+    words = max(BLOCK_WORDS, -(-sum(sizes) // MOST_BLOCKS))
+    blocks = [-(-size // words) for size in sizes]
+    quotas = np.array([min(MOST * b, round(goal / words + (b - size / words) * (goal // size))) if size else 0 for b, goal, size in zip(blocks, goals, sizes, strict=True)], np.int64)
     shards = max(1, math.ceil(sum(goals) / SHARD_WORDS))
     slices = [1 << max(0, math.ceil(math.log2(max(1, r["docs"] / SLICE_DOCS)))) for r in stats]
     rng = np.random.default_rng([seed, 0])
@@ -104,11 +105,14 @@ def mix_plan(docs: DataFrame, weights: Callable[[list], list[float]], share: flo
 
     # Words before each document in its source's order: those of earlier slices, then those earlier in its slice.
     rows = rows.withColumn("slice", F.floor(F.shiftrightunsigned("key", 34) * F.col("slices") / F.lit(float(1 << 30))).cast("long"))
-    before = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("s", "slice").agg(F.sum("size").alias("w")).withColumn("base", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
-    inner = Window.partitionBy("s", "slice").orderBy(F.shiftrightunsigned("key", 1), "key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("s", "slab").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("s").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(rows.groupBy("s", "slice").agg(F.sum("size").alias("w")).withColumn("slab", F.floor(F.col("slice") / SLICES)))
+    slabs = offsets.groupBy("s", "slab").agg(F.sum("w").alias("w")).select("s", "slab", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("slabs"))
+    offsets = offsets.withColumn("own", F.coalesce(F.sum("w").over(before), F.lit(0))).join(slabs, ["s", "slab"]).select("s", "slice", (F.col("own") + F.col("slabs")).alias("base"))
+    inner = Window.partitionBy("s", "slice").orderBy(F.shiftrightunsigned("key", 1), "key", "id", "rid").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["s", "slice"])
-    rows = rows.withColumn("block", F.floor((F.col("base") + F.col("inner")) / BLOCK_WORDS))
+    rows = rows.withColumn("block", F.floor((F.col("base") + F.col("inner") + F.floor(F.col("size") / 2)) / words))
 
     taken = block_shards(spark, facts, quotas, shards, seed).groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "round"))).alias("draws"))
     out = rows.join(taken, ["s", "block"], "left").unionByName(empty, allowMissingColumns=True)
@@ -150,12 +154,12 @@ def block_shards(spark, facts: DataFrame, quotas: np.ndarray, shards: int, seed:
 def mix_sources(docs: DataFrame, weights: Callable[[list], list[float]], share: float = 1.5, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """The mixed rows: the columns of docs, once for each draw, dealt to shards and shuffled inside them.
 
-    docs is read twice and must give the same rows in the same partitions, as files and checkpoints do.
+    Columns come back as they were, whatever their names. The rows are written once with their numbers, which the
+    draws are joined by. An empty table stays empty.
     """
-    plan = mix_plan(docs, weights, share, source_col, id_col, text_col, seed).filter("size(draws) > 0")
-    plan = materialize(plan.select(F.col("key").alias("_key"), F.col("rid").alias("_rid"), F.col("draws").alias("_draws")))
-    names = docs.columns
-    keyed = docs.withColumns({"_key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), "_rid": F.monotonically_increasing_id()})
-    rows = keyed.join(plan, ["_key", "_rid"]).withColumn("_draw", F.explode("_draws"))
-    shards = rows.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", F.xxhash64("_key", "_rid", "_draw.round"))
-    return shards.select(*names)
+    rows = stamped(docs)
+    own = [f"c{docs.columns.index(c)}" for c in (source_col, id_col, text_col)]
+    plan = mix_plan(rows, weights, share, *own, seed, rid_col="rid").filter("size(draws) > 0")
+    rows = rows.join(materialize(plan.select("rid", "key", "draws")), "rid").withColumn("draw", F.explode("draws"))
+    shards = rows.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", F.xxhash64("key", "rid", "draw.round"))
+    return shards.drop("rid", "key", "draws", "draw").toDF(*docs.columns)
