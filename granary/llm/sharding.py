@@ -4,66 +4,79 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from granary.llm.common import materialize
+from granary.llm.common import materialize, stamped
 
 #: Production limit of a shard's text bytes.
 SHARD_BYTES = 8 * 1024 * 1024
-#: A bucket that is too large is looked at by so many more bits in the next reading of the keys.
-STEP_BITS = 6
-#: 62 bits of a hash of id and text, then 62 bits of the row's place for rows that repeat both.
+#: Bits by which the first, and the later readings of the keys look deeper at once.
+STEP_BITS, LATER_BITS = 14, 6
+#: 62 bits of a hash of id and text, then 62 bits of the row's number for rows that repeat both.
 MOST_BITS = 124
 
 
-def shard_directory(keys: DataFrame, limit: int) -> list[tuple[int, int, int, int]]:
-    """The buckets as (depth, prefix, bytes, rows) in the order of their prefixes.
+def shard_directory(keys: DataFrame, limit: int) -> DataFrame:
+    """The buckets, with the columns of BUCKET; prefix is in decimal digits.
 
     keys has h1, h2 (62 bits each) and bytes. A bucket splits on its next bit while its bytes are over the limit and
-    it has more than one row. Buckets, not rows, reach the driver: their number follows bytes / limit.
+    it has more than one row. Each turn sums the rows under the buckets that are still too large by their next bits,
+    and splits those buckets as far as these bits go, each in a task. Buckets stay in tables, only how many are left
+    reaches the driver; every row is summed about once for each STEP_BITS bits of the directory's depth.
     """
     total, rows = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    if not rows:
-        return []
-    done: list[tuple[int, int, int, int]] = []
-    open_, depth = [(0, 0, total, rows)], 0
-    while open_:
-        step = min(MOST_BITS - depth, STEP_BITS if depth else STEP_BITS // 2 + max(0, math.ceil(math.log2(max(1, total / limit)))))
-        todo = [b for b in open_ if b[2] > limit and b[3] > 1 and step > 0]
-        done += [b for b in open_ if not (b[2] > limit and b[3] > 1 and step > 0)]
-        if not todo:
-            break
-        fine = bins(keys, depth, [b[1] for b in todo], depth + step)
-        open_ = []
-        for _, prefix, size, count in todo:
-            level = [(depth, prefix, size, count)]
-            for d in range(depth + 1, depth + step + 1):
-                over = [b for b in level if b[2] > limit and b[3] > 1]
-                done += [b for b in level if not (b[2] > limit and b[3] > 1)]
-                shift = depth + step - d
-                level = [(d, child, *fine[shift].get(child, (0, 0))) for b in over for child in (2 * b[1], 2 * b[1] + 1)]
-            open_ += level
-        depth += step
-    return sorted((b for b in done if b[3]), key=lambda b: b[1] << (MOST_BITS - b[0]))
-
-
-def bins(keys: DataFrame, depth: int, inside: list[int], to: int) -> list[dict[int, tuple[int, int]]]:
-    """Bytes and rows by the first `to` bits, and by one bit less, and so on, for rows under the given prefixes."""
-    spark = keys.sparkSession
-    rows = keys.select(prefix(depth).alias("p"), prefix(to).alias("bin"), "bytes")
-    if depth:
-        rows = rows.join(spark.createDataFrame([(str(p),) for p in inside], "p string"), "p", "left_semi")
-    found = rows.groupBy("bin").agg(F.sum("bytes"), F.count("*")).collect()
-    level = {int(b): (size, n) for b, size, n in found}
-    out = [level]
+    done = keys.sparkSession.createDataFrame([(0, "0", "", 0, 0, total, rows)] if rows and (total <= limit or rows == 1) else [], BUCKET)
+    depth, open_ = 0, None
+    left = int(rows > 1 and total > limit)
+    usual = max(0, math.ceil(math.log2(max(1, total / limit)))) + 3
+    while left and depth < MOST_BITS:
+        to = min(MOST_BITS, depth + (min(STEP_BITS, usual - depth) if depth < usual else LATER_BITS))
+        own = keys.select(prefix(depth).alias("root"), prefix(to).alias("bin"), "bytes")
+        own = own if open_ is None else own.join(open_.select(F.col("prefix").alias("root")), "root", "left_semi")
+        fine = own.groupBy("root", "bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
+        found = materialize(fine.groupBy("root").applyInPandas(splitter(depth, to, limit), BUCKET))
+        over = (F.col("bytes") > limit) & (F.col("rows") > 1) & F.lit(to < MOST_BITS)
+        done, open_, depth = done.unionByName(found.filter(~over)), found.filter(over), to
+        left = open_.count()
+    return done
+
+
+#: A bucket: its bits and their number, where it begins among h1 (l1) and h2 (l2), and what it holds.
+BUCKET = "depth int, prefix string, bits string, l1 long, l2 long, bytes long, rows long"
+
+
+def splitter(depth: int, to: int, limit: int):
+    return lambda key, part: split_root(int(key[0]), part, depth, to, limit)
+
+
+def split_root(root: int, bins: pd.DataFrame, depth: int, to: int, limit: int) -> pd.DataFrame:
+    """Splits a bucket that is too large by the sums of its next bits: at most 2 ** STEP_BITS of them."""
+    n = 1 << (to - depth)
+    at = np.array([int(b) - (root << (to - depth)) for b in bins["bin"]], np.int64)
+    size, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    size[at], rows[at] = bins["bytes"], bins["rows"]
+    levels = [(size, rows)]
     for _ in range(to - depth):
-        up: dict[int, tuple[int, int]] = {}
-        for b, (size, n) in level.items():
-            have = up.get(b >> 1, (0, 0))
-            up[b >> 1] = (have[0] + size, have[1] + n)
-        out.append(level := up)
-    return out
+        levels.append(tuple(x.reshape(-1, 2).sum(1) for x in levels[-1]))
+    out, open_ = [], np.zeros(1, np.int64)
+    for d in range(depth + 1, to + 1):
+        size, rows = levels[to - d]
+        child = (2 * open_[:, None] + np.arange(2)).ravel()
+        child = child[rows[child] > 0]
+        over = (size[child] > limit) & (rows[child] > 1)
+        stay = child if d == to else child[~over]
+        out += [bucket(d, (root << (d - depth)) + int(c), int(size[c]), int(rows[c])) for c in stay]
+        open_ = child[over]
+    return pd.DataFrame(out, columns=["depth", "prefix", "bits", "l1", "l2", "bytes", "rows"])
+
+
+def bucket(depth: int, prefix: int, size: int, rows: int) -> tuple:
+    low = prefix << (MOST_BITS - depth)
+    return depth, str(prefix), format(prefix, f"0{depth}b"), low >> 62, low & ((1 << 62) - 1), size, rows
 
 
 def prefix(bits: int):
@@ -74,43 +87,45 @@ def prefix(bits: int):
     return (F.col("h1").cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << (bits - 62)).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
 
 
+def numbered(buckets: DataFrame) -> DataFrame:
+    """Buckets with shard, a number from 0 in the order of their prefixes."""
+    rows = materialize(buckets.repartitionByRange("l1", "l2").sortWithinPartitions("l1", "l2").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a partition
+    return rows.join(F.broadcast(parts), "part").withColumn("shard", (F.col("base") + F.col("at") - F.shiftleft(F.col("part").cast("long"), 33)).cast("long")).drop("part", "at", "base")
+
+
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with shard, shard_bits, shard_prefix, shard_bytes and shard_rows.
 
     A shard's texts hold at most `limit` bytes of UTF-8; a text that alone is longer has a shard of its own. Shards
     are numbered by the order of their prefixes, and no shard is empty. Null and empty texts have no bytes and go
-    where their hash says. Rows that repeat id and text are split by their place in the input. Columns of docs with
-    the names above are replaced. An empty table has no shards.
+    where their hash says. Rows that repeat id and text are split by their number in the written input. Columns of docs
+    with the names above are replaced; all others come back as they were. An empty table has no shards.
 
     The directory has an entry for each prefix of a common depth, with the shards that begin under it: one, or a chain
     of deeper ones. A row looks up its entry and takes the last shard of the chain that begins at or before its hash.
-    docs is read twice and must give the same rows in the same partitions, as files and checkpoints do.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows")
-    mask = F.lit((1 << 62) - 1)
-    keyed = docs.withColumns({
-        "_h1": F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).bitwiseAND(mask),
-        "_h2": F.xxhash64(F.lit(12), F.monotonically_increasing_id()).bitwiseAND(mask),
-    })
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    shards = shard_directory(materialize(keyed.select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), size.alias("bytes"))), limit)
-    depth = min(62, max([0, *(d for d, *_ in shards)]), 4 + max(0, math.ceil(math.log2(max(1, len(shards))))))
-    facts = []
-    for i, (d, p, held, n) in enumerate(shards):
-        low = p << (MOST_BITS - d)
-        facts.append((i, d, format(p, f"0{d}b") if d else "", low >> 62, low & ((1 << 62) - 1), held, n))
-    facts = spark.createDataFrame(facts, "shard int, shard_bits int, shard_prefix string, l1 long, l2 long, shard_bytes long, shard_rows long")
+    added = ("shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows")
+    docs = docs.drop(*added)
+    rows, mask = stamped(docs), F.lit((1 << 62) - 1)
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    keyed = rows.withColumns({"h1": F.xxhash64(F.lit(11), F.col(f"c{docs.columns.index(id_col)}"), text).bitwiseAND(mask), "h2": F.xxhash64(F.lit(12), F.col("rid")).bitwiseAND(mask)})
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    facts = materialize(numbered(shard_directory(materialize(keyed.select("h1", "h2", size.alias("bytes"))), limit)))
+    deepest, count = facts.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count("*")).first()
+    depth = min(62, deepest, 4 + max(0, math.ceil(math.log2(max(1, count)))))
+    facts = facts.select("l1", "l2", "shard", F.col("depth").alias("shard_bits"), F.col("bits").alias("shard_prefix"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
     first = F.shiftrightunsigned("l1", 62 - depth)
-    entries = facts.withColumn("_entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {depth} - shard_bits))") - 1)))
-    chain = F.array_sort(F.collect_list(F.struct("l1", "l2", "shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows")))
-    directory = entries.groupBy("_entry").agg(chain.alias("_chain"))
-    if depth <= 18:
+    entries = facts.withColumn("entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {depth} - shard_bits))") - 1)))
+    chain = F.array_sort(F.collect_list(F.struct("l1", "l2", *added)))
+    directory = entries.groupBy("entry").agg(chain.alias("chain"))
+    if depth <= 18:  # 2 ** 18 entries at most
         directory = F.broadcast(directory)
-    found = keyed.withColumn("_entry", F.shiftrightunsigned("_h1", 62 - depth)).join(directory, "_entry")
-    begun = F.filter("_chain", lambda x: (x["l1"] < F.col("_h1")) | ((x["l1"] == F.col("_h1")) & (x["l2"] <= F.col("_h2"))))
-    at = F.element_at(begun, -1)
-    return found.withColumn("_at", at).select(*docs.columns, *(F.col("_at")[c].alias(c) for c in ("shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows")))
+    found = keyed.withColumn("entry", F.shiftrightunsigned("h1", 62 - depth)).join(directory, "entry")
+    begun = F.filter("chain", lambda x: (x["l1"] < F.col("h1")) | ((x["l1"] == F.col("h1")) & (x["l2"] <= F.col("h2"))))
+    found = found.withColumn("at", F.element_at(begun, -1))
+    return found.select(*(f"c{i}" for i in range(len(docs.columns))), *(F.col("at")[c] for c in added)).toDF(*docs.columns, *added)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
