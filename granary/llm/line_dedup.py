@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import join_groups, materialize
+from granary.llm.common import join_groups, materialize, stamped
 
 #: Repeated runs of at least so many lines are deleted.
 RUN_LINES = 2
@@ -22,19 +22,24 @@ def repeated_lines(docs: DataFrame, run: int = RUN_LINES, id_col: str = "doc_id"
     rows that repeat an id in input order), or further up in the same one. The first place of each run stays. What is
     earlier is judged on the input, not on what is left, so an overlap of a run with itself is deleted too.
 
-    Any window of `run` line hashes selects its smallest, the last of equal ones, as a fingerprint, so alike runs
-    select alike fingerprints. Each fingerprint's windows (the runs of `run` lines that selected it) are joined with
-    the first place of their content, which extends the match to both sides of the fingerprint; matches of
-    neighbouring windows grow together to whole runs. Work and rows follow the number of lines: a hot line makes one
-    row for each place, never pairs of places. docs is read twice and must give the same rows in the same partitions.
+    Every window of `run` line hashes selects its smallest, the last of equal ones; a line that windows select is a
+    fingerprint, so alike runs select alike fingerprints, and there are fewer of them than windows. Fingerprints are
+    counted by their line, and only those that stand at several places are extended: to the left and right, over
+    the windows that selected them. Places whose extension stands at an earlier place are deleted, and neighbouring
+    matches grow together to whole runs. Work and rows follow the number of lines: a hot line makes one row for each
+    place, never pairs of places. Texts are written once with their numbers; other columns aren't read.
     """
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))
-    windows = rows.mapInPandas(lambda batches: fingerprints(batches, run), "rid long, id string, key string, line int")
-    windows = materialize(windows.select("rid", F.col("id").isNull().alias("nul"), F.col("id").cast(kind).alias("id"), "key", "line"))
+    rows = stamped(docs.select(id_col, text_col)).select(F.col("c0").cast("string").alias("id"), "rid", F.col("c1").alias("body"))
+    found = rows.mapInPandas(lambda batches: fingerprints(batches, run), "rid long, id string, line int, print binary, starts array<int>, windows array<binary>")
+    found = materialize(found.select("rid", F.col("id").isNull().alias("nul"), F.col("id").cast(kind).alias("id"), "line", "print", "starts", "windows"))
+    again = materialize(found.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1"))
+    spots = join_groups(found, again, "print", "n", found.count(), F.xxhash64("rid", "line"), "inner")
+    spots = spots.select("rid", "nul", "id", F.explode(F.arrays_zip("starts", "windows")).alias("x"))
+    spots = materialize(spots.select("rid", "nul", "id", F.col("x.starts").alias("line"), F.col("x.windows").alias("key")))
     order = F.struct("nul", "id", "rid", "line")
-    first = materialize(windows.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    later = join_groups(windows, first, "key", "n", windows.count(), F.xxhash64("rid", "line"), "inner")
+    first = materialize(spots.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_groups(spots, first, "key", "n", spots.count(), F.xxhash64("rid", "line"), "inner")
     later = later.filter((F.col("rid") != F.col("first.rid")) | (F.col("line") != F.col("first.line")))
     marks = later.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("marks"))
     kept = rows.join(marks, "rid", "left").mapInPandas(lambda batches: cut(batches, run), "id string, rid long, n_lines long, n_removed long, kept_text string")
@@ -46,18 +51,17 @@ def lines_of(text: str | None) -> list[str]:
 
 
 def fingerprints(batches, run: int):
-    """For each window of `run` lines: the digest of its lines under the fingerprint that it selects."""
+    """The selected lines of each document, with the starts and digests of the windows that selected them."""
     for batch in batches:
         out = []
         for id_, rid, body in zip(batch["id"], batch["rid"], batch["body"], strict=True):
-            lines = lines_of(body)
-            digests = [hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in lines]
-            for i in range(len(lines) - run + 1):
-                window = digests[i : i + run]
-                at = max(range(run), key=lambda j: (-int(window[j][:8], 16), j))
-                key = f"{window[at]}.{at}." + hashlib.blake2b("".join(window).encode(), digest_size=16).hexdigest()
-                out.append((rid, id_, key, i))
-        yield pd.DataFrame(out, columns=["rid", "id", "key", "line"])
+            digests = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines_of(body)]
+            picks: dict[int, list[int]] = {}
+            for i in range(len(digests) - run + 1):
+                picks.setdefault(min(range(i, i + run), key=lambda j: (digests[j], -j)), []).append(i)
+            for line, starts in picks.items():
+                out.append((rid, id_, line, digests[line], starts, [hashlib.blake2b(bytes([line - i]) + b"".join(digests[i : i + run]), digest_size=16).digest() for i in starts]))
+        yield pd.DataFrame(out, columns=["rid", "id", "line", "print", "starts", "windows"])
 
 
 def cut(batches, run: int):
