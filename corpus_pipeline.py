@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize
+from granary.llm.common import cleared, shared_dir
 from granary.llm.decontaminate import remove_contaminated
 from granary.llm.mixing import cyclic_weights, mix_sources
 from granary.llm.near_dup import keep_one_of_each
@@ -46,8 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    """Applies the stages to documents; each result is written to the shared folder and read again.
+
+    What a stage wrote on its way is deleted once its result is there. An empty table goes through all stages; rows
+    that repeat a document are one after the second stage, and stand in the mix as often as they are drawn.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name.replace(' ', '-')}"
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA, against_sql
+from pyspark.sql import functions as F
 
 from granary.llm import lm_score, near_dup, queries, suffix_dedup
 from granary.llm.common import Words, string_bytes
@@ -249,3 +250,114 @@ def test_empty_tables(spark):
         near_dup.keep_one_of_each(rows), suffix_dedup.repeated_strings(rows), score_documents(rows), keep_good(rows, labels), remove_contaminated(rows, bench),
     ):
         assert df.count() == 0
+
+
+def test_sharding_of_repeated_rows(spark):
+    """Rows that repeat id and text are parted by their numbers, beyond the first 62 bits; every shard keeps its limit."""
+    rows = [(1, "x" * 400)] * 30 + [(k, "y" * k) for k in range(60)] + [(None, None), (7, "z" * 5000)]
+    got = assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
+    size, count = collections.Counter(), collections.Counter()
+    for r in got:
+        size[r["shard"]] += len((r["text"] or "").encode())
+        count[r["shard"]] += 1
+    assert len(got) == len(rows) and sorted(size) == list(range(len(size)))
+    assert all((size[r["shard"]], count[r["shard"]]) == (r["shard_bytes"], r["shard_rows"]) for r in got)
+    assert all(r["shard_bytes"] <= 1000 or r["shard_rows"] == 1 for r in got)
+    order = sorted({(r["shard"], r["shard_prefix"]) for r in got})
+    assert [p for _, p in order] == sorted(p for _, p in order) and all(r["shard_bits"] == len(r["shard_prefix"]) for r in got)
+
+
+def test_mixing_sources_near_targets(spark, monkeypatch):
+    """Each source's taken words against its target, with a tree of many shards; mix_sources gives the plan's rows."""
+    from granary.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    plan = mix_plan(documents(spark), cyclic_weights(5, 2, 1)).collect()
+    most, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in plan:
+        taken[r["source"]] += r["size"] * len(r["draws"])
+        most[r["source"]] = max(most[r["source"]], r["size"])
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= most[s] + 2 * 256 for s in target)
+    assert len({d["shard"] for r in plan for d in r["draws"]}) > 10
+    size = collections.Counter()
+    for r in plan:
+        for d in r["draws"]:
+            size[d["shard"]] += r["size"]
+    assert sum(size.values()) / len(size) / 3 < sorted(size.values())[len(size) // 2] < 3 * sum(size.values()) / len(size)
+    mixed = collections.Counter(r["doc_id"] for r in mix_sources(documents(spark), cyclic_weights(5, 2, 1)).collect())
+    assert mixed == collections.Counter({r["id"]: len(r["draws"]) for r in plan if r["draws"]})
+
+
+def test_splitting_tree():
+    """A node's blocks are dealt to its leaves without loss, by sources, and in about equal numbers."""
+    from granary.llm import mixing
+
+    quotas = np.array([1000, 0, 37, 5000])
+    leaves = mixing.split(quotas, 0, 13, 1, 7)
+    assert [lo for lo, _, _ in leaves] == list(range(13))
+    assert (sum(part for _, _, part in leaves) == quotas).all()
+    assert all(abs(part.sum() - quotas.sum() / 13) <= 4 for _, _, part in leaves)
+    assert (mixing.split(quotas, 0, 13, 1, 7)[5][2] == leaves[5][2]).all()
+
+
+def test_exact_copies_of_clashing_digests(spark):
+    """Texts of one digest are told apart by their content; a repeated row stays once."""
+    rows = [(5, "a b"), (3, "a  b"), (4, "c"), (9, "c"), (9, "c"), (None, "d"), (None, "d"), (2, None), (1, " "), (2, None), (1, " ")]
+    want = assign_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = assign_copies(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda t: F.lit("same")).collect()
+    for found in (want, got):
+        assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in found) == sorted([
+            (5, 3, 2, False), (3, 3, 2, True), (4, 4, 3, True), (9, 4, 3, False), (9, 4, 3, False), (0, 0, 2, True), (0, 0, 2, False),
+            (2, 2, 2, True), (2, 2, 2, False), (1, 1, 2, True), (1, 1, 2, False)])
+
+
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_line_runs(spark, run):
+    """Repeated runs of lines against a plain search, with ties, hot lines and overlaps."""
+    from granary.llm import line_dedup
+
+    rng = np.random.default_rng(run)
+    rows = [(k, "\n".join(rng.choice(["a", "b", "c", "d", ""], 14))) for k in range(40)] + [(7, "a\na\na\na\na\na\na"), (50, None), (51, "")]
+    rows = [(i, t) for i, t in rows if i != 7 or t.startswith("a\na\na\na\na\na\na")]
+    first, want = {}, {}
+    for i, t in sorted(rows):
+        lines = t.split("\n") if t else []
+        gone = set()
+        for p in range(len(lines) - run + 1):
+            if first.setdefault(tuple(lines[p : p + run]), (i, p)) != (i, p):
+                gone |= set(range(p, p + run))
+        want[i] = (len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), run).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in got} == want
+    texts = [t for _, t in rows]
+    frame = next(line_dedup.fingerprints([{"id": [None] * len(texts), "rid": range(len(texts)), "body": texts}], run))
+    windows = sum(max(0, len((t or "").split("\n")) - run + 1) for t in texts)
+    assert frame["starts"].map(len).sum() == windows and len(frame) < windows
+
+
+@pytest.mark.parametrize("hot", [1 << 14, 8])
+def test_near_copies_in_thousands(spark, monkeypatch, hot):
+    """2,000 near copies of one text, each with its own change, in small blocks of hot signatures too."""
+    monkeypatch.setattr(near_dup, "HOT_ROWS", hot)
+    monkeypatch.setattr(near_dup, "VERY_FREQUENT", 40)
+    n = 2000 if hot > 8 else 300
+    base = [f"b{m}" for m in range(90)]
+    rows = [(k, " ".join(x if j != k % 83 else f"w{k}" for j, x in enumerate(base))) for k in range(n)] + [(n, "another text of its own")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    for k in range(0, n, 97):
+        links = sum(100 * len(sets[k] & s) >= 80 * len(sets[k] | s) for s in sets) - 1
+        assert got[k] == (0, links)
+    assert got[n] == (n, 0) and {c for k, (c, _) in got.items() if k < n} == {0}
+
+
+def test_clashing_names(spark):
+    """Columns that are named like an operator's own come back as they were."""
+    names = ["doc_id", "text", "source", "lang", "n_chars", "_key", "_rid", "rid", "draws", "keep", "bad", "bins", "c0", "h1", "at", "entry", "comp"]
+    rows = spark.createDataFrame([(k, PHRASE * (k + 1), "s", "en", 3, *range(100 * k, 100 * k + 12)) for k in range(4)], ", ".join(f"{n} {'string' if n in ('text', 'source', 'lang') else 'long'}" for n in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "not in there at all")], "item_id long, text string")
+    whole = sorted(tuple(r) for r in rows.collect())
+    for got in (keep_good(rows, labels), near_dup.keep_one_of_each(rows, percent=99), remove_contaminated(rows, bench), mix_sources(rows, cyclic_weights(1), share=1.0), assign_shards(rows).select(names)):
+        assert got.columns == names and set(map(tuple, got.collect())) <= set(whole) and not got.isEmpty()
