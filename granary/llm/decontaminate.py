@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import Words, mix, slices, string_bytes
 
 #: Words to a window; bytes of documents to a shard; bytes of benchmark text that go to the tasks at once.
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 4 << 20, 8 << 20
+WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 1 << 20, 8 << 20
 #: Word bytes are digits, small letters and whatever is beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -176,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     items without words match nothing; items that repeat a text all count. Ids may repeat or be null.
 
     The benchmark goes to the tasks in blocks of BLOCK_BYTES of text: one pass of the documents for a block, and
-    where there are several, their results are combined by document. Each task sorts suffixes of a few MB of text.
+    where there are several, their results are combined by document. Each task sorts suffixes of about a MB of text at once.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,73 +18,47 @@ STEP_BITS, LATER_BITS = 14, 6
 MOST_BITS = 124
 
 
+def begin(high: str, low: str, bits: int):
+    """The first bits of two columns of 62 bits, zeros after them: where the bucket of that depth begins."""
+    keep = [((1 << 62) - 1) ^ ((1 << (62 - min(bits, 62))) - 1), ((1 << 62) - 1) ^ ((1 << (124 - max(bits, 62))) - 1)]
+    return [F.col(c).bitwiseAND(F.lit(k)) for c, k in zip((high, low), keep, strict=True)]
+
+
+#: A bucket: its depth in bits, where it begins among h1 (l1) and h2 (l2), and what it holds.
+BUCKET = "depth int, l1 long, l2 long, bytes long, rows long"
+
+
 def shard_directory(keys: DataFrame, limit: int) -> DataFrame:
-    """The buckets, with the columns of BUCKET; prefix is in decimal digits.
+    """The buckets, with the columns of BUCKET. keys has h1, h2 (62 bits each) and bytes.
 
-    keys has h1, h2 (62 bits each) and bytes. A bucket splits on its next bit while its bytes are over the limit and
-    it has more than one row. Each turn sums the rows under the buckets that are still too large by their next bits,
-    and splits those buckets as far as these bits go, each in a task. Buckets stay in tables, only how many are left
-    reaches the driver; every row is summed about once for each STEP_BITS bits of the directory's depth.
+    A bucket splits on its next bit while its bytes are over the limit and it has more than one row. Each turn sums
+    the rows under the buckets that are still too large by their next bits, and those sums for each bit less; what
+    fits while the bucket one bit up doesn't is done. Buckets stay in tables, only how many are left reaches the
+    driver; every row is summed about once for each STEP_BITS bits of the directory's depth.
     """
     total, rows = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    done = keys.sparkSession.createDataFrame([(0, "0", "", 0, 0, total, rows)] if rows and (total <= limit or rows == 1) else [], BUCKET)
-    depth, open_ = 0, None
     left = int(rows > 1 and total > limit)
+    done = keys.sparkSession.createDataFrame([(0, 0, 0, total, rows)] if rows and not left else [], BUCKET)
     usual = max(0, math.ceil(math.log2(max(1, total / limit)))) + 3
+    depth, open_ = 0, None
+    over = (F.col("bytes") > limit) & (F.col("rows") > 1)
     while left and depth < MOST_BITS:
         to = min(MOST_BITS, depth + (min(STEP_BITS, usual - depth) if depth < usual else LATER_BITS))
-        own = keys.select(prefix(depth).alias("root"), prefix(to).alias("bin"), "bytes")
-        own = own if open_ is None else own.join(open_.select(F.col("prefix").alias("root")), "root", "left_semi")
-        fine = own.groupBy("root", "bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
-        found = materialize(fine.groupBy("root").applyInPandas(splitter(depth, to, limit), BUCKET))
-        over = (F.col("bytes") > limit) & (F.col("rows") > 1) & F.lit(to < MOST_BITS)
-        done, open_, depth = done.unionByName(found.filter(~over)), found.filter(over), to
+        own = keys if open_ is None else keys.withColumns(dict(zip(("l1", "l2"), begin("h1", "h2", depth), strict=True))).join(open_.select("l1", "l2"), ["l1", "l2"], "left_semi")
+        fine = own.select(*(c.alias(n) for n, c in zip(("l1", "l2"), begin("h1", "h2", to), strict=True)), "bytes").groupBy("l1", "l2").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
+        above = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), *(c.alias(n) for n, c in zip(("l1", "l2"), begin("l1", "l2", d), strict=True))) for d in range(depth + 1, to + 1)))).alias("at")
+        nodes = fine.select(above, "bytes", "rows").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).select("at.*", "bytes", "rows")
+        nodes = materialize(nodes)
+        higher = nodes.filter(over & (F.col("depth") < to)).select((F.col("depth") + 1).alias("depth"), F.col("l1").alias("u1"), F.col("l2").alias("u2"))
+        last = [F.when(F.col("depth") <= 62, F.expr("shiftleft(1L, 62 - least(depth, 62))")).otherwise(0), F.when(F.col("depth") > 62, F.expr("shiftleft(1L, 124 - greatest(depth, 62))")).otherwise(0)]
+        lower = nodes.filter(F.col("depth") > depth + 1).withColumns({u: F.col(x).bitwiseAND(F.bitwise_not(bit.cast("long"))) for u, x, bit in zip(("u1", "u2"), ("l1", "l2"), last, strict=True)})
+        found = nodes.filter(F.col("depth") == depth + 1).unionByName(lower.join(higher, ["depth", "u1", "u2"], "left_semi").select(*nodes.columns))
+        rest = over & (F.col("depth") == to) & F.lit(to < MOST_BITS)
+        done, open_, depth = done.unionByName(found.filter(~over | ((F.col("depth") == to) & ~rest))), materialize(found.filter(rest)), to
         left = open_.count()
     return done
 
 
-#: A bucket: its bits and their number, where it begins among h1 (l1) and h2 (l2), and what it holds.
-BUCKET = "depth int, prefix string, bits string, l1 long, l2 long, bytes long, rows long"
-
-
-def splitter(depth: int, to: int, limit: int):
-    return lambda key, part: split_root(int(key[0]), part, depth, to, limit)
-
-
-def split_root(root: int, bins: pd.DataFrame, depth: int, to: int, limit: int) -> pd.DataFrame:
-    """Splits a bucket that is too large by the sums of its next bits: at most 2 ** STEP_BITS of them."""
-    n = 1 << (to - depth)
-    at = np.array([int(b) - (root << (to - depth)) for b in bins["bin"]], np.int64)
-    size, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    size[at], rows[at] = bins["bytes"], bins["rows"]
-    levels = [(size, rows)]
-    for _ in range(to - depth):
-        levels.append(tuple(x.reshape(-1, 2).sum(1) for x in levels[-1]))
-    out, open_ = [], np.zeros(1, np.int64)
-    for d in range(depth + 1, to + 1):
-        size, rows = levels[to - d]
-        child = (2 * open_[:, None] + np.arange(2)).ravel()
-        child = child[rows[child] > 0]
-        over = (size[child] > limit) & (rows[child] > 1)
-        stay = child if d == to else child[~over]
-        out += [bucket(d, (root << (d - depth)) + int(c), int(size[c]), int(rows[c])) for c in stay]
-        open_ = child[over]
-    return pd.DataFrame(out, columns=["depth", "prefix", "bits", "l1", "l2", "bytes", "rows"])
-
-
-def bucket(depth: int, prefix: int, size: int, rows: int) -> tuple:
-    low = prefix << (MOST_BITS - depth)
-    return depth, str(prefix), format(prefix, f"0{depth}b"), low >> 62, low & ((1 << 62) - 1), size, rows
-
-
-def prefix(bits: int):
-    """The first bits of h1 and h2 together, as a number in decimal digits."""
-    if bits <= 62:
-        return F.shiftrightunsigned("h1", 62 - bits).cast("string")
-    low = F.shiftrightunsigned("h2", 124 - bits).cast("decimal(38,0)")
-    return (F.col("h1").cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << (bits - 62)).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
-
-
 def numbered(buckets: DataFrame) -> DataFrame:
     """Buckets with shard, a number from 0 in the order of their prefixes."""
     rows = materialize(buckets.repartitionByRange("l1", "l2").sortWithinPartitions("l1", "l2").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
@@ -115,7 +87,7 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     facts = materialize(numbered(shard_directory(materialize(keyed.select("h1", "h2", size.alias("bytes"))), limit)))
     deepest, count = facts.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count("*")).first()
     depth = min(62, deepest, 4 + max(0, math.ceil(math.log2(max(1, count)))))
-    facts = facts.select("l1", "l2", "shard", F.col("depth").alias("shard_bits"), F.col("bits").alias("shard_prefix"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    facts = facts.select("l1", "l2", "shard", F.col("depth").alias("shard_bits"), F.substr(F.concat(*(F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 62, "0") for c in ("l1", "l2"))), F.lit(1), F.col("depth")).alias("shard_prefix"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
     first = F.shiftrightunsigned("l1", 62 - depth)
     entries = facts.withColumn("entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {depth} - shard_bits))") - 1)))
     chain = F.array_sort(F.collect_list(F.struct("l1", "l2", *added)))
