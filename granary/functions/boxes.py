@@ -33,8 +33,31 @@ def iou(a: Column, b: Column) -> Column:
     return common / F.greatest(F.lit(1e-6), area(a) + area(b) - common)
 
 
-def kept_share(width: Column, height: Column, bucket_width: Column, bucket_height: Column) -> Column:
-    """Share of an image that the largest crop of a bucket's shape keeps; null where the image is smaller than the bucket."""
-    k = F.least(F.floor(width / bucket_width), F.floor(height / bucket_height))
-    scale = F.least(width / bucket_width, height / bucket_height)
-    return F.when(k >= 1, scale * bucket_width * scale * bucket_height / (width * height))
+def rescale(b: Column, sx: Column, sy: Column) -> Column:
+    """A box of an analysed copy in the pixels of the original."""
+    return box(b["x1"] * sx, b["y1"] * sy, b["x2"] * sx, b["y2"] * sy)
+
+
+def square_around(b: Column, width: Column, height: Column, factor: float, shift: float = 0.0) -> Column:
+    """A square of `factor` times the longer side around a box, moved down by a share of its height and cut at the image."""
+    half = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"]) * factor / 2
+    cx, cy = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2 + shift * (b["y2"] - b["y1"])
+    zero = F.lit(0.0)
+    return box(F.greatest(zero, F.bround(cx - half)), F.greatest(zero, F.bround(cy - half)), F.least(width, F.bround(cx + half)), F.least(height, F.bround(cy + half)))
+
+
+def hull(boxes: Column) -> Column:
+    """The smallest box around an array of boxes; null for an empty one. Null boxes don't count."""
+    side = lambda n, pick: pick(F.transform(boxes, lambda b: b[n]))
+    return F.when(F.size(F.filter(boxes, lambda b: b.isNotNull())) > 0, box(side("x1", F.array_min), side("y1", F.array_min), side("x2", F.array_max), side("y2", F.array_max)))
+
+
+def kept_percent(kept: Column, whole: Column) -> Column:
+    """Share of an area that a crop keeps, in percent with two decimals, as text."""
+    return F.format_string("%.2f", 100.0 * kept / whole)
+
+
+def capped_size(width: Column, height: Column, most: int) -> Column:
+    """Size of an image whose longer side may be `most` at most; one pixel at least, halves to even."""
+    scale = F.least(F.lit(1.0), most / F.greatest(width, height))
+    return F.struct(F.greatest(F.lit(1.0), F.bround(width * scale)).cast("long").alias("width"), F.greatest(F.lit(1.0), F.bround(height * scale)).cast("long").alias("height"))

@@ -43,3 +43,15 @@ def weighted_centroid(df: DataFrame, vector: str, weight: Column, keys: list[str
     weighted = F.transform("a", lambda x: x["s"])
     plain = F.transform("a", lambda x: x["p"])
     return both.select(*keys, unit(F.when(dot(weighted, weighted) > 0, weighted).otherwise(plain)).alias("centroid"))
+
+
+def mean_of_units(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
+    """keys and the unit vector of the mean of unit vectors; a zero vector, mixed lengths or a zero mean raise."""
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    long = df.withColumn("_n", F.when(norm > 0, norm).otherwise(F.raise_error(F.lit("a reference is a zero vector"))))
+    long = long.select(*keys, "_n", F.size(vector).alias("_size"), F.posexplode(vector).alias("_pos", "_x"))
+    sums = long.groupBy(*keys, "_pos").agg(F.avg(F.col("_x").cast("double") / F.col("_n")).alias("s"), F.min("_size").alias("lo"), F.max("_size").alias("hi"))
+    both = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "s"))), lambda x: x["s"]).alias("a"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mean = F.col("a")
+    out = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("references have different lengths")).cast("array<double>")).when(dot(mean, mean) == 0, F.raise_error(F.lit("references average to zero")).cast("array<double>")).otherwise(unit(mean))
+    return both.select(*keys, out.alias("centroid"))

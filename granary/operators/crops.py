@@ -7,7 +7,9 @@ landmarks (ax, ay, bx, by) that a crop must not part. Everything stays in the ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.boxes import area, box, expand, intersection, intersects
@@ -15,6 +17,8 @@ from granary.functions.boxes import area, box, expand, intersection, intersects
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 #: Growth factors of body-aware crops, least share of area a crop must save, least confidence of a body.
 FACTORS, LEAST_SAVED, LEAST_CONFIDENCE = (1.0, 1.15, 1.35, 1.60), 0.08, 0.50
+#: The sides of training buckets.
+SIDES = (512, 768, 1024)
 
 
 def let(value: Column, body) -> Column:
@@ -198,3 +202,105 @@ def skip_reason(target: Column, bounds: Column, bucket: Column, crop: Column, ot
         .when(bucket.isNull(), "no_compatible_bucket")
         .when(F.exists(F.coalesce(others, no_boxes()), lambda o: intersects(o, crop)), "other_face_in_crop")
     )
+
+
+def centred_in(bounds: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
+    """A box around a point, shifted into the bounds; both edges round to even on their own."""
+    left = F.least(F.greatest(bounds["x1"], cx - w / 2), bounds["x2"] - w)
+    top = F.least(F.greatest(bounds["y1"], cy - h / 2), bounds["y2"] - h)
+    return box(F.bround(left), F.bround(top), F.bround(left + w), F.bround(top + h))
+
+
+def containing(bounds: Column, required: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
+    """A box inside the bounds, around a required box and as near a point as can be; null if there is none."""
+    x_low, x_high = F.greatest(bounds["x1"], F.ceil(required["x2"] - w)), F.least(bounds["x2"] - w, F.floor(required["x1"]))
+    y_low, y_high = F.greatest(bounds["y1"], F.ceil(required["y2"] - h)), F.least(bounds["y2"] - h, F.floor(required["y1"]))
+    x, y = F.least(F.greatest(F.bround(cx - w / 2), x_low), x_high), F.least(F.greatest(F.bround(cy - h / 2), y_low), y_high)
+    return F.when((x_low <= x_high) & (y_low <= y_high), box(x, y, x + w, y + h))
+
+
+def fit_bucket(crop: Column, bounds: Column, required: Column, least: int = 512, most: int = 1024) -> Column:
+    """A struct of box, width and height: a crop grown to the nearest training bucket, never one that needs upscaling.
+
+    Of the buckets that the crop can grow to inside the bounds, in whole multiples of their ratio, the one nearest in
+    shape wins, then the smallest growth, then the larger bucket. If there is none and a required box is given, the
+    largest box of a bucket's ratio around that box wins which keeps most of the crop. Null if there is none either.
+    """
+    cw, ch = crop["x2"] - crop["x1"], crop["y2"] - crop["y1"]
+    bw, bh = bounds["x2"] - bounds["x1"], bounds["y2"] - bounds["y1"]
+    cx, cy = (crop["x1"] + crop["x2"]) / 2, (crop["y1"] + crop["y2"]) / 2
+    sides = [x for x in SIDES if least <= x <= most]
+    grown, trimmed = [], []
+    for i, (w, h) in enumerate((w, h) for w in sides for h in sides):
+        unit = math.gcd(w, h)
+        uw, uh = w // unit, h // unit
+        miss = F.round(F.abs(F.log(F.lit(w / h) / (cw / ch))), 9)
+        k = F.greatest(F.lit(unit), F.ceil(cw / uw), F.ceil(ch / uh)).cast("double")
+        spot = centred_in(bounds, cx, cy, k * uw, k * uh)
+        fits = (k * uw <= bw) & (k * uh <= bh) & contains(spot, crop)
+        grown.append(F.when(fits, F.struct(miss.alias("a"), (k * uw * k * uh / F.greatest(F.lit(1.0), cw * ch)).alias("b"), F.lit(-w * h).alias("c"), F.lit(i).alias("i"), spot.alias("box"), F.lit(w).alias("width"), F.lit(h).alias("height"))))
+        k = F.least(F.floor(bw / uw), F.floor(bh / uh)).cast("double")
+        spot = containing(bounds, required, cx, cy, k * uw, k * uh)
+        kept = F.round(area(intersection(spot, crop)) / F.greatest(F.lit(1.0), cw * ch), 9)
+        trimmed.append(F.when((k >= unit) & spot.isNotNull(), F.struct((-kept).alias("a"), miss.alias("b"), (-(k * uw * k * uh)).alias("c"), F.lit(-w * h).alias("d"), F.lit(i).alias("i"), spot.alias("box"), F.lit(w).alias("width"), F.lit(h).alias("height"))))
+
+    def best(found: list[Column]) -> Column:
+        return let(F.array_min(F.array_compact(F.array(*found))), lambda x: F.when(x.isNotNull(), F.struct(x["box"].alias("box"), x["width"].alias("width"), x["height"].alias("height"))))
+
+    return F.coalesce(best(grown), F.when(required.isNotNull(), best(trimmed)))
+
+
+def prepare_dataset(rows: DataFrame, least: int = 512, most: int = 1024, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """rows with the crop of each: skip (a reason, or null), strategy, safety, reasons, crop, bucket and focus.
+
+    rows has width, height, target (a box or null), others (boxes), semantic (a box or null), body (a struct or null),
+    scale_bin, body_focused and mode (standard or tight). All is worked out in the row: nothing is shuffled. Skipped
+    rows keep their place, so ranks show holes.
+    """
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    others, semantic, target = F.coalesce("others", no_boxes()), F.col("semantic"), F.col("target")
+    crowded = F.size(others) > 0
+    scale = F.when(crowded & (F.col("scale_bin") == "far"), "medium").otherwise(F.col("scale_bin"))
+    tight = F.struct(recommended_crop(w, h, target, F.lit("close"), semantic).alias("box"), F.lit("identity_tight").alias("strategy"), F.lit("safe").alias("safety"), F.array(F.lit("identity_only")).alias("reasons"))
+    plan = F.when(F.col("mode") == "tight", tight).otherwise(body_aware_crop(w, h, target, scale, semantic, F.col("body")))
+    rows = rows.withColumn("_plan", plan)
+    rows = rows.withColumn("_bounds", F.when(target.isNotNull(), safe_bounds(w, h, target, others, F.col("_plan.box"))))
+    rows = rows.withColumn("_crop", F.when(crowded & F.col("_bounds").isNotNull(), intersection(F.col("_plan.box"), F.col("_bounds"))).otherwise(F.col("_plan.box")))
+    required = F.when(semantic.isNull(), target).otherwise(box(F.least(target["x1"], semantic["x1"]), F.least(target["y1"], semantic["y1"]), F.greatest(target["x2"], semantic["x2"]), F.greatest(target["y2"], semantic["y2"])))
+    rows = rows.withColumn("_fit", F.when(F.col("_bounds").isNotNull(), fit_bucket(F.col("_crop"), F.col("_bounds"), required, least, most)))
+    crop, name = F.col("_fit.box"), F.concat(F.col("_plan.strategy"), F.when(crowded, "_faces_excluded").otherwise(""), F.when(F.col("_fit.box") != F.col("_crop"), "_bucket_expanded").otherwise(""))
+    skip = skip_reason(target, F.col("_bounds"), F.col("_fit.width"), crop, others)
+    made = {
+        "skip": skip, "strategy": F.when(skip.isNull(), name), "safety": F.when(skip.isNull(), F.col("_plan.safety")),
+        "reasons": F.when(skip.isNull(), F.array_join(F.concat(F.col("_plan.reasons"), F.when(crowded, F.array(F.lit("other_faces_excluded"))).otherwise(F.array().cast("array<string>"))), ";")),
+        "crop": F.when(skip.isNull(), crop), "bucket": F.when(skip.isNull(), F.concat(F.col("_fit.width").cast("string"), F.lit("x"), F.col("_fit.height").cast("string"))),
+        "excluded": F.size(others), "focus": F.when(F.col("body_focused"), "body").otherwise("identity"),
+    }
+    return rows.withColumns(made).drop("_plan", "_bounds", "_crop", "_fit")
+
+
+def focused_start(total: Column, size: Column, low: Column, high: Column) -> Column:
+    """Where a crop of a size begins so that it holds the range from low to high, or stands in its middle."""
+    middle = F.bround((low + high - size) / 2)
+    inside = F.greatest(F.greatest(F.lit(0.0), F.ceil(high - size)), F.least(F.least(total - size, F.floor(low)), middle))
+    return F.when(high - low <= size, inside).otherwise(F.greatest(F.lit(0.0), F.least(total - size, middle)))
+
+
+def style_plan(width: Column, height: Column, focus: Column, buckets: list[tuple[int, int]]) -> Column:
+    """A struct of bucket, crop box and kept area: the bucket whose crop keeps most, then the larger one, then the first.
+
+    The crop stands around the focus box, with a margin of a fortieth of the shorter side, or in the middle for a null
+    focus. Null for images that are smaller than all buckets.
+    """
+    w, h = width.cast("double"), height.cast("double")
+    margin = F.least(w, h) * 0.025
+    plans = []
+    for i, (bw, bh) in enumerate(buckets):
+        wide = w * bh > h * bw
+        cw = F.greatest(F.lit(1.0), F.when(wide, F.floor(h * bw / bh).cast("double")).otherwise(w))
+        ch = F.greatest(F.lit(1.0), F.when(wide, h).otherwise(F.floor(w * bh / bw).cast("double")))
+        left = F.when(focus.isNull(), F.floor((w - cw) / 2)).otherwise(focused_start(w, cw, F.greatest(F.lit(0.0), focus["x1"] - margin), F.least(w, focus["x2"] + margin)))
+        top = F.when(focus.isNull(), F.floor((h - ch) / 2)).otherwise(focused_start(h, ch, F.greatest(F.lit(0.0), focus["y1"] - margin), F.least(h, focus["y2"] + margin)))
+        plan = F.struct((cw * ch).alias("kept"), F.lit(bw * bh).alias("size"), F.lit(-i).alias("i"), F.lit(bw).alias("width"), F.lit(bh).alias("height"), box(left, top, left + cw, top + ch).alias("box"))
+        plans.append(F.when((width >= bw) & (height >= bh), plan))
+    return F.array_max(F.array_compact(F.array(*plans)))

@@ -9,35 +9,72 @@ from pyspark.sql.window import Window
 from granary.functions.vectors import cosine, hamming
 
 BITS = 64
+#: Rows of a group of references at most: their pairs are compared.
+REFERENCES = 64
+
+
+def bands(radius: int) -> tuple[list[tuple[int, int]], bool]:
+    """First bit and width of the bands that two hashes within the radius share one of; whether one bit of it may differ.
+
+    Of radius + 1 bands one is alike; of radius // 2 + 1 bands one differs in a bit at most, which keeps bands wide
+    where the radius is large.
+    """
+    loose = radius > 7
+    n = min(BITS, radius // 2 + 1 if loose else radius + 1)
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)], loose
+
+
+def near_hashes(hashes: DataFrame, radius: int) -> DataFrame:
+    """h, g of all pairs of distinct hashes within `radius` bits, h < g; hashes has one column, h, of distinct values."""
+    parts, loose = bands(radius)
+
+    def band(i: int, lo: int, width: int, flip: int = 0):
+        value = F.shiftright("h", lo).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+        return F.struct(F.lit(i).alias("band"), value.bitwiseXOR(F.lit(flip)).alias("bits"))
+
+    own = [band(i, lo, w) for i, (lo, w) in enumerate(parts)]
+    wide = own + [band(i, lo, w, 1 << b) for i, (lo, w) in enumerate(parts) for b in range(w)] if loose else own
+    left = hashes.select("h", F.explode(F.array(*own)).alias("k")).select("h", "k.*")
+    right = hashes.select(F.col("h").alias("g"), F.explode(F.array(*wide)).alias("k")).select("g", "k.*")
+    near = left.join(right, ["band", "bits"]).filter((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= radius))
+    return near.select("h", "g").distinct()
+
+
+def hamming_classes(df: DataFrame, id_col: str, hash_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, class: the smallest id of its hash) and pairs of classes (left, right, distance) within the radius.
+
+    However many rows share a hash, they make one row each in the membership and none in the pairs.
+    """
+    rows = df.filter(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    groups = rows.groupBy("h").agg(F.min("id").alias("class"))
+    near = near_hashes(groups.select("h"), radius)
+    pairs = near.join(groups.withColumnRenamed("class", "a"), "h").join(groups.select(F.col("h").alias("g"), F.col("class").alias("b")), "g")
+    pairs = pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), hamming(F.col("h"), F.col("g")).cast("long").alias("distance"))
+    return rows.join(groups, "h").select("id", "class"), pairs
 
 
 def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, radius: int) -> DataFrame:
     """left, right, distance of all pairs of rows within `radius` bits, left < right; null hashes are near nothing.
 
-    Hashes within the radius agree on one of radius + 1 bands, so bands are joined and pairs verified. Equal hashes
-    are one row of the band join, so a hash that many rows share makes no pairs of rows before the last step.
+    Where many rows share a hash, hamming_classes says the same in fewer rows.
     """
-    bands = radius + 1
-    step = -(-BITS // bands)
-    groups = df.filter(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("h")).distinct()
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftright("h", i * step).bitwiseAND(F.lit((1 << min(step, BITS - i * step)) - 1)).alias("bits")) for i in range(bands) if i * step < BITS))
-    keyed = groups.select("h", F.explode(keys).alias("k")).select("h", "k.*")
-    near = keyed.alias("a").join(keyed.alias("b"), ["band", "bits"]).filter("a.h < b.h").filter(hamming(F.col("a.h"), F.col("b.h")) <= radius)
-    near = near.select(F.col("a.h").alias("h"), F.col("b.h").alias("g")).distinct()
-    near = near.unionByName(groups.select("h", F.col("h").alias("g")))
-    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    pairs = near.join(rows.withColumnRenamed("id", "a"), "h").join(rows.select(F.col("id").alias("b"), F.col("h").alias("g")), "g")
-    pairs = pairs.filter((F.col("h") != F.col("g")) | (F.col("a") < F.col("b")))
-    return pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), hamming(F.col("h"), F.col("g")).cast("long").alias("distance"))
+    members, pairs = hamming_classes(df, id_col, hash_col, radius)
+    equal = members.alias("a").join(members.alias("b"), "class").filter("a.id < b.id").select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), F.lit(0).cast("long").alias("distance"))
+    a, b = (members.select(F.col("class").alias(c), F.col("id").alias(i)) for c, i in (("left", "a"), ("right", "b")))
+    other = pairs.join(a, "left").join(b, "right").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "distance")
+    return other.unionByName(equal)
 
 
 def reject_outliers(df: DataFrame, id_col: str, group_col: str, vector: str) -> DataFrame:
-    """group, id, mean similarity to the others of the group (references: few a group), and whether it is kept.
+    """group, id, mean similarity to the others of the group, and whether it is kept. A group of over REFERENCES rows is an error.
 
     Fewer than three are all kept. Else the two best stay, and others whose mean is 0.60 or more and no more than
     0.15 below the group's median.
     """
     rows = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.when(F.col("n") > REFERENCES, F.raise_error(F.lit("too many references in a group"))).otherwise(F.lit(True)).cast("boolean"))
+    rows = rows.join(sizes.select("g"), "g")
     pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.id") != F.col("b.id")))
     means = pairs.groupBy(F.col("a.g").alias("g"), F.col("a.id").alias("id")).agg(F.round(F.avg(cosine(F.col("a.v"), F.col("b.v"))), 6).alias("mean_similarity"))
     whole = Window.partitionBy("g")

@@ -12,22 +12,23 @@ KEEP, NEAR_SECONDS, NEAR_BITS = 3, 1.5, 6
 
 
 def offer(kept: list[tuple], frame: tuple, keep: int = KEEP) -> list[tuple]:
-    """What stays of the kept frames (score, seconds, hash, id) once another one is offered.
+    """What stays of the kept frames (score, seconds, hash, id), best first, once another one is offered.
 
-    A frame near a kept one, in time or by hash, replaces the first such if its score is higher, else it goes.
+    A frame near a kept one, in time or by hash, takes the place of the best such if its score is higher, else it goes.
     """
-    for i, other in enumerate(kept):
-        if abs(frame[1] - other[1]) < NEAR_SECONDS or (frame[2] ^ other[2]).bit_count() <= NEAR_BITS:
-            return kept[:i] + [frame] + kept[i + 1 :] if frame[0] > other[0] else kept
+    near = next((i for i, other in enumerate(kept) if abs(frame[1] - other[1]) < NEAR_SECONDS or (frame[2] ^ other[2]).bit_count() <= NEAR_BITS), None)
+    if near is not None:
+        if frame[0] <= kept[near][0]:
+            return kept
+        kept = kept[:near] + kept[near + 1 :]
     return sorted([*kept, frame], key=lambda x: (-x[0], x[1], x[3]))[:keep]
 
 
 def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a source is its kept frames: as small as `keep`, however many frames come."""
+    """The state of a source is its kept frames: as small as `keep`. The frames of one batch are read in time order."""
     kept = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-    for part in frames:
-        for row in part.sort_values(["seconds", "id"]).itertuples(index=False):
-            kept = offer(kept, (row.score, row.seconds, int(row.hash), int(row.id)))
+    for row in pd.concat(list(frames)).sort_values(["seconds", "id"]).itertuples(index=False):
+        kept = offer(kept, (row.score, row.seconds, int(row.hash), int(row.id)))
     state.update(tuple(list(x) for x in zip(*kept, strict=True)))
     yield pd.DataFrame([(key[0], int(x[3]), x[0]) for x in kept], columns=["source", "id", "score"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,23 +27,39 @@ def counter(column: str, seen: dict) -> Column:
     return out
 
 
-def greedy_select(pool: DataFrame, options: SelectOptions = SelectOptions(), seeds: list | None = None) -> DataFrame:
+#: Bins whose rare values earn a bonus, as shares of the diversity; those of the second kind give none where unknown.
+BINS, MINOR = {"scale_bin": 1.0, "pose_bin": 0.45}, {"minor_a": 0.15, "minor_b": 0.10}
+
+
+def greedy_select(pool: DataFrame, options: SelectOptions = SelectOptions(), seeds: list | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """media_id and rank (from 1) of up to `count` picks; pool has media_id, similarity, quality_score, base, image_hash,
-    scale_bin, pose_bin, light_bin, has_appearance and body_focused.
+    scale_bin, pose_bin, light_bin, has_appearance and body_focused, and may have minor_a and minor_b.
 
     Each turn takes the candidate of the best utility: its base score and bonuses for bins that were picked seldom.
-    Near duplicates of any pick are out. While the quota of body-focused rows isn't met, only those are looked at, if
-    there are any. Ties go to the higher similarity, then quality, then the smaller id. Seeds are picked first.
+    Near duplicates of any pick are out, and so are the ids of `excluded`. While the quota of body-focused rows isn't
+    met, only those are looked at, if there are any. Ties go to the higher similarity, then quality, then the smaller
+    id. Seeds are picked first, in their order, whether or not they are excluded.
 
-    One aggregation over the pool for each pick: partial maxima in the tasks, one row to the driver. What travels to
-    the tasks is the picks and their bin counts, so at most `count` values.
+    The slim pool is worked out once and kept by the executors; each pick is one aggregation over it: partial maxima in
+    the tasks, one row to the driver. What travels to the tasks is the picks and their bin counts, `count` values.
     """
-    spark = pool.sparkSession
-    size = pool.count()
-    bodies = pool.filter("body_focused").count()
+    minor = {k: v for k, v in MINOR.items() if k in pool.columns}
+    names = ("media_id", "similarity", "quality_score", "base", "image_hash", *BINS, "light_bin", "has_appearance", "body_focused", *minor)
+    all_ = pool.select(*names)
+    first = {r["media_id"]: r for r in all_.filter(F.col("media_id").isin(list(seeds))).collect()} if seeds else {}
+    pool = (all_ if excluded is None else all_.join(excluded.select("media_id"), "media_id", "left_anti")).persist()
+    try:
+        picks = _picks(pool, options, [first[k] for k in seeds or [] if k in first], minor)
+    finally:
+        pool.unpersist()
+    return pool.sparkSession.createDataFrame([(r["media_id"], i + 1) for i, r in enumerate(picks)], "media_id long, rank int")
+
+
+def _picks(pool: DataFrame, options: SelectOptions, seeds: list, minor: dict[str, float]) -> list:
+    size, bodies = pool.agg(F.count("*"), F.count_if("body_focused")).first()
     quota = min(bodies, round(options.quota_share * min(options.count, size)))
+    seen: dict[str, dict] = {name: {} for name in (*BINS, "light_bin", *minor)}
     picks: list = []
-    seen: dict[str, dict] = {"scale_bin": {}, "pose_bin": {}, "light_bin": {}}
     met = 0
 
     def add(row) -> None:
@@ -52,23 +69,57 @@ def greedy_select(pool: DataFrame, options: SelectOptions = SelectOptions(), see
         for name, counts in seen.items():
             counts[row[name]] = counts.get(row[name], 0) + 1
 
-    for row in pool.filter(F.col("media_id").isin(list(seeds))).orderBy("media_id").collect() if seeds else []:
+    for row in seeds:
         add(row)
+    d = options.diversity
     while len(picks) < min(options.count, size):
-        d = options.diversity
-        bonus = d / (1 + counter("scale_bin", seen["scale_bin"])) + 0.45 * d / (1 + counter("pose_bin", seen["pose_bin"]))
-        light = 1 / (1 + counter("light_bin", seen["light_bin"]))
+        rare = {name: 1 / (1 + counter(name, counts)) for name, counts in seen.items()}
+        bonus = sum((d * share * rare[name] for name, share in BINS.items()), F.lit(0.0))
+        for name, share in minor.items():
+            bonus = bonus + F.when(F.coalesce(F.col(name), F.lit("unknown")) == "unknown", 0.0).otherwise(d * share * rare[name])
+        light = rare["light_bin"]
         utility = F.when(F.col("has_appearance"), 0.90 * F.col("base") + bonus + 0.02 * light).otherwise(0.75 * F.col("base") + bonus + 0.05 * light)
         left = pool.filter(~F.col("media_id").isin([r["media_id"] for r in picks])) if picks else pool
-        for r in picks:
-            if options.duplicate_bits >= 0:
+        if options.duplicate_bits >= 0:
+            for r in picks:
                 left = left.filter(hamming(F.col("image_hash"), F.lit(r["image_hash"]).cast("long")) > options.duplicate_bits)
         key = F.struct(F.round(utility, 9).alias("u"), F.coalesce("similarity", F.lit(-1.0)).alias("s"), F.col("quality_score").alias("q"), (-F.col("media_id")).alias("i"))
-        body = F.when(F.col("body_focused"), key)
         row = F.struct("media_id", "image_hash", "body_focused", *seen)
-        best = left.agg(F.max_by(row, key).alias("any"), F.max_by(F.when(F.col("body_focused"), row), body).alias("body")).first()
+        best = left.agg(F.max_by(row, key).alias("any"), F.max_by(F.when(F.col("body_focused"), row), F.when(F.col("body_focused"), key)).alias("body")).first()
         chosen = best["body"] if met < quota and best["body"] is not None else best["any"]
         if chosen is None:
             break
         add(chosen)
-    return spark.createDataFrame([(r["media_id"], i + 1) for i, r in enumerate(picks)], "media_id long, rank int")
+    return picks
+
+
+def backfill(pool: DataFrame, picks: DataFrame, prepare: Callable[[DataFrame], DataFrame], options: SelectOptions = SelectOptions()) -> DataFrame:
+    """media_id and rank of the picks that could be prepared, their holes filled with further candidates while any are left.
+
+    prepare takes the pool's rows of some picks and returns the media_id of those that succeed. Failed ones are never
+    tried again. Each turn selects with what is there as seeds and tries as many newcomers as there are holes: slots
+    and failures, at most the pool's turns, pass through the driver, the pool stays in tasks.
+    """
+    spark = pool.sparkSession
+    slots: list = [r["media_id"] for r in picks.orderBy("rank").collect()]
+    failed: set = set()
+
+    def attempt(ids: list) -> set:
+        done = {r["media_id"] for r in prepare(pool.filter(F.col("media_id").isin(ids))).select("media_id").collect()} if ids else set()
+        failed.update(set(ids) - done)
+        return done
+
+    done = attempt(slots)
+    slots = [k if k in done else None for k in slots]
+    while None in slots:
+        current = [k for k in slots if k is not None]
+        out = spark.createDataFrame([(k,) for k in failed], "media_id long")
+        found = [r["media_id"] for r in greedy_select(pool, options, current, out).orderBy("rank").collect()][len(current) :]
+        holes = [i for i, k in enumerate(slots) if k is None]
+        tries = found[: len(holes)]
+        if not tries:
+            break
+        done = attempt(tries)
+        for i, k in zip(holes, tries, strict=False):
+            slots[i] = k if k in done else None
+    return spark.createDataFrame([(k, i + 1) for i, k in enumerate(slots) if k is not None], "media_id long, rank int")

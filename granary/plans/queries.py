@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions import boxes, signals
+from granary.functions.names import config_digest, ranked_name
 from granary.functions.vectors import cosine, weighted_centroid
 from granary.operators import crops
 from granary.operators.matching import match_person, suppress
@@ -15,6 +16,7 @@ from granary.operators.neighbours import hamming_pairs, reject_outliers
 from granary.operators.retain import retain
 from granary.operators.select import greedy_select
 from granary.sources.media import with_scores
+from granary.sources.reports import decided
 from granary.sources.views import detections, frames, images, observations, table
 
 LEAST_SIMILARITY, LEAST_WIDTH, LEAST_QUALITY, MOST_YAW, REFERENCES = 0.05, 48.0, 0.15, 60.0, 50
@@ -27,10 +29,10 @@ def centroids(obs: DataFrame) -> DataFrame:
     return weighted_centroid(obs.filter(F.col("media_id") < REFERENCES), "vector", q, ["label"])
 
 
-def candidates(spark: SparkSession, sf_dir: str, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Observations with similarity to the centroid of label 0, composite quality, bins, status and reason."""
+def candidates(spark: SparkSession, sf_dir: str, least: float = LEAST_SIMILARITY, label: int = 0) -> DataFrame:
+    """Observations with similarity to the centroid of a label, composite quality, bins, status and reason."""
     obs = observations(spark, sf_dir)
-    target = centroids(obs).filter("label = 0").select("centroid")  # one row
+    target = centroids(obs).filter(F.col("label") == label).select("centroid")  # one row
     obs = obs.crossJoin(F.broadcast(target)).withColumn("similarity", F.round(cosine(F.col("vector"), F.col("centroid")), 6)).drop("centroid", "vector")
     obs = obs.withColumns({
         "quality_score": F.round(signals.quality(F.col("blur"), F.col("exposure"), F.col("resolution"), F.col("margin")), 6),
@@ -80,7 +82,7 @@ def q_distribution(spark, sf_dir):
 
 def q_pool_order(spark, sf_dir):
     pool = candidates(spark, sf_dir).filter("status = 'eligible' or fallback_eligible")
-    return pool.orderBy(F.desc("similarity"), F.desc("quality_score"), "media_id").limit(100).select("media_id", "similarity", "quality_score")
+    return pool.orderBy(F.desc("similarity"), F.desc("quality_score"), "media_id").select("media_id", "similarity", "quality_score")
 
 
 def q_greedy_select(spark, sf_dir):
@@ -95,16 +97,18 @@ def q_best_detection(spark, sf_dir):
 
 def _targets(d: DataFrame) -> DataFrame:
     order = F.struct("score", -F.col("det"), -F.col("part"), -F.col("supp"))
-    return d.groupBy("image").agg(F.max_by(F.struct("det", "part", "supp", "box"), order).alias("t"))
+    return d.groupBy("image").agg(F.max_by(F.struct("det", "part", "supp", "box", "score"), order).alias("t"))
 
 
 def q_overlap_review(spark, sf_dir):
-    """Images where another detection, expanded, meets the target's: one join on the image, one row an image."""
+    """Eligible images (target's score 0.5 or more) where another detection, expanded, meets the target's go to review."""
     d = detections(spark, sf_dir)
     both = d.join(_targets(d), "image")
     other = (F.col("det") != F.col("t.det")) | (F.col("part") != F.col("t.part")) | (F.col("supp") != F.col("t.supp"))
     hit = other & boxes.intersects(boxes.expand(F.col("box"), 0.40), boxes.expand(F.col("t.box"), 0.08))
-    return both.groupBy("image").agg(F.count_if(hit).alias("n_overlaps")).select("image", "n_overlaps", F.when(F.col("n_overlaps") > 0, "multiple_faces_review").otherwise("single").alias("status"))
+    rows = both.groupBy("image").agg(F.count_if(hit).alias("n_overlaps"), F.max("t.score").alias("most"))
+    status = F.when(F.col("most") < 0.5, "rejected").when(F.col("n_overlaps") > 0, "multiple_faces_review").otherwise("eligible")
+    return rows.select("image", "n_overlaps", status.alias("status"))
 
 
 def q_box_iou(spark, sf_dir):
@@ -158,12 +162,13 @@ def q_video_retain(spark, sf_dir):
 
 
 def q_sample_positions(spark, sf_dir):
-    """Midpoints of equal parts of each source's time: half a frame a second, 120 at most."""
-    span = frames(spark, sf_dir).groupBy("source").agg((F.floor(F.max("seconds")) - F.floor(F.min("seconds"))).alias("duration"), F.count("*").alias("frames"))
+    """Midpoints of equal parts of each source's time, half a sample a second, 120 at most, and the frames nearest to them."""
+    span = frames(spark, sf_dir).groupBy("source").agg((F.floor(F.max("seconds")) - F.floor(F.min("seconds"))).alias("duration"), F.count("*").alias("frames")).filter("duration > 0")
     n = F.least(F.lit(120), F.greatest(F.lit(1), F.ceil(F.col("duration") * 0.5))).cast("long")
     parts = span.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = (F.col("i") + 0.5) * F.col("duration") / F.col("n")
-    return parts.select("source", "i", F.round(at, 6).alias("seconds"), F.least(F.col("frames") - 1, F.floor(F.col("i") * F.col("frames") / F.col("n"))).alias("frame"))
+    at = F.least(F.col("duration").cast("double"), (F.col("i") + 0.5) * (F.col("duration") / F.col("n")))
+    frame = F.least(F.col("frames") - 1, F.bround(at * (F.col("frames") / F.col("duration"))).cast("long"))
+    return parts.select("source", "i", F.round(at, 6).alias("seconds"), frame.alias("frame"))
 
 
 def q_style_plan(spark, sf_dir):
@@ -204,42 +209,24 @@ def q_class_exclusion(spark, sf_dir):
     return e.join(out, "user_id", "left_anti").select("event_id", "user_id")
 
 
-def _runs(spark, sf_dir) -> DataFrame:
-    pick = ("media_id", "similarity", "status", "base")
-    a, b = candidates(spark, sf_dir, 0.05).select(*pick), candidates(spark, sf_dir, 0.10).select(*pick).filter("media_id % 10 <> 3")
-    a = a.filter("media_id % 10 <> 4")
-    return a.alias("a").join(b.alias("b"), "media_id", "full")
-
-
-def q_run_compare(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    change = F.when(F.col("a.status").isNull(), "added").when(F.col("b.status").isNull(), "missing").when(F.col("a.status") != F.col("b.status"), "changed").otherwise("same")
-    return r.select("media_id", F.col("a.status").alias("before"), F.col("b.status").alias("after"), change.alias("change"), F.round(F.col("b.base") - F.col("a.base"), 6).alias("delta"))
-
-
-def q_delta_stats(spark, sf_dir):
-    d = q_run_compare(spark, sf_dir)
-    n = F.count_if((F.col("before") == "eligible") & (F.col("after") == "eligible"))
-    return d.agg(
-        F.count("delta").alias("n"), F.round(F.avg("delta"), 6).alias("mean"), F.round(F.median("delta"), 6).alias("median"), F.max(F.abs("delta")).alias("most"),
-        F.count_if(F.col("change") == "changed").alias("changes"), F.count_if((F.col("before") == "eligible") & (F.coalesce("after", F.lit("")) != "eligible")).alias("new_misses"),
-        F.round(n / F.greatest(F.lit(1), F.count_if(F.col("before") == "eligible")), 6).alias("overlap"),
-    ).withColumn("accepted", (F.col("overlap") >= 0.90) & (F.col("new_misses") == 0))
-
-
 def q_decision_manifest(spark, sf_dir):
+    """What becomes of each observation when the first twenty of the pool are selected, and the names of their copies."""
     c = candidates(spark, sf_dir)
-    w = Window.partitionBy("scale_bin").orderBy(F.desc("base"), "media_id")
-    ranked = c.filter("status = 'eligible'").withColumn("rank", F.row_number().over(w)).select("media_id", "rank")
-    out = c.join(ranked, "media_id", "left")
-    decision = F.when((F.col("rank") <= 5) & (F.col("base") >= 0.5), "selected_strong").when(F.col("rank") <= 5, "selected_fallback").when(F.col("status") == "eligible", "not_selected").otherwise(F.col("reason"))
-    name = F.when(F.col("rank") <= 5, F.concat(F.lpad(F.col("rank").cast("string"), 3, "0"), F.lit("_"), F.col("media_id").cast("string"), F.lit(".jpg")))
-    return out.select("media_id", decision.alias("decision"), name.alias("file"))
+    out = decided(c, first_of_pool(c), "media_id")
+    name = F.when(F.col("selected"), ranked_name(F.col("rank"), F.concat(F.col("media_id").cast("string"), F.lit(".jpg"))))
+    return out.select("media_id", F.col("decision_reason").alias("decision"), name.alias("file"))
+
+
+def first_of_pool(c: DataFrame, count: int = 20) -> DataFrame:
+    """media_id and rank of the first rows of the pool: only they are ranked in one task."""
+    order = (F.desc("similarity"), F.desc("quality_score"), "media_id")
+    top = c.filter("status = 'eligible' or fallback_eligible").orderBy(*order).limit(count)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("media_id", "rank")
 
 
 def q_config_digest(spark, sf_dir):
     i = images(spark, sf_dir)
-    return i.select("image", F.sha2(F.concat_ws(",", F.col("image").cast("string"), F.col("width").cast("string"), F.col("height").cast("string")).cast("binary"), 256).alias("digest"))
+    return i.select("image", config_digest(width=F.col("width"), height=F.col("height"), backend=F.lit("stub"), sample_fps=F.lit(0.5), image=F.col("image")).alias("digest"))
 
 
 def q_incremental_misses(spark, sf_dir):
@@ -251,7 +238,10 @@ def q_incremental_misses(spark, sf_dir):
 
 def q_vote_class(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return o.select("media_id", signals.vote_level(F.col("appearance"), F.col("body_confidence"), F.when(F.col("media_id") % 2 == 0, F.col("exposure"))).alias("level"))
+    parts = (F.col("appearance"), F.col("body_confidence"), F.when(F.col("media_id") % 2 == 0, F.col("exposure")))
+    most = signals.strongest({"first": F.col("exposure"), "second": F.col("margin"), "third": F.col("luma")}, "none")
+    ratio = signals.range_bin(F.col("appearance"), [(0.0, 0.3, "narrow"), (0.35, 0.6, "even"), (0.65, 1.0, "wide")], "between")
+    return o.select("media_id", signals.vote_level(*parts).alias("level"), signals.vote_level(*parts, confidence=F.col("luma")).alias("sure_level"), most.alias("most"), ratio.alias("ratio"))
 
 
 def q_set_ops(spark, sf_dir):
@@ -279,4 +269,7 @@ def q_scorer_hook(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("q_")}
+    from granary.plans import media, runs
+
+    found = {**globals(), **vars(media), **vars(runs)}
+    return {name: f for name, f in found.items() if name.startswith("q_")}

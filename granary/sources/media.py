@@ -21,7 +21,9 @@ def scan_media(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
     files = files.filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*suffixes))
     if outside:
-        files = files.filter(~F.col("path").contains(f"{outside.rstrip('/')}/"))
+        tree = f"{outside.rstrip('/')}/"
+        own = F.when(F.lit("://" in tree or tree.startswith("file:")), F.col("path")).otherwise(F.regexp_replace("path", "^[a-z]+:/*/", "/"))
+        files = files.filter(~own.startswith(tree))
     columns = [F.col("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")] + ([F.col("content")] if content else [])
     return files.select(*columns).orderBy(F.lower("path"), "path")
 

@@ -20,6 +20,6 @@ def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else timed.dropDuplicates(["event_id"])
 
 
-def read_frames(spark, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the Parquet files of a folder, a few files to a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_frames(spark, folder: str, schema, files_per_batch: int = 1, name: str = "*.parquet") -> DataFrame:
+    """A stream of the Parquet files of a folder whose names match a pattern, a few files to a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(folder)
