@@ -121,8 +121,11 @@ class Attention:
         np.exp(out, out=out)
         return out[np.arange(len(out)), target.ravel()] / out.sum(1)
 
-    def step(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, grown: dict, rate: float) -> None:
-        """One step of gradient ascent on the likelihood of the live targets, by causal attention backwards."""
+    def step(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, grown: dict, rate: float) -> np.ndarray:
+        """One step of gradient ascent on the likelihood of the live targets, by causal attention backwards.
+
+        Gives the probability of each target before the step.
+        """
         w = self.weights
         h, q, k, v, a, o = self.hidden(x)
         flat = o.reshape(-1, WIDTH)
@@ -130,6 +133,7 @@ class Attention:
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
+        said = p[np.arange(len(p)), target.ravel()].reshape(target.shape)
         p[np.arange(len(p)), target.ravel()] -= 1
         p *= (live.ravel() / max(live.sum(), 1)).astype(np.float32)[:, None]
         g = {"u": flat.T @ p, "b": p.sum(0)}
@@ -147,6 +151,7 @@ class Attention:
         for name, d in g.items():
             grown[name] += d * d
             w[name] -= rate * d / np.sqrt(grown[name])
+        return said
 
     def train(self, windows, rate: float = RATE) -> None:
         grown = {k: np.full_like(x, 1e-7) for k, x in self.weights.items()}
@@ -254,21 +259,17 @@ def count_ids(batches, ranks: bytes):
     yield packed(seen)
 
 
-def mix_gains(batches, ranks: bytes, model: Model):
-    """The log likelihood of a task's documents at each share in MIXES."""
-    gains = np.zeros(len(MIXES))
-    for _, ids, begin in encoded(batches, ranks):
-        for _, p, q, live in model.chances(ids, begin):
-            p, q = p[live], q[live]
-            gains += [np.log(m * p + (1 - m) * q).sum() for m in MIXES]
-    yield packed(gains)
+def neighbours(pairs: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """The probability of a class after another one by their counts."""
+    return (pairs + 20 * unigram) / (pairs.sum(1, keepdims=True) + 20)
 
 
-def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
-    """What a task's training documents give: word counts, and one row with neighbours and weights trained on all windows."""
+def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention, unigram: np.ndarray):
+    """What a task's training documents give: word counts, and one row with counts of neighbours, weights trained on all
+    windows, and the likelihood of each share in MIXES, every window judged before the task learns from it."""
     model = Attention({k: x.copy() for k, x in start.weights.items()})
     grown = {k: np.full_like(x, 1e-4) for k, x in model.weights.items()}
-    pairs, trained = np.zeros(CLASSES * CLASSES), 0
+    pairs, trained, gains = np.zeros(CLASSES * CLASSES), 0, np.zeros(len(MIXES))
     held: list[tuple] = []
     pending: list = []
 
@@ -277,11 +278,13 @@ def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
         nonlocal pending, trained
         if sum(len(x) for x, _, _ in pending) < least:
             return
+        after = neighbours(pairs.reshape(CLASSES, CLASSES), unigram)
         x, target, live = (np.concatenate(c) for c in zip(*pending, strict=True))
         lo = 0
         while len(x) - lo >= least:
             own = slice(lo, lo + BATCH)
-            model.step(x[own], target[own], live[own], grown, RATE / 4)
+            said = model.step(x[own], target[own], live[own], grown, RATE / 4)[live[own]]
+            gains[:] += np.log(MIXES[:, None] * said + (1 - MIXES[:, None]) * after[x[own], target[own]][live[own]]).sum(1)
             trained += int(live[own].sum())
             lo += BATCH
         pending = [(x[lo:], target[lo:], live[lo:])]
@@ -306,15 +309,15 @@ def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention):
         inner[begin[:-1]] = False
         own = classes[ids]
         at = np.flatnonzero(inner)
-        pairs += np.bincount(own[at - 1] * CLASSES + own[at], minlength=CLASSES * CLASSES)
         _, place, left = window_places(begin)
         for lo in range(0, len(place), TRAINED):
             pending.append(window_rows(own, place[lo : lo + TRAINED], left[lo : lo + TRAINED]))
             train(BATCH)
+        pairs += np.bincount(own[at - 1] * CLASSES + own[at], minlength=CLASSES * CLASSES)
     train(1)
     if held:
         yield words_out(held)
-    sums = np.concatenate([pairs, [trained], model.pack() * trained])
+    sums = np.concatenate([pairs, gains, [trained], model.pack() * trained])
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *packed(sums).columns], names=["word", "count", "sums"])
 
 
@@ -334,16 +337,15 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
         picks = (rng.integers(0, len(place), BATCH) for _ in range(FIRST_STEPS))
         start.train(window_rows(classes[ids], place[p], left[p]) for p in picks)
 
-    shared = spark.sparkContext.broadcast((ranks, classes, start))
+    mass = np.bincount(classes, weights=seen + 1, minlength=CLASSES)
+    unigram = (mass / mass.sum())[None, :]
+    shared = spark.sparkContext.broadcast((ranks, classes, start, unigram))
     got = materialize(rows.select("body").mapInArrow(lambda b: gather(b, *shared.value), "word long, count long, sums binary"))
-    sums = summed(got.filter("sums is not null"), CLASSES**2 + 1 + len(start.pack()))
-    pairs, trained, flat = np.split(sums, np.cumsum([CLASSES**2, 1]))
+    sums = summed(got.filter("sums is not null"), CLASSES**2 + len(MIXES) + 1 + len(start.pack()))
+    pairs, gains, trained, flat = np.split(sums, np.cumsum([CLASSES**2, len(MIXES), 1]))
     attention = start.unpack(flat / trained[0]) if trained[0] else start
-    mass = np.bincount(classes, weights=seen + 1, minlength=CLASSES)
     within = np.log10((seen + 1) / mass[classes])
-    unigram = (mass / mass.sum())[None, :]
-    pairs = pairs.reshape(CLASSES, CLASSES)
-    after = (pairs + 20 * unigram) / (pairs.sum(1, keepdims=True) + 20)
+    after = neighbours(pairs.reshape(CLASSES, CLASSES), unigram)
 
     counts = materialize(got.filter("word is not null").groupBy("word").agg(F.sum("count").alias("count")))
     facts = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
@@ -357,9 +359,7 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
     head = counts.filter(level >= least).toPandas().sort_values("word")
     hashes, order = head["word"].to_numpy(np.int64).view(np.uint64), None
     order = np.argsort(hashes)
-    model = Model(attention, classes, within, after, 0.5, hashes[order], head["count"].to_numpy(np.int64)[order], int(facts["n"]) + documents, int(facts["v"]) + (documents > 0))
-    whole = spark.sparkContext.broadcast((ranks, model))
-    model.mix = float(MIXES[summed(rows.select("body").mapInArrow(lambda b: mix_gains(b, *whole.value), "sums binary"), len(MIXES)).argmax()])
+    model = Model(attention, classes, within, after, float(MIXES[gains.argmax()]), hashes[order], head["count"].to_numpy(np.int64)[order], int(facts["n"]) + documents, int(facts["v"]) + (documents > 0))
     return model, counts.filter(level < least)
 
 
@@ -400,8 +400,9 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY_FILE, id_col:
 
     The driver reads the vocabulary's file and begins the model's weights on FIRST_DOCS documents. Classes, counts, the
     training that follows, on every window, and the share of the model beside the counts of neighbours come from all
-    training documents where they lie; the weights of tasks are averaged by what they trained on. Counts of the HEAD_WORDS most frequent
-    words travel to all tasks, all others are joined by word.
+    training documents where they lie; the weights of tasks are averaged by what they trained on, so that scores depend
+    a little on how the documents are dealt to tasks. Counts of the HEAD_WORDS most frequent words travel to all tasks,
+    all others are joined by word. A text's ids are held at once; other columns aren't read.
     """
     with open(vocabulary, "rb") as f:
         ranks = f.read()

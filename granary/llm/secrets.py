@@ -1,7 +1,8 @@
 """Secret scans: fixed rules, and a linear-chain conditional random field over tokens, decoded by Viterbi.
 
 The field tags tokens as outside (0), begin (1) or inside (2) of a secret. It is trained here, on a bounded sample of
-documents whose tags come from the rules, and finds values that look and stand like secrets where no rule fits.
+documents: what the rules find in them stays, comes once more with other key words, separators and values, and values of
+many shapes are put between words. So the field learns how secrets look and stand, not what the rules ask for.
 """
 
 from __future__ import annotations
@@ -21,18 +22,25 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Documents to train on at most, steps of training, tokens to a training window, shortest secret that the field adds.
-TRAIN_DOCS, TRAIN_STEPS, WINDOW, SPAN_LEAST = 2000, 150, 64, 12
-HASHED, DOC_BINS = 4096, 8
+TRAIN_DOCS, TRAIN_STEPS, WINDOW, SPAN_LEAST = 2000, 200, 64, 12
+HASHED, DOC_BINS, SOURCES = 4096, 8, 64
+#: Of the training documents, the share into which values are put; their letters, and what stands before half of them.
+PLANTED = 0.5
+ALPHABETS = ("0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+BEFORE = ("", "key ", "auth: ", "credential=", "id ", "use ", "pin = ", "hash ", "bearer ", "value: ", "login ", "= ", ": ", "is ")
 
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-", *range(0x80, 0x100)]] = True
 HEX = np.zeros(256, bool)
 HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
+#: What code has much of.
+CODE = np.zeros(256, bool)
+CODE[[*b"{}()[];=<>_/"]] = True
 #: What stands before a token: other, start of a document, space, newline, quote, = or :, and whether = or : is near.
 GAP = np.zeros(256, np.int64)
 GAP[32], GAP[10], GAP[[34, 39]], GAP[[58, 61]] = 1, 2, 3, 4
 #: Sizes of the feature tables, in the order of `features`.
-TABLES = (384, 384, 384, HASHED, HASHED, 16, DOC_BINS)
+TABLES = (384, 384, 384, HASHED, HASHED, 16, DOC_BINS, DOC_BINS, DOC_BINS, SOURCES)
 
 
 def base_spans(data: bytes, hexes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -55,7 +63,7 @@ def hex_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Tokens:
     """The tokens of some texts and their features: one column a table of TABLES."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, sources: np.ndarray):
         self.words = w = Words(data, offsets, TOKEN, lower=False)
         n = len(w.starts)
         size = w.ends - w.starts
@@ -89,50 +97,109 @@ class Tokens:
             left[1:][same] = word[:-1][same]
             right[:-1][same] = word[1:][same]
         odd = np.bincount(w.row, weights=(digits * 4 >= size) & (size >= 8), minlength=len(offsets) - 1)
-        doc = np.minimum(odd, DOC_BINS - 1).astype(np.int64)[w.row] if n else np.zeros(0, np.int64)
-        self.columns = (shape, before, after, left, right, gap, doc)
+        bytes_ = np.diff(offsets)
+        code = np.concatenate([[0], np.cumsum(CODE[data])])
+        code = (code[offsets[1:]] - code[offsets[:-1]]) / np.maximum(bytes_, 1)
+        files = (np.minimum(odd, DOC_BINS - 1), np.clip(np.log2(np.maximum(bytes_, 1)) // 2, 0, DOC_BINS - 1), np.clip(np.ceil(code * 40), 0, DOC_BINS - 1), sources)
+        self.columns = (shape, before, after, left, right, gap, *(x.astype(np.int64)[w.row] for x in files))
 
     def scores(self, tables: list[np.ndarray]) -> np.ndarray:
         return sum(t[c] for t, c in zip(tables, self.columns, strict=True))
 
 
-def tags_of(tokens: Tokens, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Training tags: the tokens of the values that the rules find."""
-    w, tags = tokens.words, np.zeros(len(tokens.words.starts), np.int64)
-    rows, starts, ends = hex_runs(data, offsets)
-    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-    for i in range(len(offsets) - 1):
-        body = data[offsets[i] : offsets[i + 1]].tobytes()
-        spans += [(offsets[i] + m.start(), offsets[i] + m.end()) for m in ACCESS.finditer(body) if m.end() - m.start() >= ACCESS_LEAST]
-        spans += [(offsets[i] + m.start(2), offsets[i] + m.end(2)) for m in ASSIGN.finditer(body) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
-    for s, e in spans:
-        a, z = np.searchsorted(w.starts, s, "right") - 1, np.searchsorted(w.starts, e)
-        a = a if a >= 0 and w.ends[a] > s else a + 1
-        tags[a:z] = 2
-        tags[a : a + 1] = 1
-    return tags
+def values_of(body: bytes) -> list[tuple[int, int, int]]:
+    """What the rules find in a text: start of the whole, start and end of the value."""
+    found = [(m.start(), m.start(), m.end()) for m in re.finditer(rb"[0-9a-f]{%d,}" % HEX_LEAST, body)]
+    found += [(m.start(), m.start(), m.end()) for m in ACCESS.finditer(body) if m.end() - m.start() >= ACCESS_LEAST]
+    found += [(m.start(), m.start(2), m.end(2)) for m in ASSIGN.finditer(body) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    out: list[tuple[int, int, int]] = []
+    for x in sorted(found):
+        if not out or x[0] >= out[-1][2]:
+            out.append(x)
+    return out
+
+
+def made_up(rng: np.random.Generator) -> bytes:
+    """A value of a random shape, with what stands before it."""
+    letters = ALPHABETS[rng.integers(len(ALPHABETS))]
+    return "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(SPAN_LEAST + 2, 44)))).encode()
+
 
+def lessons(texts: list[str], rng: np.random.Generator) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
+    """Texts to train on, where their secrets are, and which document each comes from.
 
-def train(texts: list[str], seed: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature tables and transitions that maximise the likelihood of the rules' tags, by forward and backward sums."""
+    Every text as it is, with the rules' values; those with values once more, all values and what leads to them
+    exchanged; of the others a share with one to three values put between words.
+    """
+    out, spans, own = [], [], []
+    for i, text in enumerate(texts):
+        body = (text or "").encode()
+        found = values_of(body)
+        out.append(body)
+        spans.append([(s, e) for _, s, e in found])
+        own.append(i)
+        gaps = [m.start() for m in re.finditer(rb"[\x20\n]", body)]
+        if found:
+            cuts = [(a, e) for a, _, e in found]
+        elif gaps and rng.random() < PLANTED:
+            cuts = sorted((gaps[k] + 1, gaps[k] + 1) for k in set(rng.integers(0, len(gaps), int(rng.integers(1, 4))).tolist()))
+        else:
+            continue
+        parts, at, placed, size = [], 0, [], 0
+        for a, e in cuts:
+            lead, value = BEFORE[rng.integers(len(BEFORE)) * int(rng.random() < 0.5)].encode(), made_up(rng)
+            tail = b"" if e > a else b" "
+            parts += [body[at:a], lead, value, tail]
+            size += a - at + len(lead)
+            placed.append((size, size + len(value)))
+            size += len(value) + len(tail)
+            at = e
+        out.append(b"".join([*parts, body[at:]]))
+        spans.append(placed)
+        own.append(i)
+    return out, spans, own
+
+
+def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of WINDOW neighbouring tokens of one text, and which of them there are; the last window of a text is filled up."""
+    n = -(-words.counts // WINDOW)
+    row = np.repeat(np.arange(len(n)), n)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    spot = (words.first[row] + turn * WINDOW)[:, None] + np.arange(WINDOW)
+    live = spot < words.first[row + 1][:, None]
+    return np.minimum(spot, max(len(words.starts) - 1, 0)), live
+
+
+def train(texts: list[str], sources: list[int], seed: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature tables and transitions that maximise the likelihood of the lessons' tags, by forward and backward sums.
+
+    What fills up a window is outside for certain, as is what follows a text.
+    """
+    rng = np.random.default_rng(seed)
     tables = [np.zeros((n, 3)) for n in TABLES]
     moves = np.zeros((3, 3))
-    data, offsets = string_bytes(pa.array(texts, pa.string()))
-    tokens = Tokens(data, offsets)
-    tags = tags_of(tokens, data, offsets)
-    n = len(tags) // WINDOW
-    if not n:
+    bodies, spans, own = lessons(texts, rng)
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    tokens = Tokens(data, offsets, np.array([sources[i] for i in own], np.int64)) if len(data) else None
+    if tokens is None or not len(tokens.words.starts):
         tables[0][:, 0] = 10.0
         return tables, moves
-    columns = [c[: n * WINDOW].reshape(n, WINDOW) for c in tokens.columns]
-    tags = tags[: n * WINDOW].reshape(n, WINDOW)
-    rng = np.random.default_rng(seed)
+    w, tags = tokens.words, np.zeros(len(tokens.words.starts), np.int64)
+    for i, found in enumerate(spans):
+        for s, e in found:
+            a, z = np.searchsorted(w.ends, offsets[i] + s, "right"), np.searchsorted(w.starts, offsets[i] + e)
+            tags[a:z] = 2
+            tags[a : min(a + 1, z)] = 1
+    spot, live = windows_of(w)
+    columns, tags = [c[spot] for c in tokens.columns], np.where(live, tags[spot], 0)
     with_, without = np.flatnonzero(tags.any(1)), np.flatnonzero(~tags.any(1))
     grown = [np.full_like(t, 1e-6) for t in (*tables, moves)]
+    filler = np.array([0.0, -30.0, -30.0])
     for _ in range(TRAIN_STEPS):
         pick = np.concatenate([rng.choice(x, min(len(x), 128)) for x in (with_, without) if len(x)])
-        cols, own, b = [c[pick] for c in columns], tags[pick], len(pick)
-        e = sum(t[c] for t, c in zip(tables, cols, strict=True))
+        cols, own_tags, there, b = [c[pick] for c in columns], tags[pick], live[pick], len(pick)
+        e = np.where(there[:, :, None], sum(t[c] for t, c in zip(tables, cols, strict=True)), filler)
         f, r = np.empty_like(e), np.zeros_like(e)
         f[:, 0] = e[:, 0]
         for t in range(1, WINDOW):
@@ -141,10 +208,10 @@ def train(texts: list[str], seed: int = 3) -> tuple[list[np.ndarray], np.ndarray
             r[:, t] = logsum(moves + (e[:, t + 1] + r[:, t + 1])[:, None, :], 2)
         z = logsum(f[:, -1], 1)
         chance = np.exp(f + r - z[:, None, None])
-        miss = np.eye(3)[own] - chance
+        miss = (np.eye(3)[own_tags] - chance) * there[:, :, None]
         both = np.exp(f[:, :-1, :, None] + moves + (e + r)[:, 1:, None, :] - z[:, None, None, None]).sum((0, 1))
         seen = np.zeros((3, 3))
-        np.add.at(seen, (own[:, :-1].ravel(), own[:, 1:].ravel()), 1.0)
+        np.add.at(seen, (own_tags[:, :-1].ravel(), own_tags[:, 1:].ravel()), 1.0)
         grads = []
         for t, c in zip(tables, cols, strict=True):
             g = np.zeros_like(t)
@@ -154,7 +221,7 @@ def train(texts: list[str], seed: int = 3) -> tuple[list[np.ndarray], np.ndarray
         for x, g, h in zip((*tables, moves), grads, grown, strict=True):
             g = g - 1e-4 * x
             h += g * g
-            x += 0.3 * g / np.sqrt(h)
+            x += 0.5 * g / np.sqrt(h)
     return tables, moves
 
 
@@ -200,7 +267,7 @@ def viterbi(e: np.ndarray, row: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return tags
 
 
-def scan(texts: pa.Array, model) -> list[list[tuple[str, int, int]]]:
+def scan(texts: pa.Array, sources: np.ndarray, model) -> list[list[tuple[str, int, int]]]:
     """The spans of each text, as (kind, start, end) in code points, by start and then by kind."""
     tables, moves = model
     data, offsets = string_bytes(texts)
@@ -208,7 +275,7 @@ def scan(texts: pa.Array, model) -> list[list[tuple[str, int, int]]]:
     for lo, hi in slices(offsets):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         rows, starts, ends = hex_runs(part, at)
-        tokens = Tokens(part, at)
+        tokens = Tokens(part, at, sources[lo:hi])
         w = tokens.words
         tags = viterbi(tokens.scores(tables), w.row, moves)
         hits = np.flatnonzero(tags)
@@ -230,22 +297,25 @@ def scan(texts: pa.Array, model) -> list[list[tuple[str, int, int]]]:
     return out
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """One row a document: id_col and spans, an array of (kind, start, end) in code points.
 
     Kinds are assign, access and hex (the rules) and crf, what the field adds beside them; a crf span has SPAN_LEAST
     bytes or more and touches no span of a rule. Spans stand by start, then in the order of the kinds. Null and empty
     texts have none. The field is fitted on at most `train_docs` documents, those with the smallest hashes; all whole
-    texts are scanned. Ids may repeat or be null; other columns aren't read.
+    texts are scanned. Rows that repeat are found alike; ids may be null. source_col is a feature of the file where docs
+    has it; other columns aren't read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    source = F.pmod(F.xxhash64(F.col(source_col)), F.lit(SOURCES)).cast("int") if source_col in docs.columns else F.lit(0)
+    rows = docs.select(F.col(id_col).alias("id"), source.alias("source"), F.col(text_col).alias("body"))
     sample = bounded_sample(rows.filter(F.col("body").isNotNull()), train_docs, F.col("id"), F.col("body"))
-    model = docs.sparkSession.sparkContext.broadcast(train([r["body"] for r in sample]))
+    model = docs.sparkSession.sparkContext.broadcast(train([r["body"] for r in sample], [r["source"] for r in sample]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in scan(batch.column("body"), model.value)]
+            spans = scan(batch.column("body"), batch.column("source").to_numpy(), model.value)
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in own] for own in spans]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], names=["id", "spans"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>"

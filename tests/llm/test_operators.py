@@ -165,7 +165,7 @@ def test_language_model_learns_from_all(spark, monkeypatch):
     begin = lm_score.Subwords(ranks).sequences(words, words.hashes())[1]
     left = lm_score.window_places(begin)[2]
     start = lm_score.Attention.fresh()
-    last = list(lm_score.gather([few], ranks, model.classes, start))[-1]
+    last = list(lm_score.gather([few], ranks, model.classes, start, np.full((1, lm_score.CLASSES), 1 / lm_score.CLASSES)))[-1]
     sums = np.frombuffer(zlib.decompress(last.column("sums")[0].as_py()))
     assert sums[-len(start.pack()) - 1] == np.minimum(left, lm_score.SEEN).sum()
     assert not np.allclose(sums[-len(start.pack()) :] / sums[-len(start.pack()) - 1], start.pack())
@@ -361,3 +361,38 @@ def test_clashing_names(spark):
     whole = sorted(tuple(r) for r in rows.collect())
     for got in (keep_good(rows, labels), near_dup.keep_one_of_each(rows, percent=99), remove_contaminated(rows, bench), mix_sources(rows, cyclic_weights(1), share=1.0), assign_shards(rows).select(names)):
         assert got.columns == names and set(map(tuple, got.collect())) <= set(whole) and not got.isEmpty()
+
+
+def test_field_finds_what_no_rule_does(spark):
+    """Values without key words, put between the words of documents that the field wasn't trained on; clean text stays clean."""
+    from granary.llm import secrets
+
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").orderBy("doc_id").collect()
+    learn, other = docs[:600], docs[600:]
+    model = secrets.train([r["text"] for r in learn], [0] * len(learn))
+    none = np.zeros(len(other), np.int64)
+    clean = secrets.scan(pa.array([r["text"] for r in other]), none, model)
+    assert sum(kind == "crf" for spans in clean for kind, _, _ in spans) <= 2
+    rng, texts, places = np.random.default_rng(5), [], []
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    for r in other:
+        gaps = [k for k, c in enumerate(r["text"]) if c in " \n"] or [0]
+        k = gaps[int(rng.integers(len(gaps)))]
+        value = "".join(letters[j] for j in rng.integers(0, len(letters), int(rng.integers(16, 36))))
+        texts.append(f"{r['text'][:k]} {value} {r['text'][k:]}")
+        places.append(("crf", k + 1, k + 1 + len(value)))
+    found = secrets.scan(pa.array(texts), none, model)
+    assert sum(place in spans for place, spans in zip(places, found, strict=True)) > 0.8 * len(texts)
+
+
+def test_viterbi():
+    """The best path against all paths."""
+    import itertools
+
+    from granary.llm import secrets
+
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        e, moves = rng.normal(0, 2, (6, 3)), rng.normal(0, 1, (3, 3))
+        best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(e[t, k] for t, k in enumerate(p)) + sum(moves[a, b] for a, b in itertools.pairwise(p)))
+        assert tuple(secrets.viterbi(e, np.zeros(6, np.int64), moves)) == best
