@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import uuid
 import zlib
@@ -36,14 +37,37 @@ SUM_TASKS = 32
 _written: list[str] = []
 
 
+#: Rows to an Arrow batch while operators write tables: whole texts by the thousand take too much of an executor's memory.
+BATCH_ROWS = 2000
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back. This cuts lineage: lost executors lose none of it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, rows = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", conf.get(name)
+    conf.set(name, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, rows)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """run, a function over a task's batches, which gives memory back at its end: Python workers live on for later stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 @contextlib.contextmanager
 def cleared(spark: SparkSession):
     """Deletes on leaving what was materialized inside. Frames made inside must have been written elsewhere by then."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, mix, slices, string_bytes
+from granary.llm.common import Words, lean, mix, slices, string_bytes
 
 #: Words to a window; bytes of documents to a shard; bytes of benchmark text that go to the tasks at once.
 WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 1 << 20, 8 << 20
@@ -164,7 +164,7 @@ def with_matches(rows: DataFrame, text_col: str, b) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND.names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, {FOUND_SQL}")
+    return rows.mapInArrow(lean(run), f"{schema}, {FOUND_SQL}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

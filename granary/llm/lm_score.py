@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, bounded_sample, materialize, packed, slices, string_bytes, summed
+from granary.llm.common import Words, bounded_sample, lean, materialize, packed, slices, string_bytes, summed
 
 #: Public byte-level BPE ranks; one more id ends a text.
 VOCABULARY_FILE, IDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50257
@@ -326,7 +326,7 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).filter(~held_out(F.col("id")))
     table = spark.sparkContext.broadcast(ranks)
-    seen = summed(rows.select("body").mapInArrow(lambda b: count_ids(b, table.value), "sums binary"), IDS)
+    seen = summed(rows.select("body").mapInArrow(lean(lambda b: count_ids(b, table.value)), "sums binary"), IDS)
     classes = class_table(seen)
     texts = [r["body"] for r in bounded_sample(rows, FIRST_DOCS, F.col("id"), F.col("body"))]
     words = Words(*string_bytes(pa.array(texts, pa.string())))
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, ranks: bytes, id_col: str, text_col: str) -> tuple[Mode
     mass = np.bincount(classes, weights=seen + 1, minlength=CLASSES)
     unigram = (mass / mass.sum())[None, :]
     shared = spark.sparkContext.broadcast((ranks, classes, start, unigram))
-    got = materialize(rows.select("body").mapInArrow(lambda b: gather(b, *shared.value), "word long, count long, sums binary"))
+    got = materialize(rows.select("body").mapInArrow(lean(lambda b: gather(b, *shared.value)), "word long, count long, sums binary"))
     sums = summed(got.filter("sums is not null"), CLASSES**2 + len(MIXES) + 1 + len(start.pack()))
     pairs, gains, trained, flat = np.split(sums, np.cumsum([CLASSES**2, len(MIXES), 1]))
     attention = start.unpack(flat / trained[0]) if trained[0] else start
@@ -410,7 +410,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY_FILE, id_col:
     model, rare = fit(docs, ranks, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, model))
-    scored = materialize(rows.mapInArrow(lambda b: score_rows(b, *shared.value), "id string, rid long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>"))
+    scored = materialize(rows.mapInArrow(lean(lambda b: score_rows(b, *shared.value)), "id string, rid long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>"))
     scale = float(np.log10(model.total + model.distinct + 1))
     tail = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(rare, "word", "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, id_table, in_table, join_groups, materialize, mix, shingles, slices, stamped, string_bytes
+from granary.llm.common import Words, id_table, in_table, join_groups, lean, materialize, mix, shingles, slices, stamped, string_bytes
 
 #: Words to a shingle; least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -114,8 +114,8 @@ def token_classes(sets: DataFrame) -> np.ndarray:
     A megabyte, whatever the input. Tables are summed in two steps, so that no task reads those of all tasks.
     """
     parts = sets.filter("part is not null").select("part", "counts", F.pmod(F.spark_partition_id(), F.lit(TABLE_TREE)).alias("branch"))
-    parts = parts.repartition(TABLE_PARTS * TABLE_TREE, "part", "branch").select("part", "counts").mapInArrow(sum_table, "part int, counts binary")
-    parts = parts.withColumn("wide", F.lit(True)).repartition(TABLE_PARTS, "part").mapInArrow(sum_table, "part int, counts binary")
+    parts = parts.repartition(TABLE_PARTS * TABLE_TREE, "part", "branch").select("part", "counts").mapInArrow(lean(sum_table), "part int, counts binary")
+    parts = parts.withColumn("wide", F.lit(True)).repartition(TABLE_PARTS, "part").mapInArrow(lean(sum_table), "part int, counts binary")
     table = np.zeros((TABLE_PARTS, (1 << TABLE_BITS) // TABLE_PARTS), np.int64)
     for part, counts in parts.collect():
         table[part] += np.frombuffer(zlib.decompress(counts), np.int64)
@@ -394,7 +394,7 @@ def asked_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 at = at[np.unique(ids[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([token[edges[i] : edges[i + 1]].tobytes() for i in at], pa.binary())], names=["sid", "tokens"])
 
-    return docs.mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
+    return docs.mapInArrow(lean(tokens), "sid long, tokens binary").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
 
 
 def similar(own: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
@@ -457,7 +457,7 @@ def verified(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     units = units.select("comp", (least * F.col("slots") + most).alias("part"), (F.col("block") == least).alias("own"), (least == most).alias("same"), "sid", "size", "slots")
     units = units.join(asked_sets(docs, sets.select("sid"), k), "sid")
     units = units.repartition("comp", "part").sortWithinPartitions("comp", "part")
-    found = materialize(units.mapInArrow(lambda b: verify_units(b, percent), "sid long, links long, root long, slots long"))
+    found = materialize(units.mapInArrow(lean(lambda b: verify_units(b, percent)), "sid long, links long, root long, slots long"))
     out = found.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("comp"), F.max("slots").alias("slots"))
     split = found.filter("slots > 1")
     if split.isEmpty():
@@ -515,7 +515,7 @@ def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), rid.alias("rid"), F.col(text_col).alias("body"))
     body = docs.select(F.col(text_col).alias("body"))
-    read = materialize(rows.mapInArrow(lambda batches: read_sets(batches, shingle), "id string, rid long, n int, sid long, map binary, part int, counts binary"))
+    read = materialize(rows.mapInArrow(lean(lambda batches: read_sets(batches, shingle)), "id string, rid long, n int, sid long, map binary, part int, counts binary"))
     classes = spark.sparkContext.broadcast(token_classes(read))
     sets = read.filter("rid is not null").select(F.col("id").cast(kind).alias("id"), "rid", "n", "sid")
 
@@ -533,12 +533,12 @@ def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
                 at, sig = dealt(at, sig, level, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[at]), pa.array(sizes[at], pa.int32())], names=["sig", "sid", "n"])
 
-    found = body.mapInArrow(index, "sig long, sid long, n int").repartition("sig").sortWithinPartitions("sig")
-    shared = found.mapInArrow(lambda b: shared_buckets(b, percent), "bucket long, sid long")
+    found = body.mapInArrow(lean(index), "sig long, sid long, n int").repartition("sig").sortWithinPartitions("sig")
+    shared = found.mapInArrow(lean(lambda b: shared_buckets(b, percent)), "bucket long, sid long")
     maps = read.filter("sid is not null").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("map").alias("map"))
     shared = shared.groupBy("sid").agg(F.collect_set("bucket").alias("buckets")).join(maps, "sid")
     shared = shared.select(F.explode("buckets").alias("bucket"), "sid", "n", "map").repartition("bucket").sortWithinPartitions("bucket")
-    parts = components(shared.mapInArrow(lambda b: families(b, percent), "a long, b long"))
+    parts = components(shared.mapInArrow(lean(lambda b: families(b, percent)), "a long, b long"))
 
     by_set = sets.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     near = parts.unionByName(parts.select(F.col("comp").alias("node"), "comp").distinct()).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import Words, bounded_sample, materialize, packed, slices, string_bytes, summed
+from granary.llm.common import Words, bounded_sample, lean, materialize, packed, slices, string_bytes, summed
 
 #: Labelled documents to learn from at most; this is the only bound, all other documents take part.
 LABELLED_DOCS = 20_000
@@ -230,7 +230,7 @@ def fitted(tables: tuple, lesson: DataFrame, width: int) -> CoTrained:
     spark = lesson.sparkSession
     model = CoTrained(tables)
     shared = spark.sparkContext.broadcast(model)
-    found = lesson.mapInArrow(lambda b: read_evidence(b, width, shared.value), "place long, fold long, bad int, text array<double>, meta array<double>, words array<long>").toPandas().sort_values("place")
+    found = lesson.mapInArrow(lean(lambda b: read_evidence(b, width, shared.value)), "place long, fold long, bad int, text array<double>, meta array<double>, words array<long>").toPandas().sort_values("place")
     fold, bad = found["fold"].to_numpy(), found["bad"].to_numpy().astype(float)
     text, meta = (np.array(found[c].tolist(), np.float32).reshape(len(found), -1) for c in ("text", "meta"))
     dense, text = text.shape[1], np.concatenate([text, np.zeros((len(found), len(model.telling)), np.float32)], 1)
@@ -285,12 +285,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if len(kinds) < 6:
         return nothing
     size = sum(x.size for x in fresh())
-    own = unpacked(summed(lesson.mapInArrow(lambda b: count_labelled(b, width), "sums binary"), size))
+    own = unpacked(summed(lesson.mapInArrow(lean(lambda b: count_labelled(b, width)), "sums binary"), size))
     model = fitted(own, lesson, width)
     names = np.array([k for k, _ in known], np.int64)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model, names))
-        said = summed(rows.mapInArrow(lambda b, s=shared: count_sure(b, width, *s.value), "sums binary"), size)
+        said = summed(rows.mapInArrow(lean(lambda b, s=shared: count_sure(b, width, *s.value)), "sums binary"), size)
         model = fitted(together(own, unpacked(said)), lesson, width)
     return model
 
@@ -309,7 +309,7 @@ def with_scores(rows: DataFrame, model: CoTrained, text: str, meta: list[str], l
             yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.float64()) for x in (t, m, both)), pa.array(both < limit)], names=[*own.schema.names, "text_bad", "meta_bad", "bad", "keep"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("bins", meta_bins(rows, meta)).mapInArrow(run, f"{schema}, text_bad double, meta_bad double, bad double, keep boolean")
+    return rows.withColumn("bins", meta_bins(rows, meta)).mapInArrow(lean(run), f"{schema}, text_bad double, meta_bad double, bad double, keep boolean")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

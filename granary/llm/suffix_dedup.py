@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import _BYTE, id_table, in_table, join_groups, materialize, mix, powers, slices, string_bytes
+from granary.llm.common import _BYTE, id_table, in_table, join_groups, lean, materialize, mix, powers, slices, string_bytes
 
 #: Bytes of a repeated string; bytes of an anchor's hash; bytes of pieces in a block; places of an anchor in a block.
 LENGTH, ANCHOR, BLOCK_BYTES, BLOCK_PLACES = 400, 24, 2 << 20, 4096
@@ -439,7 +439,7 @@ def texts_of(docs: DataFrame, asked: DataFrame | None) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([pa.array(tid).take(at), batch.column("body").take(at)], names=["tid", "body"])
 
-    return docs.select("body").mapInArrow(run, "tid long, body string").dropDuplicates(["tid"])
+    return docs.select("body").mapInArrow(lean(run), "tid long, body string").dropDuplicates(["tid"])
 
 
 def repeated_anchors(read: DataFrame) -> DataFrame:
@@ -460,7 +460,7 @@ def repeated_anchors(read: DataFrame) -> DataFrame:
     counts = dict(rows.filter(F.col("key").isin(hot)).groupBy("key").count().collect())
     shared = read.sparkSession.sparkContext.broadcast(counts)
     cold = rows.filter(~F.col("key").isin(hot)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    warm = read.select("tid", "keys", "starts", "sizes").mapInArrow(lambda b: hot_places(b, shared.value), "key long, tid long, start long, size int, n long")
+    warm = read.select("tid", "keys", "starts", "sizes").mapInArrow(lean(lambda b: hot_places(b, shared.value)), "key long, tid long, start long, size int, n long")
     return cold.unionByName(warm).filter("n > 1")
 
 
@@ -491,13 +491,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    read = materialize(rows.mapInArrow(lambda b: read_anchors(b, length), "id string, rid long, bytes long, sha string, tid long, keys array<long>, starts array<long>, sizes array<int>"))
+    read = materialize(rows.mapInArrow(lean(lambda b: read_anchors(b, length)), "id string, rid long, bytes long, sha string, tid long, keys array<long>, starts array<long>, sizes array<int>"))
     texts = materialize(read.groupBy("tid").agg(F.count("*").alias("copies"), F.any_value("bytes").alias("n_bytes"), F.any_value("sha").alias("sha")))
     marks = repeated_anchors(read).groupBy("tid").agg(F.collect_set(F.struct("start", "size", "key", "n")).alias("marks"))
-    plan = materialize(marks.mapInArrow(lambda b: plan_pieces(b, length), "tid long, begin array<long>, windows array<long>, keys array<long>, numbers array<long>"))
-    pieces = texts_of(rows, plan).join(plan, "tid").mapInArrow(lambda b: cut_pieces(b, length), "key long, slot int, hot boolean, tid long, start long, windows long, piece binary")
+    plan = materialize(marks.mapInArrow(lean(lambda b: plan_pieces(b, length)), "tid long, begin array<long>, windows array<long>, keys array<long>, numbers array<long>"))
+    pieces = texts_of(rows, plan).join(plan, "tid").mapInArrow(lean(lambda b: cut_pieces(b, length)), "key long, slot int, hot boolean, tid long, start long, windows long, piece binary")
     pieces = pieces.repartition("key", "slot").sortWithinPartitions("key", "slot")
-    hits = materialize(pieces.mapInArrow(lambda b: solve(b, length), "tid long, start long, end long, d1 long, d2 long, known boolean"))
+    hits = materialize(pieces.mapInArrow(lean(lambda b: solve(b, length)), "tid long, start long, end long, d1 long, d2 long, known boolean"))
     span = F.struct("tid", "start", "end")
     left = hits.filter("d1 is not null").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("known"), span)).alias("spans"))
     left = left.filter("n > 1").select(F.explode("spans").alias("s")).select("s.*")  # a row a block and kind of window
@@ -506,7 +506,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     spans = materialize(spans.join(texts.filter(~whole).select("tid"), "tid"))
     bodies = texts_of(rows, None if with_bytes else spans).join(spans, "tid", "left" if with_bytes else "inner")
-    cut = bodies.mapInArrow(strip, "tid long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    cut = bodies.mapInArrow(lean(strip), "tid long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     columns = {
         "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))),
         "n_spans": F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"),
