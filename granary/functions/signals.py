@@ -72,7 +72,7 @@ def vote_mean(*signals: Column) -> Column:
 
 def strongest(votes: dict[str, Column], otherwise: str, over: float = 0.4) -> Column:
     """The name of the largest vote, the first of equal ones; `otherwise` where none is over the level."""
-    best = F.greatest(*(F.coalesce(v, F.lit(0.0)) for v in votes.values()))
+    best = F.greatest(F.lit(0.0), *(F.coalesce(v, F.lit(0.0)) for v in votes.values()))
     out = F.lit(otherwise)
     for name, v in reversed(votes.items()):
         out = F.when((v == best) & (best > over), name).otherwise(out)
