@@ -108,6 +108,40 @@ def test_pipeline_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, (n, least) in plain.items() if least == i or not n)
 
 
+def plain_hits(texts, items):
+    """Numbers of the texts that hold ten consecutive words of an item, or all words of a shorter one."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    spans = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+    items = [w for w in map(words, items) if w]
+    sizes = {min(len(w), 10) for w in items}
+    wanted = {n: set().union(*(spans(w, n) for w in items if min(len(w), 10) == n)) for n in sizes}
+    return {k for k, t in enumerate(texts) if any(spans(words(t), n) & wanted[n] for n in sizes)}
+
+
+def test_pipeline(spark):
+    """Each stage on what its predecessor kept, against plain versions; run() gives as many rows of each document."""
+    docs, kept = documents(spark), {}
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DATA)
+        kept[name] = docs = spark.createDataFrame(got.collect(), got.schema)
+    good, alone, clean, mixed, shards = (kept[name].collect() for name, _ in corpus_pipeline.STAGES)
+    assert all(kept[name].columns == names for name, _ in corpus_pipeline.STAGES[:-1])
+    assert len(good) > 0.5 * documents(spark).count()
+    plain = plain_near([(r["doc_id"], r["text"]) for r in good])
+    assert sorted(r["doc_id"] for r in alone) == sorted(i for i, (n, least) in plain.items() if least == i or not n)
+    hit = plain_hits([r["text"] for r in alone], [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
+    assert hit and sorted(map(tuple, clean), key=repr) == sorted((tuple(r) for k, r in enumerate(alone) if k not in hit), key=repr)
+    times = collections.Counter(map(tuple, mixed))
+    assert set(times) <= set(map(tuple, clean)) and max(times.values()) <= 2
+    assert collections.Counter(r["doc_id"] for r in shards) == collections.Counter(r["doc_id"] for r in mixed)
+    size = collections.Counter()
+    for r in shards:
+        size[r["shard"]] += r["n_bytes"]
+    assert all(size[r["shard"]] == r["shard_bytes"] for r in shards)
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()) == collections.Counter(r["doc_id"] for r in shards)
+
+
 def plain_strip(rows, length):
     bodies = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[p : p + length] for _, b in bodies for p in range(len(b) - length + 1))
