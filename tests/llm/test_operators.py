@@ -119,7 +119,8 @@ def plain_hits(texts, items):
 
 
 def test_pipeline(spark):
-    """Each stage on what its predecessor kept, against plain versions; run() gives as many rows of each document."""
+    """Each stage on what its predecessor kept: near duplicates and decontamination against plain versions, the other stages
+    to what must be true of them; run() gives as many rows of each document."""
     docs, kept = documents(spark), {}
     names = docs.columns
     for name, stage in corpus_pipeline.STAGES:
