@@ -43,7 +43,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources", mixing), ("sharding", sharding)]
 
-#: The classifier is trained and the mix is drawn at random, which SQL can't express; tests hold each stage on its own input, and the rows of run(), against plain versions.
+#: The classifier is trained and the mix is drawn at random, which SQL can't express; a test runs each stage on its own input, holds near duplicates and decontamination against plain versions, the others to what must be true of them, and run() to the same documents.
 ORACLE_SQL = None
 
 
