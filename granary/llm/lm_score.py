@@ -21,15 +21,15 @@ from granary.llm.common import Words, bounded_sample, lean, materialize, packed,
 VOCABULARY_FILE, IDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50257
 END = IDS - 1
 #: Classes, those that are one id each, width of the model, ids a window sees, ids by which windows advance.
-CLASSES, SINGLE, WIDTH, SEEN, ADVANCE = 128, 96, 16, 16, 12
+CLASSES, SINGLE, WIDTH, SEEN, ADVANCE = 128, 96, 16, 32, 28
 #: Documents that the driver begins training on, its steps, windows to a step; tasks go on with all windows.
-FIRST_DOCS, FIRST_STEPS, BATCH, RATE = 800, 600, 256, 0.05
+FIRST_DOCS, FIRST_STEPS, BATCH, RATE = 800, 600, 128, 0.05
 #: Shares of the attention model that are tried.
 MIXES = np.arange(1, 20) / 20
 #: Words whose counts travel to all tasks at most, cached words of a task.
 HEAD_WORDS, CACHE_WORDS = 1 << 17, 1 << 20
-#: Windows that are scored together, so that their arrays stay in a core's cache; windows that wait for training at most.
-SCORED, TRAINED = 192, 1 << 14
+#: Windows whose arrays are held together, so that they stay in a core's cache; windows that wait for training at most.
+TOGETHER, TRAINED = 64, 1 << 13
 
 
 class Subwords:
@@ -60,8 +60,8 @@ class Subwords:
         at = np.searchsorted(self.known, hashes)
         self.known, self.first, self.size = (np.insert(a, at, b) for a, b in ((self.known, hashes), (self.first, first), (self.size, size)))
 
-    def sequences(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, an end before and after each text, and where each text's part begins."""
+    def places(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the cache has each distinct word, and which of them every word is."""
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         for turn in range(2):  # when the cache is emptied, all words of this slice are learnt anew
             spot = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
@@ -72,8 +72,21 @@ class Subwords:
                 self.clear()
                 new[:] = True
             self.learn(unique[new], [words.text(i).decode("utf-8", "replace") for i in at[new].tolist()])
-        spot = np.searchsorted(self.known, unique)[inverse]
-        first, size = self.first[spot], self.size[spot]
+        return np.searchsorted(self.known, unique), inverse
+
+    def counts(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """How often each id stands in the texts, their ends included; each distinct word is looked at once."""
+        spot, inverse = self.places(words, hashes)
+        size = self.size[spot]
+        deep = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out = np.bincount(self.flat[np.repeat(self.first[spot], size) + deep], np.repeat(np.bincount(inverse, minlength=len(spot)), size), IDS)
+        out[END] += len(words.counts)
+        return out
+
+    def sequences(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end before and after each text, and where each text's part begins."""
+        spot, inverse = self.places(words, hashes)
+        first, size = self.first[spot][inverse], self.size[spot][inverse]
         n = len(words.counts)
         total = np.bincount(words.row, weights=size, minlength=n).astype(np.int64) + 2
         begin = np.concatenate([[0], np.cumsum(total)])
@@ -114,44 +127,50 @@ class Attention:
 
     def chances(self, x: np.ndarray, from_: int, target: np.ndarray) -> np.ndarray:
         """The probability of each target class at the window places from `from_` on."""
-        w = self.weights
-        out = self.hidden(x)[-1][:, from_:].reshape(-1, WIDTH) @ w["u"]
-        out += w["b"]
+        out, total = self.masses(self.hidden(x)[-1][:, from_:].reshape(-1, WIDTH))
+        return out[np.arange(len(out)), target.ravel()] / total
+
+    def masses(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is in proportion to the probability of each class, and its sum; flat holds hidden rows."""
+        out = flat @ self.weights["u"]
+        out += self.weights["b"]
         out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
-        return out[np.arange(len(out)), target.ravel()] / out.sum(1)
+        return out, out @ np.ones(CLASSES, np.float32)
 
-    def step(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, grown: dict, rate: float) -> np.ndarray:
-        """One step of gradient ascent on the likelihood of the live targets, by causal attention backwards.
-
-        Gives the probability of each target before the step.
-        """
+    def slopes(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict]:
+        """The probability of each target, and the slopes of the weighted loss, by causal attention backwards."""
         w = self.weights
         h, q, k, v, a, o = self.hidden(x)
         flat = o.reshape(-1, WIDTH)
-        p = flat @ w["u"] + w["b"]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        said = p[np.arange(len(p)), target.ravel()].reshape(target.shape)
-        p[np.arange(len(p)), target.ravel()] -= 1
-        p *= (live.ravel() / max(live.sum(), 1)).astype(np.float32)[:, None]
-        g = {"u": flat.T @ p, "b": p.sum(0)}
+        p, total = self.masses(flat)
+        spot = np.arange(len(p)), target.ravel()
+        said = (p[spot] / total).reshape(target.shape)
+        p *= (weight / total)[:, None]
+        p[spot] -= weight
+        g = {"u": flat.T @ p, "b": np.ones(len(p), np.float32) @ p}
         do = (p @ w["u"].T).reshape(o.shape)
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1).reshape(-1, 3 * WIDTH)
+        da -= (da * a).sum(-1, keepdims=True)
+        da *= a
+        da *= np.float32(WIDTH**-0.5)
+        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1).reshape(-1, 3 * WIDTH)
         g["qkv"] = h.reshape(-1, WIDTH).T @ dqkv
         dh = do + (dqkv @ w["qkv"].T).reshape(h.shape)
         g["p"] = dh.sum(0)
-        pick = np.zeros((x.size, CLASSES), np.float32)
-        pick[np.arange(x.size), x.ravel()] = 1
-        g["e"] = pick.T @ dh.reshape(-1, WIDTH)
-        for name, d in g.items():
+        g["e"] = np.bincount((x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dh.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
+        return said, g
+
+    def step(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, grown: dict, rate: float) -> np.ndarray:
+        """One step of gradient ascent on the likelihood of the live targets; gives their probabilities before it."""
+        w, weight = self.weights, (live / max(live.sum(), 1)).astype(np.float32)
+        parts = [slice(lo, lo + TOGETHER) for lo in range(0, len(x), TOGETHER)]
+        got = [self.slopes(x[own], target[own], weight[own].ravel()) for own in parts]
+        for name in w:
+            d = sum(g[name] for _, g in got)
             grown[name] += d * d
             w[name] -= rate * d / np.sqrt(grown[name])
-        return said
+        return np.concatenate([said for said, _ in got])
 
     def train(self, windows, rate: float = RATE) -> None:
         grown = {k: np.full_like(x, 1e-7) for k, x in self.weights.items()}
@@ -215,8 +234,8 @@ class Model:
         row, at, left = window_places(begin)
         head = at == begin[row]
         for from_, pick in ((0, np.flatnonzero(head)), (SEEN - ADVANCE, np.flatnonzero(~head))):
-            for lo in range(0, len(pick), SCORED):
-                own = pick[lo : lo + SCORED]
+            for lo in range(0, len(pick), TOGETHER):
+                own = pick[lo : lo + TOGETHER]
                 x, target, live = window_rows(classes, at[own], left[own])
                 target, live, before = target[:, from_:], live[:, from_:], x[:, from_:]
                 yield row[own], self.attention.chances(x, from_, target).reshape(target.shape), self.after[before, target], live
@@ -238,24 +257,27 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def encoded(batches, ranks: bytes):
-    """Words, their hashes, ids and where each text's ids begin, slice by slice."""
-    subwords = Subwords(ranks)
+def worded(batches):
+    """Words and their hashes, slice by slice."""
     for batch in batches:
         data, offsets = string_bytes(batch.column("body"))
         for lo, hi in slices(offsets):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            hashes = words.hashes()
-            yield hashes, *subwords.sequences(words, hashes)
+            yield words, words.hashes()
+
+
+def encoded(batches, ranks: bytes):
+    """Hashes of words, ids and where each text's ids begin, slice by slice."""
+    subwords = Subwords(ranks)
+    for words, hashes in worded(batches):
+        yield hashes, *subwords.sequences(words, hashes)
 
 
 def count_ids(batches, ranks: bytes):
     """How often each id stands in a task's documents."""
-    seen = np.zeros(IDS)
-    for _, ids, begin in encoded(batches, ranks):
-        inner = np.ones(len(ids), bool)
-        inner[begin[:-1]] = False
-        seen += np.bincount(ids[inner], minlength=IDS)
+    subwords, seen = Subwords(ranks), np.zeros(IDS)
+    for words, hashes in worded(batches):
+        seen += subwords.counts(words, hashes)
     yield packed(seen)
 
 

@@ -206,6 +206,38 @@ def test_language_model_learns_from_all(spark, monkeypatch):
     assert not np.allclose(sums[-len(start.pack()) :] / sums[-len(start.pack()) - 1], start.pack())
 
 
+def test_attention_slopes():
+    """Slopes of the loss equal its differences; ids of a task are counted as often as they stand."""
+    rng = np.random.default_rng(0)
+    model = lm_score.Attention({k: x.astype(np.float64) for k, x in lm_score.Attention.fresh(3).weights.items()})
+    x, target = rng.integers(0, lm_score.CLASSES, (2, 3, lm_score.SEEN))
+    weight = rng.random(x.size)
+    slopes = model.slopes(x, target, weight)[1]
+
+    def loss() -> float:
+        return -(weight * np.log(model.slopes(x, target, weight)[0].ravel())).sum()
+
+    for name, w in model.weights.items():
+        for _ in range(5):
+            at = tuple(int(rng.integers(0, n)) for n in w.shape)
+            at = (int(x[0, 0]), at[1]) if name == "e" else at
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            down = loss()
+            w[at] = old
+            assert math.isclose((up - down) / 2e-5, slopes[name][at], rel_tol=1e-3, abs_tol=1e-5)
+
+    with open(lm_score.VOCABULARY_FILE, "rb") as f:
+        ranks = f.read()
+    texts = pa.array(["a rose is a rose", None, "", PHRASE * 3], pa.string())
+    words = Words(*string_bytes(texts))
+    ids, begin = lm_score.Subwords(ranks).sequences(words, words.hashes())
+    plain = np.bincount(np.delete(ids, begin[:-1]), minlength=lm_score.IDS)
+    assert (lm_score.Subwords(ranks).counts(words, words.hashes()) == plain).all()
+
+
 def test_quality(spark):
     folder = DATA.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
