@@ -12,9 +12,11 @@ from granary.llm.lm_score import score_documents
 from granary.llm.mixing import cyclic_weights, mix_plan
 from granary.llm.near_dup import near_duplicates
 from granary.llm.quality import score_quality, train_quality
+from granary.llm.search import ranked_search
 from granary.llm.secrets import KINDS, find_secrets
 from granary.llm.sharding import assign_shards
 from granary.llm.suffix_dedup import repeated_strings
+from granary.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +80,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20).toDF("item_id", "rank", "doc_id", "score")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), components=32)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "x")
+    each = found.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", parts)
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "x.whitened", "x.explained", "identity_error")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op6_attention_lm, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op6_attention_lm, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup, op12_block_max_search, op13_embedding_whitening)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -125,6 +138,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+c AS (SELECT count(*) AS total_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term),
+f AS (SELECT term, floor(1000 * ln((2 * total_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, total_docs),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total_docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op8_benchmark_decontamination": OP8_SQL, "op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op12_block_max_search": OP12_SQL, "op8_benchmark_decontamination": OP8_SQL, "op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
