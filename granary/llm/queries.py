@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.decontaminate import find_contamination
 from granary.llm.exact_dedup import assign_copies
+from granary.llm.html_extract import extract_text
 from granary.llm.line_dedup import repeated_lines
 from granary.llm.lm_score import score_documents
 from granary.llm.mixing import cyclic_weights, mix_plan
@@ -80,6 +81,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20).toDF("item_id", "rank", "doc_id", "score")
 
@@ -92,7 +97,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op6_attention_lm, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup, op12_block_max_search, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_quality_cotraining, op3_secret_scan, op4_exact_dedup, op5_extendible_sharding, op6_attention_lm, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup, op11_html_extraction, op12_block_max_search, op13_embedding_whitening)}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
