@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.boxes import area, box, expand, intersection, intersects
+from granary.functions.signals import training_focus
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 #: Growth factors of body-aware crops, least share of area a crop must save, least confidence of a body.
@@ -56,10 +57,7 @@ def safe_bounds(width: Column, height: Column, target: Column, others: Column, p
     one found first. Each obstacle cuts the rectangles left so far on the sides where it leaves the guard whole;
     rectangles inside another one go.
     """
-    frame = box(F.lit(0), F.lit(0), width, height)
-    guard = intersection(expand(target, 0.08), frame)
-
-    def cut(bounds: Column, o: Column) -> Column:
+    def cut(bounds: Column, o: Column, guard: Column) -> Column:
         sides = F.array(
             F.when(o["x2"] <= guard["x1"], box(F.greatest(bounds["x1"], F.ceil(o["x2"])), bounds["y1"], bounds["x2"], bounds["y2"])),
             F.when(o["x1"] >= guard["x2"], box(bounds["x1"], bounds["y1"], F.least(bounds["x2"], F.floor(o["x1"])), bounds["y2"])),
@@ -68,15 +66,23 @@ def safe_bounds(width: Column, height: Column, target: Column, others: Column, p
         )
         return F.when(intersects(bounds, o), F.array_compact(sides)).otherwise(F.array(bounds))
 
-    def step(left: Column, other: Column) -> Column:
-        o = expand(other, 0.40)
-        parts = F.array_distinct(F.filter(F.flatten(F.transform(left, lambda b: cut(b, o))), lambda b: contains(b, guard)))
-        largest = F.filter(parts, lambda b: ~F.exists(parts, lambda c: (c != b) & contains(c, b)))
-        return F.when(intersects(guard, o), no_boxes()).otherwise(largest).cast(f"array<{BOX}>")
+    def parts(left: Column, o: Column, guard: Column) -> Column:
+        return F.array_distinct(F.filter(F.flatten(F.transform(left, lambda b: cut(b, o, guard))), lambda b: contains(b, guard)))
 
-    left = F.aggregate(F.coalesce(others, no_boxes()), F.array(frame).cast(f"array<{BOX}>"), step)
-    ranked = F.transform(left, lambda b, i: F.struct(area(intersection(b, preferred)).alias("shared"), area(b).alias("area"), (-i).alias("i"), b.alias("box")))
-    return F.array_max(ranked)["box"]
+    def largest(parts: Column) -> Column:
+        return F.filter(parts, lambda b: ~F.exists(parts, lambda c: (c != b) & contains(c, b)))
+
+    def bounds(v: Column) -> Column:
+        def step(left: Column, other: Column) -> Column:
+            return let(expand(other, 0.40), lambda o: F.when(intersects(v["guard"], o), no_boxes()).otherwise(let(parts(left, o, v["guard"]), largest)).cast(f"array<{BOX}>"))
+
+        left = F.aggregate(v["others"], F.array(v["frame"]).cast(f"array<{BOX}>"), step)
+        ranked = F.transform(left, lambda b, i: F.struct(area(intersection(b, v["preferred"])).alias("shared"), area(b).alias("area"), (-i).alias("i"), b.alias("box")))
+        return F.array_max(ranked)["box"]
+
+    frame = box(F.lit(0), F.lit(0), width, height)
+    guard = intersection(expand(target, 0.08), frame)
+    return let(F.struct(frame.alias("frame"), guard.alias("guard"), F.coalesce(others, no_boxes()).alias("others"), preferred.alias("preferred")), bounds)
 
 
 def parsing_region(target: Column, width: Column, height: Column) -> Column:
@@ -97,9 +103,13 @@ def recommended_crop(width: Column, height: Column, target: Column, scale_bin: C
     cx = F.when(plain, (target["x1"] + target["x2"]) / 2).otherwise((semantic["x1"] + semantic["x2"]) / 2)
     top = F.when(plain, target["y1"] - 0.35 * face).otherwise(F.least(semantic["y1"], target["y1"] - 0.20 * face))
     bottom = F.when(plain, target["y2"] + by(0.85, 1.75) * face).otherwise(F.greatest(semantic["y2"], target["y2"] + by(0.75, 1.65) * face))
-    tall = F.greatest(bottom - top, face * by(2.2, 3.4))
-    crop = centred(width, height, cx, (top + bottom) / 2, tall * by(4 / 5, 3 / 4), tall)
-    return F.when(scale_bin == "far", box(F.lit(0), F.lit(0), width, height)).otherwise(crop)
+
+    def crop(v: Column) -> Column:
+        tall = F.greatest(v["bottom"] - v["top"], v["least"])
+        return centred(width, height, v["cx"], (v["top"] + v["bottom"]) / 2, tall * v["shape"], tall)
+
+    around = let(F.struct(cx.alias("cx"), top.alias("top"), bottom.alias("bottom"), (face * by(2.2, 3.4)).alias("least"), by(4 / 5, 3 / 4).alias("shape")), crop)
+    return F.when(scale_bin == "far", box(F.lit(0), F.lit(0), width, height)).otherwise(around)
 
 
 def within(b: Column, x: Column, y: Column) -> Column:
@@ -219,35 +229,68 @@ def containing(bounds: Column, required: Column, cx: Column, cy: Column, w: Colu
     return F.when((x_low <= x_high) & (y_low <= y_high), box(x, y, x + w, y + h))
 
 
+def shapes(sizes: list[tuple[int, int]]) -> Column:
+    """Buckets as an array of structs: sizes, their ratio in whole numbers, the multiple of it that the bucket is, and place."""
+
+    def one(i: int, w: int, h: int) -> Column:
+        unit = math.gcd(w, h)
+        return F.struct(*(F.lit(float(v)).alias(k) for k, v in (("w", w), ("h", h), ("uw", w // unit), ("uh", h // unit), ("unit", unit))), F.lit(i).alias("i"))
+
+    return F.array(*(one(i, w, h) for i, (w, h) in enumerate(sizes)))
+
+
 def fit_bucket(crop: Column, bounds: Column, required: Column, least: int = 512, most: int = 1024) -> Column:
     """A struct of box, width and height: a crop grown to the nearest training bucket, never one that needs upscaling.
 
     Of the buckets that the crop can grow to inside the bounds, in whole multiples of their ratio, the one nearest in
     shape wins, then the smallest growth, then the larger bucket. If there is none and a required box is given, the
     largest box of a bucket's ratio around that box wins which keeps most of the crop. Null if there is none either.
+    One expression serves all buckets, so that plans stay small.
     """
-    cw, ch = crop["x2"] - crop["x1"], crop["y2"] - crop["y1"]
-    bw, bh = bounds["x2"] - bounds["x1"], bounds["y2"] - bounds["y1"]
-    cx, cy = (crop["x1"] + crop["x2"]) / 2, (crop["y1"] + crop["y2"]) / 2
     sides = [x for x in SIDES if least <= x <= most]
-    grown, trimmed = [], []
-    for i, (w, h) in enumerate((w, h) for w in sides for h in sides):
-        unit = math.gcd(w, h)
-        uw, uh = w // unit, h // unit
-        miss = F.round(F.abs(F.log(F.lit(w / h) / (cw / ch))), 9)
-        k = F.greatest(F.lit(unit), F.ceil(cw / uw), F.ceil(ch / uh)).cast("double")
-        spot = centred_in(bounds, cx, cy, k * uw, k * uh)
-        fits = (k * uw <= bw) & (k * uh <= bh) & contains(spot, crop)
-        grown.append(F.when(fits, F.struct(miss.alias("a"), (k * uw * k * uh / F.greatest(F.lit(1.0), cw * ch)).alias("b"), F.lit(-w * h).alias("c"), F.lit(i).alias("i"), spot.alias("box"), F.lit(w).alias("width"), F.lit(h).alias("height"))))
-        k = F.least(F.floor(bw / uw), F.floor(bh / uh)).cast("double")
-        spot = containing(bounds, required, cx, cy, k * uw, k * uh)
-        kept = F.round(area(intersection(spot, crop)) / F.greatest(F.lit(1.0), cw * ch), 9)
-        trimmed.append(F.when((k >= unit) & spot.isNotNull(), F.struct((-kept).alias("a"), miss.alias("b"), (-(k * uw * k * uh)).alias("c"), F.lit(-w * h).alias("d"), F.lit(i).alias("i"), spot.alias("box"), F.lit(w).alias("width"), F.lit(h).alias("height"))))
+    buckets = shapes([(w, h) for w in sides for h in sides])
+
+    def size(b: Column) -> list[Column]:
+        return [b["x2"] - b["x1"], b["y2"] - b["y1"]]
 
-    def best(found: list[Column]) -> Column:
-        return let(F.array_min(F.array_compact(F.array(*found))), lambda x: F.when(x.isNotNull(), F.struct(x["box"].alias("box"), x["width"].alias("width"), x["height"].alias("height"))))
+    def fits(v: Column) -> Column:
+        crop, bounds, required = v["crop"], v["bounds"], v["required"]
+        cx, cy, around = (crop["x1"] + crop["x2"]) / 2, (crop["y1"] + crop["y2"]) / 2, F.greatest(F.lit(1.0), v["cw"] * v["ch"])
 
-    return F.coalesce(best(grown), F.when(required.isNotNull(), best(trimmed)))
+        def miss(s: Column) -> Column:
+            return F.round(F.abs(F.log(s["w"] / s["h"] / (v["cw"] / v["ch"]))), 9)
+
+        def sized(s: Column, k: Column) -> Column:
+            return F.struct(k.alias("k"), (k * s["uw"]).alias("w"), (k * s["uh"]).alias("h"))
+
+        def found(s: Column, box: Column, *keys: Column) -> Column:
+            return F.struct(*(k.alias(f"k{j}") for j, k in enumerate(keys)), s["i"].alias("i"), box.alias("box"), s["w"].cast("int").alias("width"), s["h"].cast("int").alias("height"))
+
+        def grown(s: Column) -> Column:
+            def at(z: Column) -> Column:
+                return let(centred_in(bounds, cx, cy, z["w"], z["h"]), lambda spot: F.when((z["w"] <= v["bw"]) & (z["h"] <= v["bh"]) & contains(spot, crop), found(s, spot, miss(s), z["w"] * z["h"] / around, -s["w"] * s["h"])))
+
+            return let(sized(s, F.greatest(s["unit"], F.ceil(v["cw"] / s["uw"]).cast("double"), F.ceil(v["ch"] / s["uh"]).cast("double"))), at)
+
+        def trimmed(s: Column) -> Column:
+            def kept(spot: Column) -> Column:
+                return F.round(area(intersection(spot, crop)) / around, 9)
+
+            def at(z: Column) -> Column:
+                return let(containing(bounds, required, cx, cy, z["w"], z["h"]), lambda spot: F.when((z["k"] >= s["unit"]) & spot.isNotNull(), found(s, spot, -kept(spot), miss(s), -(z["w"] * z["h"]), -s["w"] * s["h"])))
+
+            return let(sized(s, F.least(F.floor(v["bw"] / s["uw"]), F.floor(v["bh"] / s["uh"])).cast("double")), at)
+
+        def best(tries: Column) -> Column:
+            return let(F.array_min(F.array_compact(tries)), lambda x: F.when(x.isNotNull(), F.struct(x["box"].alias("box"), x["width"].alias("width"), x["height"].alias("height"))))
+
+        return F.coalesce(best(F.transform(buckets, grown)), F.when(required.isNotNull(), best(F.transform(buckets, trimmed))))
+
+    def measured(v: Column) -> Column:
+        (cw, ch), (bw, bh) = size(v["crop"]), size(v["bounds"])
+        return F.struct(v["crop"].alias("crop"), v["bounds"].alias("bounds"), v["required"].alias("required"), cw.alias("cw"), ch.alias("ch"), bw.alias("bw"), bh.alias("bh"))
+
+    return let(let(F.struct(crop.alias("crop"), bounds.alias("bounds"), required.alias("required")), measured), fits)
 
 
 def prepare_dataset(rows: DataFrame, least: int = 512, most: int = 1024, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -274,7 +317,7 @@ def prepare_dataset(rows: DataFrame, least: int = 512, most: int = 1024, confide
         "skip": skip, "strategy": F.when(skip.isNull(), name), "safety": F.when(skip.isNull(), F.col("_plan.safety")),
         "reasons": F.when(skip.isNull(), F.array_join(F.concat(F.col("_plan.reasons"), F.when(crowded, F.array(F.lit("other_faces_excluded"))).otherwise(F.array().cast("array<string>"))), ";")),
         "crop": F.when(skip.isNull(), crop), "bucket": F.when(skip.isNull(), F.concat(F.col("_fit.width").cast("string"), F.lit("x"), F.col("_fit.height").cast("string"))),
-        "excluded": F.size(others), "focus": F.when(F.col("body_focused"), "body").otherwise("identity"),
+        "excluded": F.size(others), "focus": training_focus(F.col("body_focused")),
     }
     return rows.withColumns(made).drop("_plan", "_bounds", "_crop", "_fit")
 
@@ -294,13 +337,25 @@ def style_plan(width: Column, height: Column, focus: Column, buckets: list[tuple
     """
     w, h = width.cast("double"), height.cast("double")
     margin = F.least(w, h) * 0.025
-    plans = []
-    for i, (bw, bh) in enumerate(buckets):
-        wide = w * bh > h * bw
-        cw = F.greatest(F.lit(1.0), F.when(wide, F.floor(h * bw / bh).cast("double")).otherwise(w))
-        ch = F.greatest(F.lit(1.0), F.when(wide, h).otherwise(F.floor(w * bh / bw).cast("double")))
-        left = F.when(focus.isNull(), F.floor((w - cw) / 2)).otherwise(focused_start(w, cw, F.greatest(F.lit(0.0), focus["x1"] - margin), F.least(w, focus["x2"] + margin)))
-        top = F.when(focus.isNull(), F.floor((h - ch) / 2)).otherwise(focused_start(h, ch, F.greatest(F.lit(0.0), focus["y1"] - margin), F.least(h, focus["y2"] + margin)))
-        plan = F.struct((cw * ch).alias("kept"), F.lit(bw * bh).alias("size"), F.lit(-i).alias("i"), F.lit(bw).alias("width"), F.lit(bh).alias("height"), box(left, top, left + cw, top + ch).alias("box"))
-        plans.append(F.when((width >= bw) & (height >= bh), plan))
-    return F.array_max(F.array_compact(F.array(*plans)))
+    low_x, low_y = (F.when(focus.isNotNull(), F.greatest(F.lit(0.0), focus[c] - margin)) for c in ("x1", "y1"))
+    high_x, high_y = F.least(w, focus["x2"] + margin), F.least(h, focus["y2"] + margin)
+    image = F.struct(w.alias("w"), h.alias("h"), low_x.alias("low_x"), high_x.alias("high_x"), low_y.alias("low_y"), high_y.alias("high_y"))
+
+    def plans(v: Column) -> Column:
+        def start(total: Column, size: Column, low: Column, high: Column) -> Column:
+            return F.when(low.isNull(), F.floor((total - size) / 2)).otherwise(focused_start(total, size, low, high))
+
+        def cropped(s: Column) -> Column:
+            wide = v["w"] * s["h"] > v["h"] * s["w"]
+            cw = F.greatest(F.lit(1.0), F.when(wide, F.floor(v["h"] * s["w"] / s["h"]).cast("double")).otherwise(v["w"]))
+            ch = F.greatest(F.lit(1.0), F.when(wide, v["h"]).otherwise(F.floor(v["w"] * s["h"] / s["w"]).cast("double")))
+            return let(F.struct(cw.alias("w"), ch.alias("h")), lambda z: placed(s, z))
+
+        def placed(s: Column, z: Column) -> Column:
+            corner = F.struct(start(v["w"], z["w"], v["low_x"], v["high_x"]).cast("double").alias("x"), start(v["h"], z["h"], v["low_y"], v["high_y"]).cast("double").alias("y"))
+            plan = let(corner, lambda c: F.struct((z["w"] * z["h"]).alias("kept"), (s["w"] * s["h"]).cast("int").alias("size"), (-s["i"]).alias("i"), s["w"].cast("int").alias("width"), s["h"].cast("int").alias("height"), box(c["x"], c["y"], c["x"] + z["w"], c["y"] + z["h"]).alias("box")))
+            return F.when((v["w"] >= s["w"]) & (v["h"] >= s["h"]), plan)
+
+        return F.array_max(F.array_compact(F.transform(shapes(buckets), cropped)))
+
+    return let(image, plans)

@@ -52,7 +52,7 @@ def q_bucket_geometry(spark, sf_dir):
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     crop = boxes.box(F.floor(w / 3), F.floor(h / 3), F.floor(2 * w / 3), F.floor(2 * h / 3))
     fit = i.select("image", "width", "height", crops.fit_bucket(crop, boxes.box(F.lit(0), F.lit(0), w, h), crop).alias("f"))
-    return fit.select("image", F.col("f.width").alias("bucket_width"), F.col("f.height").alias("bucket_height"), (F.col("f.box.x2") - F.col("f.box.x1")).alias("crop_width"), (F.col("f.box.y2") - F.col("f.box.y1")).alias("crop_height"))
+    return fit.select("image", F.col("f.width").alias("bucket_width"), F.col("f.height").alias("bucket_height"), "f.box.x1", "f.box.y1", (F.col("f.box.x2") - F.col("f.box.x1")).alias("crop_width"), (F.col("f.box.y2") - F.col("f.box.y1")).alias("crop_height"))
 
 
 def q_style_focus(spark, sf_dir):

@@ -196,14 +196,14 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT *, x2 - x1 AS cw, y2 - y1 AS ch, bw // g AS uw, bh // g AS uh, round(abs(ln((bw / bh) / ((x2 - x1) / (y2 - y1)))), 9) AS miss FROM p),
             a AS (SELECT *, greatest(g, ceil(cw / uw), ceil(ch / uh)) AS m FROM q),
             b AS (SELECT *, m * uw AS ww, m * uh AS wh, least(greatest(0, (x1 + x2) / 2 - m * uw / 2), width - m * uw) AS l, least(greatest(0, (y1 + y2) / 2 - m * uh / 2), height - m * uh) AS t FROM a),
-            c AS (SELECT image, 0 AS pri, miss AS k1, ww * wh / greatest(1, cw * ch) AS k2, -bw * bh AS k3, 0 AS k4, k, bw, bh, round_even(l + ww, 0) - round_even(l, 0) AS w, round_even(t + wh, 0) - round_even(t, 0) AS h FROM b
+            c AS (SELECT image, 0 AS pri, miss AS k1, ww * wh / greatest(1, cw * ch) AS k2, -bw * bh AS k3, 0 AS k4, k, bw, bh, round_even(l, 0) AS x, round_even(t, 0) AS y, round_even(l + ww, 0) - round_even(l, 0) AS w, round_even(t + wh, 0) - round_even(t, 0) AS h FROM b
               WHERE ww <= width AND wh <= height AND round_even(l, 0) <= x1 AND round_even(t, 0) <= y1 AND round_even(l + ww, 0) >= x2 AND round_even(t + wh, 0) >= y2),
             d AS (SELECT *, least(width // uw, height // uh) AS m FROM q), e AS (SELECT *, m * uw AS ww, m * uh AS wh FROM d WHERE m >= g),
             f AS (SELECT *, greatest(0, ceil(x2 - ww)) AS xl, least(width - ww, x1) AS xh, greatest(0, ceil(y2 - wh)) AS yl, least(height - wh, y1) AS yh FROM e),
             n AS (SELECT *, least(greatest(round_even((x1 + x2) / 2 - ww / 2, 0), xl), xh) AS l, least(greatest(round_even((y1 + y2) / 2 - wh / 2, 0), yl), yh) AS t FROM f WHERE xl <= xh AND yl <= yh),
-            o AS (SELECT image, 1 AS pri, -round(greatest(0, least(l + ww, x2) - greatest(l, x1)) * greatest(0, least(t + wh, y2) - greatest(t, y1)) / greatest(1, cw * ch), 9) AS k1, miss AS k2, -ww * wh AS k3, -bw * bh AS k4, k, bw, bh, ww AS w, wh AS h FROM n),
+            o AS (SELECT image, 1 AS pri, -round(greatest(0, least(l + ww, x2) - greatest(l, x1)) * greatest(0, least(t + wh, y2) - greatest(t, y1)) / greatest(1, cw * ch), 9) AS k1, miss AS k2, -ww * wh AS k3, -bw * bh AS k4, k, bw, bh, l AS x, t AS y, ww AS w, wh AS h FROM n),
             best AS (SELECT * FROM (SELECT * FROM c UNION ALL SELECT * FROM o) QUALIFY row_number() OVER (PARTITION BY image ORDER BY pri, k1, k2, k3, k4, k) = 1)
-            SELECT i.image, bw::INT AS bucket_width, bh::INT AS bucket_height, w::DOUBLE AS crop_width, h::DOUBLE AS crop_height FROM i LEFT JOIN best USING (image)""",
+            SELECT i.image, bw::INT AS bucket_width, bh::INT AS bucket_height, x::DOUBLE AS x1, y::DOUBLE AS y1, w::DOUBLE AS crop_width, h::DOUBLE AS crop_height FROM i LEFT JOIN best USING (image)""",
         "q_style_focus": IMAGES + f""", p AS (SELECT *, CASE WHEN width * bh > height * bw THEN floor(height * bw / bh) ELSE width END::DOUBLE AS cw, CASE WHEN width * bh > height * bw THEN height ELSE floor(width * bh / bw) END::DOUBLE AS ch,
             least(width, height) * 0.025 AS m FROM i JOIN {SHAPES} s ON bw <= width AND bh <= height),
             f AS (SELECT *, greatest(0, width / 2 - m) AS l, least(width, width * 0.75 + m) AS r, greatest(0, height / 4 - m) AS t, least(height, height / 2 + m) AS b FROM p),
