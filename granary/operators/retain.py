@@ -1,12 +1,9 @@
-"""Best frames of each source in time order, in batch and as a stream."""
+"""Best frames of each source in time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEEP, NEAR_SECONDS, NEAR_BITS = 3, 1.5, 6
 
@@ -24,22 +21,8 @@ def offer(kept: list[tuple], frame: tuple, keep: int = KEEP) -> list[tuple]:
     return sorted([*kept, frame], key=lambda x: (-x[0], x[1], x[3]))[:keep]
 
 
-def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a source is its kept frames: as small as `keep`. The frames of one batch are read in time order."""
-    kept = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-    for row in pd.concat(list(frames)).sort_values(["seconds", "id"]).itertuples(index=False):
-        kept = offer(kept, (row.score, row.seconds, int(row.hash), int(row.id)))
-    state.update(tuple(list(x) for x in zip(*kept, strict=True)))
-    yield pd.DataFrame([(key[0], int(x[3]), x[0]) for x in kept], columns=["source", "id", "score"])
-
-
-def retain_stream(frames: DataFrame) -> DataFrame:
-    """For a stream of (source, id, seconds, score, hash): each source's kept frames after each batch that touches it."""
-    return frames.groupBy("source").applyInPandasWithState(update, "source long, id long, score double", "score array<double>, seconds array<double>, hash array<long>, id array<long>", "update", GroupStateTimeout.NoTimeout)
-
-
 def retain(frames: DataFrame, batch_rows: int = 10_000) -> DataFrame:
-    """The same for a table: sources are dealt out and read in time order, a few kept frames at a time in memory."""
+    """source, id and score of each source's kept frames: sources are dealt out and read in time order, a few kept frames at a time in memory."""
 
     def run(batches):
         source, kept = None, []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,9 +9,12 @@ from pyspark.sql.window import Window
 from granary.functions import boxes, signals
 from granary.functions.names import frame_name, parsed_bucket
 from granary.operators import crops
-from granary.operators.retain import retain_stream
 from granary.plans.queries import BUCKETS, _targets
-from granary.sources.views import detections, frames, images, observations, table
+from granary.sources.folders import delete, shared_folder
+from granary.sources.views import detections, frames, images, images_of, observations, table
+from granary.streaming.batches import read_batches, run_available
+from granary.streaming.ordered import mended, retain_stream
+from granary.streaming.sources import run_sources, source_rows, source_state
 from granary.streaming.windows import first_seen, read_frames, window_counts
 
 NO_BODY = "struct<box:struct<x1:double,y1:double,x2:double,y2:double>,confidence:double,points:array<struct<x:double,y:double,kind:string,reach:double>>,bones:array<struct<ax:double,ay:double,bx:double,by:double>>>"
@@ -133,39 +134,56 @@ def q_capped_size(spark, sf_dir):
 
 
 def streamed(spark, rows: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once it has read all that is there: its last batch in complete mode, else all batches in turn."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-    def write(part: DataFrame, batch: int) -> None:
-        part.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch_{batch}")
-
-    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/rows/*")
+    """What a stream gives once it has read all that is there, with the number of the batch; its state goes then."""
+    folder, schema = shared_folder(spark), rows.schema
+    run_available(rows, folder, mode)
+    delete(spark, f"{folder}/state")
+    return read_batches(spark, folder, schema.add("batch", "long"))
 
 
-def _event_stream(spark, sf_dir) -> DataFrame:
-    whole = table(spark, sf_dir, "events")
-    one = whole.inputFiles()[0].endswith("/events.parquet")  # a file, else a folder of files
-    return read_frames(spark, sf_dir if one else f"{sf_dir}/events.parquet", whole.schema, name="events.parquet" if one else "*.parquet")
+def _stream(spark, sf_dir, name) -> DataFrame:
+    """A table as a stream of its files, one a batch."""
+    whole = table(spark, sf_dir, name)
+    one = whole.inputFiles()[0].endswith(f"/{name}.parquet")  # a file, else a folder of files
+    return read_frames(spark, sf_dir if one else f"{sf_dir}/{name}.parquet", whole.schema, name=f"{name}.parquet" if one else "*.parquet")
 
 
 def q_stream_window(spark, sf_dir):
-    """Counts of events by type and five minutes, from a stream; the same as q_window_counts gives for the table."""
-    found = streamed(spark, window_counts(_event_stream(spark, sf_dir)), "update")
+    """Counts of events by type and five minutes, from a stream; the same as q_window_counts gives, in whatever order files come."""
+    found = streamed(spark, window_counts(_stream(spark, sf_dir, "events")), "update")
     key = ("start", "event_type")
     return found.groupBy(*key).agg(F.max_by(F.struct("n", "cents"), "batch").alias("x")).select(*key, "x.n", "x.cents")
 
 
 def q_stream_dedup(spark, sf_dir):
     """Events whose id the stream sees for the first time."""
-    return streamed(spark, first_seen(_event_stream(spark, sf_dir)), "append").select("event_id", "user_id")
+    return streamed(spark, first_seen(_stream(spark, sf_dir, "events")), "append").select("event_id", "user_id")
 
 
 def q_stream_retain(spark, sf_dir):
-    """Each source's best frames, kept in the state of a stream."""
-    e = _event_stream(spark, sf_dir)
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    f = e.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), seconds.alias("seconds"), F.col("value").alias("score"), (F.col("event_id") * 2654435761 % 4611686018427387904).alias("hash"))
-    found = streamed(spark, retain_stream(f), "update")
-    return found.withColumn("last", F.max("batch").over(Window.partitionBy("source"))).filter("batch = last").select("source", "id", "score")
+    """Each source's best frames in event-time order, kept in the state of a stream; sources with late frames are read again."""
+    e = _stream(spark, sf_dir, "events")
+    time = F.col("ts").cast("timestamp")
+    f = e.select("ts", F.col("user_id").alias("source"), F.col("event_id").alias("id"), (F.unix_micros(time) / 1e6).alias("seconds"), F.col("value").alias("score"), (F.col("event_id") * 2654435761 % 4611686018427387904).alias("hash"))
+    return mended(streamed(spark, retain_stream(f, time), "update"), frames(spark, sf_dir))
+
+
+def split_images(row: dict):
+    """A stand-in for the extraction of a video: a few rows a source; sources of a thirteenth break off in the middle."""
+    n = int(row["path"])
+    for k in range(n % 3 + 1):
+        if n % 13 == 0 and k == n % 3:
+            raise ValueError(f"source {n} breaks off")
+        yield k, float(row["bytes"] * (k + 1))
+
+
+def q_stream_sources(spark, sf_dir):
+    """The state of each source after a stream of sources, some of which fail, and the rows made of those that don't."""
+    schema, folder = "k int, value double", shared_folder(spark)
+    stream = images_of(_stream(spark, sf_dir, "part"))
+    sources = stream.select(F.col("image").cast("string").alias("path"), (F.col("width") * F.col("height")).alias("bytes"), F.timestamp_seconds("image").alias("modified"))
+    run_sources(sources, lambda: split_images, schema, folder, "a")
+    delete(spark, f"{folder}/state")
+    made = source_rows(spark, folder, schema).groupBy("path").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    state = source_state(spark, folder).join(made, "path", "left")
+    return state.select(F.col("path").cast("long").alias("image"), "status", "error", F.coalesce("n", F.lit(0)).alias("n"), "total")

@@ -178,6 +178,9 @@ def oracle_sql() -> dict[str, str]:
         "q_video_retain": RETAIN,
         "q_stream_retain": RETAIN,
         "q_stream_window": """SELECT epoch(time_bucket(INTERVAL 5 MINUTES, ts))::BIGINT AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2""",
+        "q_stream_sources": IMAGES + """, r AS (SELECT image, width * height AS bytes, image % 13 = 0 AS broken, image % 3 + 1 AS m FROM i)
+            SELECT image, CASE WHEN broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN broken THEN 'ValueError: source ' || image || ' breaks off' END AS error,
+              CASE WHEN broken THEN 0 ELSE m END AS n, CASE WHEN NOT broken THEN (bytes * (m * (m + 1) / 2))::DOUBLE END AS total FROM r""",
         "q_stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
         "q_mean_centroid": f"""WITH {OBS}, u AS (SELECT label, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM obs WHERE media_id < 50),
             p AS (SELECT label, unnest(range(len(vector)))::INT AS pos, unnest(vector) / n AS x FROM u), m AS (SELECT label, pos, avg(x) AS x FROM p GROUP BY label, pos)

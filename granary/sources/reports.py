@@ -8,29 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.signals import decision_reason
+from granary.sources.folders import advance, delete, files_of, published, read_published
 
 #: What a run writes and may delete; frames and their state stay, so that runs can go on.
 ARTIFACTS = ("report", "summary", "dataset_manifest", "crop_skips", "comparison", "manifest", "selected", "prepared")
 
 
-def _folder(spark: SparkSession, path: str):
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    files, there = _folder(spark, path)
+    files, there = files_of(spark, path)
     return files.exists(there)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    files, there = _folder(spark, path)
-    files.delete(there, True)
-
-
 def prepare_output(spark: SparkSession, root: str, overwrite: bool = False) -> None:
     """Raises for an output folder that holds anything, unless it may be overwritten: then ARTIFACTS in it go, nothing else."""
-    files, there = _folder(spark, root)
+    files, there = files_of(spark, root)
     if files.exists(there) and len(files.listStatus(there)):
         if not overwrite:
             raise FileExistsError(f"{root} is not empty")
@@ -106,12 +97,8 @@ STATE = "path string, status string, bytes long, modified timestamp, config stri
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """What earlier runs noted of each source; empty where there is nothing, or nothing readable."""
-    try:
-        state = spark.read.parquet(path)
-        return state.select(*(x.split()[0] for x in STATE.split(", ")))
-    except Exception:  # noqa: BLE001  an unreadable state is as good as none
-        return spark.createDataFrame([], STATE)
+    """What earlier runs noted of each source; empty where there is nothing. Rows of another layout have nulls and fit no file."""
+    return read_published(spark, path, STATE)
 
 
 def to_process(files: DataFrame, state: DataFrame, config: str) -> DataFrame:
@@ -121,13 +108,10 @@ def to_process(files: DataFrame, state: DataFrame, config: str) -> DataFrame:
 
 
 def write_state(path: str, state: DataFrame, news: DataFrame) -> None:
-    """The state with newer rows in place of older ones of the same path, in a new folder that takes the old one's place."""
+    """The state with newer rows in place of older ones of the same path, as a version that replaces the old one at once."""
     spark = state.sparkSession
-    fresh = state.join(news.select("path"), "path", "left_anti").unionByName(news)
-    fresh.write.mode("overwrite").parquet(f"{path}.part")
-    files, there = _folder(spark, path)
-    files.delete(there, True)
-    files.rename(_folder(spark, f"{path}.part")[1], there)
+    version = published(spark, path)
+    advance(spark, path, 0 if version is None else version + 1, lambda _: state.join(news.select("path"), "path", "left_anti").unionByName(news))
 
 
 def run_counters(files: DataFrame, state: DataFrame, news: DataFrame, config: str) -> DataFrame:

@@ -41,5 +41,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images_of(table(spark, sf_dir, "part"))
+
+
+def images_of(parts: DataFrame) -> DataFrame:
     p = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(p.alias("image"), (400 + p * 37 % 1800).alias("width"), (400 + (p * 53 + F.col("p_size") * 29) % 1800).alias("height"))
+    return parts.select(p.alias("image"), (400 + p * 37 % 1800).alias("width"), (400 + (p * 53 + F.col("p_size") * 29) % 1800).alias("height"))
