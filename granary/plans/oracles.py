@@ -178,6 +178,36 @@ def oracle_sql() -> dict[str, str]:
         "q_video_retain": RETAIN,
         "q_stream_retain": RETAIN,
         "q_stream_window": """SELECT epoch(time_bucket(INTERVAL 5 MINUTES, ts))::BIGINT AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2""",
+        "q_detect_rows": IMAGES + """, j AS (SELECT *, unnest(range(image % 4)) AS j, image % 29 = 0 AND image % 4 > 1 AS broken FROM i)
+            SELECT image, CASE WHEN broken THEN -1 ELSE j END::INT AS det, CASE WHEN broken THEN 'ValueError: image ' || image END AS error, CASE WHEN NOT broken THEN (image * 31 + j * 17) % 1000 / 1000 END AS score,
+              CASE WHEN NOT broken THEN j * 50 + image % 97 END::DOUBLE AS x1, CASE WHEN NOT broken THEN image % 53 END::DOUBLE AS y1,
+              CASE WHEN NOT broken THEN least(width, j * 50 + image % 97 + 40 + j) END::DOUBLE AS x2, CASE WHEN NOT broken THEN least(height, image % 53 + 60) END::DOUBLE AS y2 FROM j WHERE NOT broken OR j = 0""",
+        "q_decode_classes": f"""WITH RECURSIVE t AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, k: CASE WHEN k <= 16 THEN 160 + 600 * x WHEN k <= 32 THEN 40 + 300 * abs(x) ELSE least(1.0, 3 * abs(x)) END) AS x FROM embeddings),
+            b AS (SELECT vec_id, unnest(range(8)) AS i, x FROM t),
+            s AS (SELECT vec_id, i, x[1 + i] AS cx, x[9 + i] AS cy, x[17 + i] / 2 AS w, x[25 + i] / 2 AS h, [x[33 + i], x[41 + i], x[49 + i], x[57 + i]] AS c FROM b),
+            d AS (SELECT vec_id, i, list_position(c, list_max(c)) - 1 AS class_id, list_max(c) AS score, {{'x1': greatest(0, round_even((cx - w - 10) / 0.8::DOUBLE, 0)), 'y1': greatest(0, round_even((cy - h - 6) / 0.8::DOUBLE, 0)),
+              'x2': least(300, round_even((cx + w - 10) / 0.8::DOUBLE, 0)), 'y2': least(280, round_even((cy + h - 6) / 0.8::DOUBLE, 0))}} AS b FROM s),
+            o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i) AS k FROM d WHERE score >= 0.25 AND b.x2 > b.x1 AND b.y2 > b.y1),
+            r AS (SELECT vec_id, k, [b] AS kept, class_id, score, b, TRUE AS stays FROM o WHERE k = 1 UNION ALL
+              SELECT vec_id, k, CASE WHEN hit = 0 THEN list_append(kept, b) ELSE kept END, class_id, score, b, hit = 0 FROM (SELECT o.vec_id, o.k, o.class_id, o.score, o.b, r.kept,
+                len(list_filter(r.kept, lambda y: {COMMON.replace('b.', 'o.b.')} / greatest(1e-6, (o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) + (y.x2 - y.x1) * (y.y2 - y.y1) - {COMMON.replace('b.', 'o.b.')}) > 0.45)) AS hit
+                FROM r JOIN o ON o.vec_id = r.vec_id AND o.k = r.k + 1))
+            SELECT vec_id, class_id::INT AS class_id, score, b.x1 + 100 AS x1, b.y1 + 50 AS y1, b.x2 + 100 AS x2, b.y2 + 50 AS y2 FROM r WHERE stays""",
+        "q_sample_frames": FRAMES + """, d AS (SELECT source, floor(min(seconds)) AS start, floor(max(seconds)) - floor(min(seconds)) AS duration FROM f GROUP BY source),
+            n AS (SELECT *, least(120, greatest(1, ceil(duration * 0.5)))::BIGINT AS n FROM d WHERE duration > 0), p AS (SELECT *, unnest(range(n)) AS i FROM n),
+            a AS (SELECT source, start, i, least(duration, (i + 0.5::DOUBLE) * (duration / n)) AS mid FROM p), r AS (SELECT source, id, seconds - start AS rel, duration FROM f JOIN d USING (source)),
+            near AS (SELECT a.source, a.i, a.mid, rel, r.id FROM a JOIN r ON a.source = r.source QUALIFY row_number() OVER (PARTITION BY a.source, a.i ORDER BY abs(mid - rel), rel, r.id) = 1),
+            still AS (SELECT source, rel, id, row_number() OVER (PARTITION BY source ORDER BY rel, id) - 1 AS k FROM r WHERE duration = 0)
+            SELECT source, i, round(mid, 6) AS at, round(rel, 6) AS seconds, id FROM near UNION ALL SELECT source, k // 30, round(rel, 6), round(rel, 6), id FROM still WHERE k % 30 = 0 AND k < 3600""",
+        "q_near_frames": FRAMES + """SELECT a.source, a.id AS "left", b.id AS "right", round(b.seconds - a.seconds, 6) AS gap FROM f a JOIN f b ON a.source = b.source AND b.seconds - a.seconds < 1800 AND (b.seconds, b.id) > (a.seconds, a.id)""",
+        "q_grid_signals": """WITH p AS (SELECT vec_id, unnest(range(288)) AS k, embedding::DOUBLE[] AS e FROM embeddings),
+            g AS (SELECT vec_id, k // 18 AS y, k % 18 AS x, greatest(0, least(255, floor(128 + 400 * e[(k // 18 * 18 + k % 18 * 7) % 64 + 1])))::INT AS v FROM p),
+            s AS (SELECT vec_id, y // 2 AS r, x // 2 AS c, round_even(sum(v) / 4, 0) AS v FROM g GROUP BY ALL),
+            b AS (SELECT a.vec_id, a.r * 8 + a.c AS k, (b.v >= a.v)::BIGINT AS bit FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.r = b.r AND b.c = a.c + 1),
+            h AS (SELECT vec_id, (sum(bit::HUGEINT * (1::HUGEINT << (63 - k)::INT)) - CASE WHEN max(CASE WHEN k = 0 THEN bit END) = 1 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS hash FROM b GROUP BY vec_id),
+            n AS (SELECT vec_id, y, x, v, unnest([[y, abs(x - 1)], [y, 17 - abs(17 - x - 1)], [abs(y - 1), x], [15 - abs(15 - y - 1), x]]) AS o FROM g),
+            l AS (SELECT n.vec_id, n.y, n.x, sum(g.v) - 4 * any_value(n.v) AS d FROM n JOIN g ON g.vec_id = n.vec_id AND g.y = n.o[1] AND g.x = n.o[2] GROUP BY ALL)
+            SELECT vec_id, hash, round(blur, 6) AS blur FROM h JOIN (SELECT vec_id, ln(1 + var_pop(d)) AS blur FROM l GROUP BY vec_id) USING (vec_id)""",
         "q_stream_sources": IMAGES + """, r AS (SELECT image, width * height AS bytes, image % 13 = 0 AS broken, image % 3 + 1 AS m FROM i)
             SELECT image, CASE WHEN broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN broken THEN 'ValueError: source ' || image || ' breaks off' END AS error,
               CASE WHEN broken THEN 0 ELSE m END AS n, CASE WHEN NOT broken THEN (bytes * (m * (m + 1) / 2))::DOUBLE END AS total FROM r""",

@@ -269,7 +269,7 @@ def q_scorer_hook(spark, sf_dir):
 
 
 def queries() -> dict:
-    from granary.plans import media, runs
+    from granary.plans import hooks, media, runs
 
-    found = {**globals(), **vars(media), **vars(runs)}
+    found = {**globals(), **vars(media), **vars(runs), **vars(hooks)}
     return {name: f for name, f in found.items() if name.startswith("q_")}
