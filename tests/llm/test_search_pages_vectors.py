@@ -165,3 +165,26 @@ def test_whitening_odd_rows(spark):
     assert whiten(frame.limit(0)).count() == whiten(frame.filter("vec_id > 4 and vec_id < 10")).count() == 0
     (one,) = whiten(frame.filter("vec_id = 4")).collect()
     assert one["whitened"] == [0, 0, 0] and one["deviation"] == 0 and one["identity_error"] == 0
+
+
+# Lines
+
+
+@pytest.mark.parametrize("run", [3, 10, 50])
+def test_line_fingerprints_are_few(run):
+    """Fewer digests are written than there are windows: of each selected line one, and neighbours only of repeated ones."""
+    from granary.llm import line_dedup
+
+    rng = np.random.default_rng(run)
+    block = [f"again {i}" for i in range(60)]
+    texts = ["\n".join([*(f"own {x}" for x in rng.integers(0, 10**9, 150)), *block, *(f"own {x}" for x in rng.integers(0, 10**9, 150))]) for _ in range(20)]
+    frame = {"id": [None] * len(texts), "rid": range(len(texts)), "body": texts}
+    prints = next(line_dedup.selected([frame], run))
+    windows = sum(len(t.split("\n")) - run + 1 for t in texts)
+    assert len(prints) < windows * (0.75 if run == 3 else 0.35)
+    counts = prints["print"].value_counts()
+    keys = np.unique(line_dedup.keys_of([p for p, n in counts.items() if n > 1]))
+    table = np.zeros(1 << 13, np.uint8)
+    np.bitwise_or.at(table, (keys & 0xFFFF) >> 3, (1 << (keys & 7)).astype(np.uint8))
+    found = next(line_dedup.fingerprints([frame], run, table))
+    assert set(found["print"]) >= {p for p, n in counts.items() if n > 1} and 0 < len(found) < len(prints) / 2
