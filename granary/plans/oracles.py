@@ -92,6 +92,23 @@ e AS (SELECT source, kept FROM r QUALIFY row_number() OVER (PARTITION BY source
 SELECT source, y.i AS id, -y.n AS score FROM z"""
 
 
+def greedy(name: str, count: int, also: str) -> str:
+    """The greedy selection from eligible rows and those that `also` says, as a recursion over picks."""
+    return f"""pool{name} AS (SELECT c.*, {HASH.replace('embedding', 'vector')} AS h FROM c WHERE status = 'eligible' OR {also}),
+facts{name} AS (SELECT count(*) AS size, least(count(*) FILTER (body_focused), round_even(0.30 * least({count}, count(*)), 0)) AS quota FROM pool{name}),
+sel{name} AS (SELECT 0 AS k, []::BIGINT[] AS ids, []::HUGEINT[] AS hs, []::VARCHAR[] AS sc, []::VARCHAR[] AS po, []::VARCHAR[] AS li, 0 AS met
+UNION ALL SELECT k + 1, list_append(ids, media_id), list_append(hs, h), list_append(sc, scale_bin), list_append(po, pose_bin), list_append(li, light_bin), met + body_focused::INT FROM (
+  SELECT *, round(CASE WHEN appearance IS NOT NULL THEN 0.90 ELSE 0.75 END * base + 0.22 / (1 + len(list_filter(sc, lambda y: y = scale_bin))) + 0.45 * 0.22 / (1 + len(list_filter(po, lambda y: y = pose_bin)))
+    + CASE WHEN appearance IS NOT NULL THEN 0.02 ELSE 0.05 END / (1 + len(list_filter(li, lambda y: y = light_bin))), 9) AS u
+  FROM sel{name}, pool{name}, facts{name} WHERE k < least({count}, size) AND NOT list_contains(ids, media_id) AND len(list_filter(hs, lambda y: bit_count(xor(y, h)) <= 6)) = 0)
+  QUALIFY row_number() OVER (ORDER BY (met < (SELECT quota FROM facts{name}) AND body_focused) DESC, u DESC, similarity DESC, quality_score DESC, media_id) = 1),
+done{name} AS (SELECT ids FROM sel{name} ORDER BY k DESC LIMIT 1)"""
+
+
+def either(count: int) -> str:
+    return f", best AS (SELECT CASE WHEN len(done.ids) >= {count} THEN done.ids ELSE donef.ids END AS ids FROM done, donef) SELECT unnest(ids) AS media_id, unnest(range(1, len(ids) + 1))::INT AS rank FROM best"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "q_cosine_to_centroid": C + "SELECT media_id, similarity FROM c",
@@ -160,15 +177,8 @@ def oracle_sql() -> dict[str, str]:
         "q_summary": C + TOP + """, k AS (SELECT 'status' AS kind, status AS value FROM c UNION ALL SELECT unnest(['scale_bin', 'pose_bin', 'light_bin']), unnest([scale_bin, pose_bin, light_bin]) FROM c JOIN top USING (media_id))
             SELECT 20 AS requested, (SELECT count(*) FROM top) AS selected, 0::BIGINT AS multiple_faces_review, (SELECT count(*) FROM c WHERE status = 'rejected') AS rejected, kind, value, count(*) AS n FROM k GROUP BY kind, value""",
         "q_contact_labels": C + TOP + "SELECT rank, printf('#%d  %.3f  q %.2f', rank, similarity, quality_score) AS label, (rank - 1) // 4 AS row, (rank - 1) % 4 AS place FROM c JOIN top USING (media_id)",
-        "q_greedy_select": f"""WITH RECURSIVE {OBS},{cand(0.05, 'c')}, pool AS (SELECT c.*, {HASH.replace('embedding', 'vector')} AS h FROM c WHERE status = 'eligible' OR fallback_eligible),
-            facts AS (SELECT count(*) AS size, least(count(*) FILTER (body_focused), round_even(0.30 * least(20, count(*)), 0)) AS quota FROM pool),
-            sel AS (SELECT 0 AS k, []::BIGINT[] AS ids, []::HUGEINT[] AS hs, []::VARCHAR[] AS sc, []::VARCHAR[] AS po, []::VARCHAR[] AS li, 0 AS met
-            UNION ALL SELECT k + 1, list_append(ids, media_id), list_append(hs, h), list_append(sc, scale_bin), list_append(po, pose_bin), list_append(li, light_bin), met + body_focused::INT FROM (
-              SELECT *, round(CASE WHEN appearance IS NOT NULL THEN 0.90 ELSE 0.75 END * base + 0.22 / (1 + len(list_filter(sc, lambda y: y = scale_bin))) + 0.45 * 0.22 / (1 + len(list_filter(po, lambda y: y = pose_bin)))
-                + CASE WHEN appearance IS NOT NULL THEN 0.02 ELSE 0.05 END / (1 + len(list_filter(li, lambda y: y = light_bin))), 9) AS u
-              FROM sel, pool, facts WHERE k < least(20, size) AND NOT list_contains(ids, media_id) AND len(list_filter(hs, lambda y: bit_count(xor(y, h)) <= 6)) = 0)
-              QUALIFY row_number() OVER (ORDER BY (met < (SELECT quota FROM facts) AND body_focused) DESC, u DESC, similarity DESC, quality_score DESC, media_id) = 1)
-            SELECT unnest(ids) AS media_id, unnest(range(1, len(ids) + 1))::INT AS rank FROM (SELECT ids FROM sel ORDER BY k DESC LIMIT 1)""",
+        "q_greedy_select": f"WITH RECURSIVE {OBS},{cand(0.05, 'c')}, {greedy('', 20, 'FALSE')}, {greedy('f', 20, 'fallback_eligible')} {either(20)}",
+        "q_fill_select": f"WITH RECURSIVE {OBS},{cand(0.05, 'c')}, {greedy('', 150, 'FALSE')}, {greedy('f', 150, 'fallback_eligible')} {either(150)}",
         "q_suppress": DET.replace("WITH d", "WITH RECURSIVE d") + f""", o AS (SELECT image, (det * 1000000 + part) * 10000 + supp AS id, score, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY image ORDER BY score DESC, (det * 1000000 + part) * 10000 + supp) AS k FROM d),
             r AS (SELECT image, k, [b] AS kept, id, score, TRUE AS stays FROM o WHERE k = 1 UNION ALL
               SELECT image, k, CASE WHEN hit = 0 THEN list_append(kept, b) ELSE kept END, id, score, hit = 0 FROM (SELECT o.image, o.k, o.id, o.score, o.b, r.kept,

@@ -14,7 +14,7 @@ from granary.operators import crops
 from granary.operators.matching import match_person, suppress
 from granary.operators.neighbours import hamming_pairs, reject_outliers
 from granary.operators.retain import retain
-from granary.operators.select import greedy_select
+from granary.operators.select import SelectOptions, select_with_policy
 from granary.sources.media import with_scores
 from granary.sources.reports import decided
 from granary.sources.views import detections, frames, images, observations, table
@@ -86,8 +86,13 @@ def q_pool_order(spark, sf_dir):
 
 
 def q_greedy_select(spark, sf_dir):
-    pool = candidates(spark, sf_dir).filter("status = 'eligible' or fallback_eligible")
-    return greedy_select(pool)
+    """The first twenty picks among eligible rows; fallback rows come in only where those fall short."""
+    return select_with_policy(candidates(spark, sf_dir), shortfall="fill")
+
+
+def q_fill_select(spark, sf_dir):
+    """150 picks, for which small tables need fallback rows."""
+    return select_with_policy(candidates(spark, sf_dir), SelectOptions(150), "fill")
 
 
 def q_best_detection(spark, sf_dir):
