@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.text import fixed
+
 
 def box(x1, y1, x2, y2) -> Column:
     return F.struct(*(c.cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))))
@@ -53,15 +55,8 @@ def hull(boxes: Column) -> Column:
 
 
 def kept_percent(kept: Column, whole: Column) -> Column:
-    """Share of an area that a crop keeps, in percent with two decimals, as text; halves round to even.
-
-    The part after the point is taken in units of 2**-52, which a double holds exactly, and rounded in whole numbers.
-    """
-    percent, unit = 100.0 * kept / whole, 1 << 52
-    units = F.floor((percent - F.floor(percent)) * unit).cast("long") * 100
-    low, rest = F.floor(units / unit).cast("long"), units % unit
-    cents = F.floor(percent) * 100 + low + ((rest > unit // 2) | ((rest == unit // 2) & (low % 2 == 1))).cast("long")
-    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    """Share of an area that a crop keeps, in percent with two decimals, as text; halves round to even."""
+    return fixed(100.0 * kept / whole, 2)
 
 
 def capped_size(width: Column, height: Column, most: int) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions.text import fixed, json_text
+
 
 def safe_stem(stem: Column) -> Column:
-    """Letters and digits of a stem, anything else an underscore, 48 characters at most; `video` where nothing is left."""
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, r"[^\p{L}\p{N}]+", "_"), 1, 48), F.lit("")), F.lit("video"))
+    """A stem with an underscore for each character but letters, numbers, - and _; 48 characters at most, `video` if empty."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_"), 1, 48), F.lit("")), F.lit("video"))
 
 
 def frame_name(stem: Column, path: Column, seconds: Column) -> Column:
@@ -21,8 +23,9 @@ def ranked_name(rank: Column, name: Column) -> Column:
     return F.concat(F.lpad(rank.cast("string"), 3, "0"), F.lit("_"), name)
 
 
-def contact_label(rank: Column, similarity: Column, quality: Column) -> Column:
-    return F.format_string("#%d  %.3f  q %.2f", rank, similarity, quality)
+def contact_label(rank: Column, scale_bin: Column, pose_bin: Column, similarity: Column) -> Column:
+    """Rank and bins in one line, the similarity in the next."""
+    return F.concat(rank.cast("string"), F.lit(": "), scale_bin, F.lit(", "), pose_bin, F.lit("\nsim="), F.coalesce(fixed(similarity, 3), F.lit("n/a")))
 
 
 def parsed_bucket(text: Column, sides: tuple[int, ...] = (512, 768, 1024)) -> Column:
@@ -32,9 +35,10 @@ def parsed_bucket(text: Column, sides: tuple[int, ...] = (512, 768, 1024)) -> Co
     return F.when((F.size(parts) == 2) & w.isin(*sides) & h.isin(*sides), F.struct(w.alias("width"), h.alias("height")))
 
 
-def config_digest(**values: Column) -> Column:
-    """SHA-256 of the values as JSON, keys in order."""
-    return F.sha2(F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values)))).cast("binary"), 256)
+def config_digest(**values: tuple[Column, str]) -> Column:
+    """SHA-256 of values, each with its type, as JSON: keys in order, a space after commas and colons, nulls written."""
+    parts = [F.concat(F.lit(f'"{k}": '), json_text(*values[k])) for k in sorted(values)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).cast("binary"), 256)
 
 
 def unique_names(rows: DataFrame, key: str, name: str, path: str) -> DataFrame:

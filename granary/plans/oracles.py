@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "q_delta_stats": RUNS + "SELECT pairs, mean_delta, median_delta, most_delta, new_misses, round(greatest(0, least(1, 0.05 + median_delta)), 4) AS suggested_threshold FROM s",
         "q_decision_manifest": C + TOP + """SELECT media_id, CASE WHEN rank IS NOT NULL AND status = 'eligible' THEN 'selected_strong' WHEN rank IS NOT NULL THEN 'selected_fallback' WHEN status = 'eligible' THEN 'not_selected' ELSE reason END AS decision,
             CASE WHEN rank IS NOT NULL THEN lpad(rank::VARCHAR, 3, '0') || '_' || media_id || '.jpg' END AS file FROM c LEFT JOIN top USING (media_id)""",
-        "q_config_digest": IMAGES + """SELECT image, sha256('{"backend":"stub","height":' || height || ',"image":' || image || ',"sample_fps":0.5,"width":' || width || '}') AS digest FROM i""",
+        "q_config_digest": IMAGES + """SELECT image, sha256('{"backend": "stub", "height": ' || CASE WHEN image % 5 = 0 THEN 'null' ELSE height::VARCHAR END || ', "image": ' || image || ', "sample_fps": 0.5, "width": ' || width || '}') AS digest FROM i""",
         "q_incremental_misses": IMAGES + "SELECT image, width, height FROM i WHERE image % 3 = 0 OR image % 5 = 0",
         "q_vote_class": f"""WITH {OBS}, v AS (SELECT *, list_filter([appearance, body_confidence, CASE WHEN media_id % 2 = 0 THEN exposure END], lambda x: x IS NOT NULL) AS s FROM obs),
             l AS (SELECT *, CASE WHEN len(s) = 0 THEN 'unknown' WHEN list_sum(s) / len(s) > 0.55 THEN 'high' WHEN list_sum(s) / len(s) > 0.28 THEN 'medium' ELSE 'low' END AS level FROM v)
@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
             round(greatest(0, least(1, 0.05 + median_delta)), 4) AS suggested_threshold FROM s""",
         "q_summary": C + TOP + """, k AS (SELECT 'status' AS kind, status AS value FROM c UNION ALL SELECT unnest(['scale_bin', 'pose_bin', 'light_bin']), unnest([scale_bin, pose_bin, light_bin]) FROM c JOIN top USING (media_id))
             SELECT 20 AS requested, (SELECT count(*) FROM top) AS selected, 0::BIGINT AS multiple_faces_review, (SELECT count(*) FROM c WHERE status = 'rejected') AS rejected, kind, value, count(*) AS n FROM k GROUP BY kind, value""",
-        "q_contact_labels": C + TOP + "SELECT rank, printf('#%d  %.3f  q %.2f', rank, similarity, quality_score) AS label, (rank - 1) // 4 AS row, (rank - 1) % 4 AS place FROM c JOIN top USING (media_id)",
+        "q_contact_labels": C + TOP + "SELECT rank, printf('%d: %s, %s', rank, scale_bin, pose_bin) || chr(10) || printf('sim=%.3f', similarity) AS label, (rank - 1) // 4 AS row, (rank - 1) % 4 AS place FROM c JOIN top USING (media_id)",
         "q_greedy_select": f"WITH RECURSIVE {OBS},{cand(0.05, 'c')}, {greedy('', 20, 'FALSE')}, {greedy('f', 20, 'fallback_eligible')} {either(20)}",
         "q_fill_select": f"WITH RECURSIVE {OBS},{cand(0.05, 'c')}, {greedy('', 150, 'FALSE')}, {greedy('f', 150, 'fallback_eligible')} {either(150)}",
         "q_suppress": DET.replace("WITH d", "WITH RECURSIVE d") + f""", o AS (SELECT image, (det * 1000000 + part) * 10000 + supp AS id, score, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY image ORDER BY score DESC, (det * 1000000 + part) * 10000 + supp) AS k FROM d),

@@ -231,7 +231,7 @@ def first_of_pool(c: DataFrame, count: int = 20) -> DataFrame:
 
 def q_config_digest(spark, sf_dir):
     i = images(spark, sf_dir)
-    return i.select("image", config_digest(width=F.col("width"), height=F.col("height"), backend=F.lit("stub"), sample_fps=F.lit(0.5), image=F.col("image")).alias("digest"))
+    return i.select("image", config_digest(width=(F.col("width"), "long"), height=(F.when(F.col("image") % 5 != 0, F.col("height")), "long"), backend=(F.lit("stub"), "string"), sample_fps=(F.lit(0.5), "double"), image=(F.col("image"), "long")).alias("digest"))
 
 
 def q_incremental_misses(spark, sf_dir):

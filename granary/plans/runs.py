@@ -99,4 +99,4 @@ def q_contact_labels(spark, sf_dir):
     """Labels and places of a selection in a sheet of four columns."""
     c = candidates(spark, sf_dir)
     top = c.join(F.broadcast(first_of_pool(c)), "media_id")
-    return top.select("rank", contact_label(F.col("rank"), F.col("similarity"), F.col("quality_score")).alias("label"), F.floor((F.col("rank") - 1) / 4).alias("row"), ((F.col("rank") - 1) % 4).alias("place"))
+    return top.select("rank", contact_label(*(F.col(c) for c in ("rank", "scale_bin", "pose_bin", "similarity"))).alias("label"), F.floor((F.col("rank") - 1) / 4).alias("row"), ((F.col("rank") - 1) % 4).alias("place"))

@@ -1,6 +1,8 @@
 """Operators of the curation engine on hand-made rows and against plain versions."""
 
+import hashlib
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import names, signals
 from granary.functions.boxes import box
+from granary.functions.text import vector_digest
 from granary.functions.vectors import mean_of_units
 from granary.operators import crops
 from granary.operators.neighbours import bands, hamming_classes, hamming_pairs
@@ -114,8 +117,10 @@ def test_means(spark):
 
 
 def test_names(spark):
-    got = spark.createDataFrame([("a b/c",), ("???",), ("x" * 60,)], "s string").select(names.safe_stem(F.col("s")).alias("s")).collect()
-    assert [r["s"] for r in got] == ["a_b_c", "_", "x" * 48]
+    stems = ["a b/c", "???", "x" * 60, "a--b c  d", "é_ß.ж", "", None, "\U0001f600k²"]
+    got = spark.createDataFrame([(s,) for s in stems], "s string").select(names.safe_stem(F.col("s")).alias("s")).collect()
+    want = ["".join(c if c.isalnum() or c in "-_" else "_" for c in s or "")[:48] or "video" for s in stems]
+    assert [r["s"] for r in got] == want and want[1] == "___" and want[3] == "a--b_c__d"
     assert spark.range(1).select(names.parsed_bucket(F.lit("768x1024")).alias("b")).first()["b"]["height"] == 1024
     assert spark.range(1).select(names.parsed_bucket(F.lit("700x1024")).alias("b")).first()["b"] is None
     rows = spark.createDataFrame([(1, "A.jpg", "/x/A.jpg"), (2, "a.JPG", "/y/a.JPG"), (3, "b", "/b")], "id int, name string, path string")
@@ -123,6 +128,20 @@ def test_names(spark):
     assert files[1] == "A.jpg" and files[2].startswith("a_") and files[2].endswith(".JPG") and files[3] == "b" and len(files[2]) == 16
 
 
+def test_digests_and_labels(spark):
+    """As json.dumps with sorted keys and format() write them."""
+    texts = ["plain", 'quo"te\\ \n\t', "ümlaut \U0001f600 \x7f\x01", "", None]
+    rows = spark.createDataFrame([(t, i, None if i == 2 else i / 8 - 0.3, i % 2 == 0) for i, t in enumerate(texts)], "t string, n long, x double, b boolean")
+    got = rows.select(names.config_digest(t=(F.col("t"), "string"), n=(F.col("n"), "long"), x=(F.col("x"), "double"), b=(F.col("b"), "boolean")).alias("d"), *(F.col(c) for c in "tnxb")).collect()
+    for r in got:
+        assert r["d"] == hashlib.sha256(json.dumps({c: r[c] for c in "tnxb"}, sort_keys=True).encode()).hexdigest()
+    values = [0.0625, 0.9994999, -0.0004, 0.5, 1.0, 0.0005, 2.0015, None]
+    cells = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select(names.contact_label(F.col("i"), F.lit("far"), F.lit("frontal"), F.col("v")).alias("s")).collect()
+    assert [r["s"] for r in cells] == [f"{i}: far, frontal\nsim={'n/a' if v is None else f'{v:.3f}'}" for i, v in enumerate(values)]
+    v = spark.createDataFrame([([0.5, -1.25],), (None,)], "v array<double>").select(vector_digest(F.col("v")).alias("d"), vector_digest(F.col("v"), 64).alias("e")).collect()
+    assert v[0]["d"] == hashlib.sha256(np.array([0.5, -1.25], np.float32).tobytes()).hexdigest() and v[0]["e"] == hashlib.sha256(np.array([0.5, -1.25]).tobytes()).hexdigest() and v[1]["d"] is None
+
+
 def test_signals(spark):
     value = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert value(signals.vote_level(F.lit(0.55))) == "medium" and value(signals.vote_level(F.lit(0.9), confidence=F.lit(0.3))) == "unknown"
