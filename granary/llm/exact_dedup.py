@@ -33,17 +33,17 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("body"))
     rows = rows.withColumn("digest", digest(F.col("body")))
     part = F.pmod(F.spark_partition_id(), F.lit(PARTS))
-    order = F.struct(F.col("id").isNull().alias("nul"), "id")
-    local = rows.groupBy("digest", part.alias("part"), "body").agg(F.count("*").alias("n"), F.min(order).alias("best"))
+    # The smallest id that isn't null is null only where all are: plain minima, so that aggregation hashes and sorts no texts.
+    local = rows.groupBy("digest", part.alias("part"), "body").agg(F.count("*").alias("n"), F.min("id").alias("best"))
     bodies = local.groupBy("digest", "body").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
-    found = bodies.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("n").alias("group_size"), F.min("best.nul").alias("nul"), F.min("best").alias("best"))
-    found = materialize(found.select("digest", "bodies", "group_size", F.col("best.id").alias("keep_id"), F.col("digest").alias("class")))
+    found = bodies.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("n").alias("group_size"), F.min("best").alias("keep_id"))
+    found = materialize(found.select("digest", "bodies", "group_size", "keep_id", F.col("digest").alias("class")))
     members = rows.select("id", "digest", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"))
     members = materialize(members.withColumn("rid", F.monotonically_increasing_id()))
     out = join_groups(members, found, "digest", "group_size", members.count(), F.xxhash64("rid"))
     if not found.filter("bodies > 1").isEmpty():
         clash = found.filter("bodies > 1").select("digest")
-        own = bodies.join(clash, "digest", "left_semi").select(F.col("digest"), F.sha2(F.col("body").cast("binary"), 512).alias("class"), "body", F.col("n").alias("group_size"), F.col("best.id").alias("keep_id"))
+        own = bodies.join(clash, "digest", "left_semi").select(F.col("digest"), F.sha2(F.col("body").cast("binary"), 512).alias("class"), "body", F.col("n").alias("group_size"), F.col("best").alias("keep_id"))
         other = rows.join(clash, "digest", "left_semi").withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256)).join(own, ["digest", "body"]).drop("body")
         out = out.filter("bodies = 1").drop("bodies").unionByName(materialize(other.withColumn("rid", -1 - F.monotonically_increasing_id())))
     again = out.groupBy("class", "id").agg(F.min("rid").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
