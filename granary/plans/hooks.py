@@ -8,6 +8,8 @@ from granary.functions.grids import blur, gradient_hash
 from granary.functions.tensors import decoded, suppressed
 from granary.operators.intime import pairs_within, sampled_frames
 from granary.sources.detectors import detected, register_detector
+from granary.sources.folders import shared_folder
+from granary.sources.sidecars import read_sidecars, write_sidecars
 from granary.sources.views import frames, images, table
 
 
@@ -64,3 +66,12 @@ def q_grid_signals(spark, sf_dir):
     g = e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(18 * 16 - 1)), pixel).alias("g"))
     w, h = F.lit(18), F.lit(16)
     return g.select("vec_id", gradient_hash(F.col("g"), w, h).alias("hash"), F.round(blur(F.col("g"), w, h), 6).alias("blur"))
+
+
+def q_sidecars(spark, sf_dir):
+    """One text file for each conversation, its turns in order, written all at once and read back."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))  # one file's text
+    lines = F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"]))
+    folder = shared_folder(spark)
+    write_sidecars(c.select(F.concat(F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lit(".txt")).alias("name"), F.array_join(lines, "\n").alias("text")), folder, "name", "text")
+    return read_sidecars(spark, folder).select("name", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"))

@@ -218,6 +218,8 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT vec_id, y, x, v, unnest([[y, abs(x - 1)], [y, 17 - abs(17 - x - 1)], [abs(y - 1), x], [15 - abs(15 - y - 1), x]]) AS o FROM g),
             l AS (SELECT n.vec_id, n.y, n.x, sum(g.v) - 4 * any_value(n.v) AS d FROM n JOIN g ON g.vec_id = n.vec_id AND g.y = n.o[1] AND g.x = n.o[2] GROUP BY ALL)
             SELECT vec_id, hash, round(blur, 6) AS blur FROM h JOIN (SELECT vec_id, ln(1 + var_pop(d)) AS blur FROM l GROUP BY vec_id) USING (vec_id)""",
+        "q_sidecars": """WITH c AS (SELECT lpad(conv_id::VARCHAR, 9, '0') || '.txt' AS name, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id)
+            SELECT name, sha256(text) AS sha256, length(text) AS n_chars FROM c""",
         "q_stream_sources": IMAGES + """, r AS (SELECT image, width * height AS bytes, image % 13 = 0 AS broken, image % 3 + 1 AS m FROM i)
             SELECT image, CASE WHEN broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN broken THEN 'ValueError: source ' || image || ' breaks off' END AS error,
               CASE WHEN broken THEN 0 ELSE m END AS n, CASE WHEN NOT broken THEN (bytes * (m * (m + 1) / 2))::DOUBLE END AS total FROM r""",

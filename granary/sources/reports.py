@@ -73,8 +73,8 @@ def write_reports(root: str, records: DataFrame, selected: DataFrame, key: str,
     summary(rows, requested).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True))).write.mode("overwrite").json(f"{root}/summary")
 
 
-def write_ranked(path: str, rows: DataFrame, bom: bool = False) -> None:
-    """Rows of a selection, in the order of their rank, as one CSV file; where there are none, an earlier one goes.
+def write_ranked(path: str, rows: DataFrame, bom: bool = False, order: tuple[str, ...] = ("rank",)) -> None:
+    """Rows of a selection, in order, as one CSV file; where there are none, an earlier one goes.
 
     A selection has as many rows as were asked for, so that one task writes them. With `bom` the first column's name
     begins with the mark by which spreadsheets know UTF-8.
@@ -82,8 +82,24 @@ def write_ranked(path: str, rows: DataFrame, bom: bool = False) -> None:
     if rows.isEmpty():
         delete(rows.sparkSession, path)
         return
-    rows = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0]) if bom else rows
-    rows.orderBy("rank").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    ordered = rows.orderBy(*order).coalesce(1)
+    ordered = ordered.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]) if bom else ordered
+    ordered.write.mode("overwrite").csv(path, header=True)
+
+
+def write_crops(root: str, planned: DataFrame, key: str) -> None:
+    """dataset_manifest and crop_skips from the crop plans of ranked rows: what each prepared row's crop is, and why the
+    others have none. Both keep the ranks of the selection, so the manifest shows holes where rows were skipped."""
+    box = (F.col(f"crop.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2"))
+    made = planned.filter("skip is null").select("rank", key, "strategy", "safety", "reasons", "bucket", *box, "focus", "excluded")
+    write_ranked(f"{root}/dataset_manifest", made)
+    write_ranked(f"{root}/crop_skips", planned.filter("skip is not null").select("rank", key, F.col("skip").alias("reason")))
+
+
+def write_comparison(root: str, compared: DataFrame, key: str, summary: DataFrame) -> None:
+    """comparison (CSV, by key without case, in as many files as the table needs) and its one-row summary (JSON)."""
+    compared.orderBy(F.lower(F.col(key).cast("string")), key).write.mode("overwrite").csv(f"{root}/comparison", header=True)
+    summary.write.mode("overwrite").json(f"{root}/summary")
 
 
 def file_digests(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
