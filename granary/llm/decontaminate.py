@@ -172,11 +172,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     spans are merged ranges of words inside occurrences of a window (`window` words of an item, or all of a shorter
     item); items are the sorted item ids with occurring windows; longest is the longest verbatim match in words that
-    such an occurrence grows to, with its item and the word where it starts. Null and empty texts have no words;
+    such an occurrence grows to, with its item and the word where it starts (of equal ones the first, then the smaller
+    id). Null and empty texts have no words;
     items without words match nothing; items that repeat a text all count. Ids may repeat or be null.
 
     The benchmark goes to the tasks in blocks of BLOCK_BYTES of text: one pass of the documents for a block, and
-    where there are several, their results are combined by document. Each task sorts suffixes of about a MB of text at once.
+    where there are several, their results are combined by document. Each task sorts suffixes of about a MB of text at once;
+    a longer text is one such shard, whole.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("body"))
@@ -185,8 +187,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        match = F.struct("longest", "longest_item", "longest_start")
-        found = found.groupBy("rid").agg(F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max_by(match, match).alias("best"))
+        match, order = F.struct("longest", "longest_item", "longest_start"), F.struct(-F.col("longest"), "longest_start", "longest_item")
+        found = found.groupBy("rid").agg(F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.min_by(match, order).alias("best"))
         found = found.select("id", "rid", "n_words", merged("spans").alias("spans"), F.array_sort("items").alias("items"), "best.*")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]).cast("long"))
     return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items", "longest", "longest_item", "longest_start")

@@ -188,3 +188,18 @@ def test_line_fingerprints_are_few(run):
     np.bitwise_or.at(table, (keys & 0xFFFF) >> 3, (1 << (keys & 7)).astype(np.uint8))
     found = next(line_dedup.fingerprints([frame], run, table))
     assert set(found["print"]) >= {p for p, n in counts.items() if n > 1} and 0 < len(found) < len(prints) / 2
+
+
+# Decontamination
+
+
+def test_contamination_in_blocks(spark, monkeypatch):
+    """Items in one block or one a block: the same rows, ties in the longest match included."""
+    from granary.llm import decontaminate
+
+    words = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(3, words), (1, words), (2, " ".join(f"v{i}" for i in range(40))), (7, "w1 w2"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {words} y " + " ".join(f"v{i}" for i in range(40))), (2, "nothing"), (3, None), (1, words)], "doc_id long, text string")
+    one = sorted(map(str, decontaminate.find_contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    assert sorted(map(str, decontaminate.find_contamination(docs, items).collect())) == one and "longest_item='1', longest_start=1" in "".join(one)
