@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from granary.functions.grids import blur, gradient_hash
 from granary.functions.tensors import decoded, suppressed
 from granary.operators.intime import pairs_within, sampled_frames
+from granary.plans.queries import candidates
 from granary.sources.detectors import detected, register_detector
 from granary.sources.folders import shared_folder
+from granary.sources.media import Stage, with_stages
 from granary.sources.sidecars import read_sidecars, write_sidecars
 from granary.sources.views import frames, images, table
 
@@ -75,3 +78,20 @@ def q_sidecars(spark, sf_dir):
     folder = shared_folder(spark)
     write_sidecars(c.select(F.concat(F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lit(".txt")).alias("name"), F.array_join(lines, "\n").alias("text")), folder, "name", "text")
     return read_sidecars(spark, folder).select("name", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
+def q_scorer_stages(spark, sf_dir):
+    """A cascade of two models: rows that pass the cheap gates get an appearance, and only confident ones of them a body."""
+    c = candidates(spark, sf_dir).select("media_id", "quality_score", (F.col("similarity") >= F.round(F.col("threshold") - 0.15, 6)).alias("near"), F.coalesce("body_confidence", F.lit(0.0)).alias("confidence"))
+
+    def open_appearance():
+        return lambda part: pd.DataFrame({"look": (part["quality_score"] * 0.5 + part["media_id"] % 2 * 0.25).round(6)})
+
+    def open_body():
+        return lambda part: pd.DataFrame({"body": (part["look"] + part["confidence"]).round(6)})
+
+    stages = [
+        Stage(lambda p: p["near"] & (p["quality_score"] >= 0.3), open_appearance, "look double"),
+        Stage(lambda p: p["look"].notna() & (p["confidence"] >= 0.5), open_body, "body double"),
+    ]
+    return with_stages(c, stages).select("media_id", "look", "body", "stage_error")

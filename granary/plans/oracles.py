@@ -220,6 +220,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, hash, round(blur, 6) AS blur FROM h JOIN (SELECT vec_id, ln(1 + var_pop(d)) AS blur FROM l GROUP BY vec_id) USING (vec_id)""",
         "q_sidecars": """WITH c AS (SELECT lpad(conv_id::VARCHAR, 9, '0') || '.txt' AS name, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id)
             SELECT name, sha256(text) AS sha256, length(text) AS n_chars FROM c""",
+        "q_scorer_stages": C + """, s AS (SELECT media_id, CASE WHEN similarity >= round(threshold - 0.15, 6) AND quality_score >= 0.3 THEN round(quality_score * 0.5 + media_id % 2 * 0.25, 6) END AS look, coalesce(body_confidence, 0) AS confidence FROM c)
+            SELECT media_id, look, CASE WHEN confidence >= 0.5 THEN round(look + confidence, 6) END AS body, NULL::VARCHAR AS stage_error FROM s""",
         "q_stream_sources": IMAGES + """, r AS (SELECT image, width * height AS bytes, image % 13 = 0 AS broken, image % 3 + 1 AS m FROM i)
             SELECT image, CASE WHEN broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN broken THEN 'ValueError: source ' || image || ' breaks off' END AS error,
               CASE WHEN broken THEN 0 ELSE m END AS n, CASE WHEN NOT broken THEN (bytes * (m * (m + 1) / 2))::DOUBLE END AS total FROM r""",

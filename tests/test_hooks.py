@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from granary.functions.grids import blur, gradient_hash, resampled
 from granary.functions.tensors import decoded, suppressed
 from granary.operators.intime import nearest_in_time, pairs_within, sampled_frames
 from granary.sources.detectors import detected, register_detector
+from granary.sources.media import Stage, with_stages
 
 
 def test_detector_rows(spark):
@@ -136,3 +138,26 @@ def test_kept_percent(spark):
     cases = [(90625, 100000), (1, 8), (1, 3), (2675, 100000), (99999, 100000), (1, 1), (105, 1600), (11500, 100000), (1, 100)]
     rows = spark.createDataFrame(cases, "a long, b long")
     assert [r["p"] for r in rows.select(kept_percent(F.col("a"), F.col("b")).alias("p")).collect()] == [f"{100.0 * a / b:.2f}" for a, b in cases]
+
+
+def test_stages(spark):
+    """Models see only what their gates let through; errors stay with their rows, and later stages go on."""
+
+    def open_first():
+        def first(part):
+            if (part["n"] == 13).any():
+                raise ValueError("thirteen")
+            return pd.DataFrame({"a": part["n"] * 10})
+
+        return first
+
+    def closed():
+        raise MemoryError("none")
+
+    stages = [Stage(lambda p: p["n"] % 2 == 1, open_first, "a long"), Stage(lambda p: p["a"].notna(), lambda: lambda p: pd.DataFrame({"b": p["a"] + 1}), "b long"), Stage(lambda p: p["n"] == 2, closed, "c string")]
+    rows = spark.createDataFrame([(n, None if n == 4 else "x") for n in range(6)], "n long, t string")
+    got = sorted(map(tuple, with_stages(rows.coalesce(1), stages).collect()))
+    assert got == [(n, None if n == 4 else "x", n * 10 if n % 2 else None, n * 10 + 1 if n % 2 else None, None, "stage 2: MemoryError: none" if n == 2 else None) for n in range(6)]
+    bad = with_stages(spark.createDataFrame([(13, "x"), (2, "y")], "n long, t string").coalesce(1), stages[:2]).collect()
+    assert sorted((r["n"], r["a"], r["stage_error"]) for r in bad) == [(2, None, None), (13, None, "stage 0: ValueError: thirteen")]
+    assert with_stages(rows.limit(0), stages).count() == 0
