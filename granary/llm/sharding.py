@@ -77,6 +77,8 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
 
     The directory has an entry for each prefix of a common depth, with the shards that begin under it: one, or a chain
     of deeper ones. A row looks up its entry and takes the last shard of the chain that begins at or before its hash.
+    Rows that repeat id and text share a hash: where they are split further, they have a directory of their own by the
+    bits of their numbers, so that they neither meet in one task nor carry a long chain.
     """
     added = ("shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows")
     docs = docs.drop(*added)
@@ -88,16 +90,29 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     deepest, count = facts.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count("*")).first()
     depth = min(62, deepest, 4 + max(0, math.ceil(math.log2(max(1, count)))))
     facts = facts.select("l1", "l2", "shard", F.col("depth").alias("shard_bits"), F.substr(F.concat(*(F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 62, "0") for c in ("l1", "l2"))), F.lit(1), F.col("depth")).alias("shard_prefix"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    flat, repeats = facts.filter("shard_bits <= 62"), facts.filter("shard_bits > 62")
     first = F.shiftrightunsigned("l1", 62 - depth)
-    entries = facts.withColumn("entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {depth} - shard_bits))") - 1)))
-    chain = F.array_sort(F.collect_list(F.struct("l1", "l2", *added)))
-    directory = entries.groupBy("entry").agg(chain.alias("chain"))
-    if depth <= 18:  # 2 ** 18 entries at most
-        directory = F.broadcast(directory)
-    found = keyed.withColumn("entry", F.shiftrightunsigned("h1", 62 - depth)).join(directory, "entry")
+    entries = flat.withColumn("entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {depth} - shard_bits))") - 1)))
+    chain = F.array_sort(F.collect_list(F.struct("l1", "l2", *added)))  # as long as hashes happen to crowd
+    directory = bounded_broadcast(entries.groupBy("entry").agg(chain.alias("chain")), 1 << depth)
+    if deepest > 62:
+        hot = repeats.groupBy(F.col("l1").alias("h1")).agg((F.max("shard_bits") - 62).alias("bits"))
+        groups = hot.count()
+        hot = bounded_broadcast(hot, groups)
+        own = repeats.join(hot.withColumnRenamed("h1", "l1"), "l1").withColumn("low", F.expr("shiftrightunsigned(l2, 62 - bits)"))
+        own = own.withColumn("low", F.explode(F.expr("sequence(low, low + shiftleft(1L, bits - (shard_bits - 62)) - 1)"))).select(F.col("l1").alias("h1"), "low", F.struct("l1", "l2", *added).alias("at"))
+        crowded = keyed.join(hot, "h1").withColumn("low", F.expr("shiftrightunsigned(h2, 62 - bits)")).join(own, ["h1", "low"])
+        keyed = keyed.join(hot, "h1", "left_anti")
     begun = F.filter("chain", lambda x: (x["l1"] < F.col("h1")) | ((x["l1"] == F.col("h1")) & (x["l2"] <= F.col("h2"))))
-    found = found.withColumn("at", F.element_at(begun, -1))
-    return found.select(*(f"c{i}" for i in range(len(docs.columns))), *(F.col("at")[c] for c in added)).toDF(*docs.columns, *added)
+    found = keyed.withColumn("entry", F.shiftrightunsigned("h1", 62 - depth)).join(directory, "entry").withColumn("at", F.element_at(begun, -1))
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "at"]
+    found = found.select(*names).unionByName(crowded.select(*names)) if deepest > 62 else found
+    return found.select(*names[:-1], *(F.col("at")[c] for c in added)).toDF(*docs.columns, *added)
+
+
+def bounded_broadcast(rows: DataFrame, size: int) -> DataFrame:
+    """rows, to be broadcast if they are 2 ** 18 at most."""
+    return F.broadcast(rows) if size <= 1 << 18 else rows
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

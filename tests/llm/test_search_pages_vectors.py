@@ -203,3 +203,31 @@ def test_contamination_in_blocks(spark, monkeypatch):
     one = sorted(map(str, decontaminate.find_contamination(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
     assert sorted(map(str, decontaminate.find_contamination(docs, items).collect())) == one and "longest_item='1', longest_start=1" in "".join(one)
+
+
+# Sharding
+
+
+def test_sharding_of_hot_repeats(spark):
+    """10,000 rows of one id and text beside others, and a smaller such group: limits, prefixes and hashes hold for all."""
+    from pyspark.sql import functions as F
+
+    from granary.llm.sharding import assign_shards
+
+    text = "same text " * 10
+    rows = [(1, text)] * 10_000 + [(2, "other " * 30)] * 300 + [(k, f"text {k} " * 9) for k in range(10, 900)] + [(None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = assign_shards(docs, limit=2000).persist()
+    assert out.count() == len(rows) and out.select("doc_id", "text").exceptAll(docs).isEmpty()
+    sums = out.groupBy("shard", "shard_bits", "shard_prefix", "shard_bytes", "shard_rows").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count("*").alias("n")).collect()
+    assert all(r["bytes"] == r["shard_bytes"] <= 2000 and r["n"] == r["shard_rows"] and len(r["shard_prefix"]) == r["shard_bits"] for r in sums)
+    assert sorted(r["shard"] for r in sums) == list(range(len(sums))) and [r["shard_prefix"] for r in sorted(sums, key=lambda r: r["shard"])] == sorted(r["shard_prefix"] for r in sums)
+    prefixes = {r["shard_prefix"]: r["shard_bytes"] for r in sums}
+    for p, size in prefixes.items():  # only oversized buckets split: a bucket and its sibling together were over the limit
+        sibling = p[:-1] + "10"[int(p[-1])]
+        assert sum(v for q, v in prefixes.items() if q.startswith(p[:-1])) > 2000 or not any(q.startswith(sibling) for q in prefixes)
+    hashed = out.filter("shard_bits <= 62").withColumn("h", F.lpad(F.conv(F.xxhash64(F.lit(11), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).cast("string"), 10, 2), 62, "0"))
+    assert hashed.filter(~F.col("h").startswith(F.col("shard_prefix"))).isEmpty() and hashed.count() > 800
+    deep = out.filter("shard_bits > 62").groupBy("doc_id").agg(F.count_distinct(F.left("shard_prefix", F.lit(62))).alias("n"), F.count_distinct("shard").alias("shards"))
+    assert {(r["doc_id"], r["n"]) for r in deep.collect()} == {(1, 1), (2, 1)} and deep.filter("shards > 20").count() == 2
+    out.unpersist()
