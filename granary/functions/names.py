@@ -45,8 +45,10 @@ def unique_names(rows: DataFrame, key: str, name: str, path: str) -> DataFrame:
     """rows with `file`: the name, or for all but the first path of a name (without case) its stem, ten digits of the
     path's SHA-256 and suffix, and a counter where even that repeats."""
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)
-    same = Window.partitionBy(F.lower(name)).orderBy(path, key)
-    rows = rows.withColumn("_place", F.row_number().over(same)).withColumn("_digest", F.left(F.sha2(F.col(path).cast("binary"), 256), F.lit(10)))
-    again = F.row_number().over(Window.partitionBy(F.lower(name), "_digest", F.col("_place") > 1).orderBy(path, key))
+    rows, own = rows.withColumn("_name", F.lower(name)), F.struct(F.col(path).alias("p"), F.col(key).alias("k"))
+    # A name that stands everywhere is one row here; only rows of such names by other paths are ranked, by their digests.
+    first = rows.groupBy("_name").agg(F.min(own).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    rows = rows.join(first, "_name", "left").withColumn("_other", F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(own)).withColumn("_digest", F.left(F.sha2(F.col(path).cast("binary"), 256), F.lit(10)))
+    again = F.row_number().over(Window.partitionBy("_name", "_digest", "_other").orderBy(path, key))
     counter = F.when(again > 1, F.concat(F.lit("_"), again.cast("string"))).otherwise("")
-    return rows.withColumn("file", F.when(F.col("_place") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_digest"), counter, suffix))).drop("_place", "_digest")
+    return rows.withColumn("file", F.when(F.col("_other"), F.concat(stem, F.lit("_"), F.col("_digest"), counter, suffix)).otherwise(F.col(name))).drop("_name", "_first", "_other", "_digest")
