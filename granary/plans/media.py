@@ -20,8 +20,8 @@ from granary.streaming.windows import first_seen, read_frames, window_counts
 NO_BODY = "struct<box:struct<x1:double,y1:double,x2:double,y2:double>,confidence:double,points:array<struct<x:double,y:double,kind:string,reach:double>>,bones:array<struct<ax:double,ay:double,bx:double,by:double>>>"
 
 
-def _crops(spark, sf_dir) -> DataFrame:
-    """The crop plans of all images of 1600 by 1400: target, other boxes, a body in every third one, tight in every fifth."""
+def _crop_rows(spark, sf_dir) -> DataFrame:
+    """All images, of 1600 by 1400: target, other boxes, a body in every third one, tight in every fifth."""
     d = detections(spark, sf_dir)
     both = d.join(_targets(d), "image")
     other = F.struct("det", "part", "supp") != F.struct("t.det", "t.part", "t.supp")
@@ -29,11 +29,14 @@ def _crops(spark, sf_dir) -> DataFrame:
     t = F.col("t.box")
     body = F.struct(boxes.box(t["x1"] - 60, t["y1"] - 40, t["x2"] + 60, t["y2"] + 420).alias("box"), F.lit(0.9).alias("confidence"), F.array().cast("array<struct<x:double,y:double,kind:string,reach:double>>").alias("points"), F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>").alias("bones"))
     scale = signals.scale_bin((t["x2"] - t["x1"]) / 800)
-    rows = rows.select(
+    return rows.select(
         "image", F.lit(1600).alias("width"), F.lit(1400).alias("height"), F.when(F.col("image") % 97 != 0, t).alias("target"), "others", F.lit(None).cast(crops.BOX).alias("semantic"),
         F.when(F.col("image") % 3 == 0, body).cast(NO_BODY).alias("body"), scale.alias("scale_bin"), (scale == "far").alias("body_focused"), F.when(F.col("image") % 5 == 0, "tight").otherwise("standard").alias("mode"),
     )
-    return crops.prepare_dataset(rows)
+
+
+def _crops(spark, sf_dir) -> DataFrame:
+    return crops.prepare_dataset(_crop_rows(spark, sf_dir))
 
 
 def q_crop_plan(spark, sf_dir):
