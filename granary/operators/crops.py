@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.boxes import area, box, expand, intersection, intersects
 from granary.functions.signals import training_focus
+from granary.sources.folders import written
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 #: Growth factors of body-aware crops, least share of area a crop must save, least confidence of a body.
@@ -322,6 +323,25 @@ def prepare_dataset(rows: DataFrame, least: int = 512, most: int = 1024, confide
     return rows.withColumns(made).drop("_plan", "_bounds", "_crop", "_fit")
 
 
+#: What prepare_dataset adds to rows.
+PLANNED = ("skip", "strategy", "safety", "reasons", "crop", "bucket", "excluded", "focus")
+
+
+def retry_tight(planned: DataFrame, least: int = 512, most: int = 1024) -> DataFrame:
+    """The rows of prepare_dataset with `retried`: rows that got no crop are planned once more, tight around the target.
+
+    What then succeeds takes its own place again, rank and all; what doesn't keeps the reason of the first plan. Rows
+    that were tight already, or have no target, aren't tried again. Nothing is shuffled; the first plans are written
+    once, so that the second ones don't work them out anew.
+    """
+    planned = written(planned)
+    again = F.col("skip").isNotNull() & (F.col("mode") != "tight") & F.col("target").isNotNull()
+    kept = planned.filter(~again).withColumn("retried", F.lit(False))
+    tight = planned.filter(again).withColumns({"_skip": F.col("skip"), "_mode": F.col("mode"), "mode": F.lit("tight")}).drop(*PLANNED)
+    tight = prepare_dataset(tight, least, most).withColumns({"retried": F.col("skip").isNull(), "mode": F.when(F.col("skip").isNull(), "tight").otherwise(F.col("_mode")), "skip": F.when(F.col("skip").isNotNull(), F.col("_skip"))})
+    return kept.unionByName(tight.drop("_skip", "_mode"))
+
+
 def focused_start(total: Column, size: Column, low: Column, high: Column) -> Column:
     """Where a crop of a size begins so that it holds the range from low to high, or stands in its middle."""
     middle = F.bround((low + high - size) / 2)

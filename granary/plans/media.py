@@ -44,6 +44,11 @@ def q_crop_plan(spark, sf_dir):
     return _crops(spark, sf_dir).select("image", "skip", "strategy", "safety", "reasons", "bucket", "crop.x1", "crop.y1", "crop.x2", "crop.y2", "focus", "excluded")
 
 
+def q_tight_retry(spark, sf_dir):
+    """The crops of all images, those without one planned again tight around the target."""
+    return crops.retry_tight(_crops(spark, sf_dir)).select("image", "skip", "strategy", "bucket", "crop.x1", "crop.y1", "crop.x2", "crop.y2", "retried")
+
+
 def q_crop_skips(spark, sf_dir):
     """How many images each reason leaves without a crop, and how many each strategy serves."""
     c = _crops(spark, sf_dir)

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/curation/{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """rows, written to a shared folder and read back: what follows plans from there, and lost executors lose none of it."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def files_of(spark: SparkSession, path: str):
     """The file system of a path, and the path in it."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -106,13 +106,13 @@ def fit(crop, bounds, required):
     return best[-2:] if best else (None, None)
 
 
-def prepared(r):
+def prepared(r, mode=None):
     w, h, t, others = r["width"], r["height"], r["target"] and tuple(r["target"]), [tuple(o) for o in r["others"]]
     tail = (len(others), "body" if r["body_focused"] else "identity")
     if t is None:
         return ("unreadable_or_missing_target", None, None, None, None, None, *tail)
     scale = "medium" if others and r["scale_bin"] == "far" else r["scale_bin"]
-    if r["mode"] == "tight":
+    if (mode or r["mode"]) == "tight":
         box, strategy, safety, reasons = recommended(w, h, t, "close"), "identity_tight", "safe", ["identity_only"]
     else:
         box, strategy, safety, reasons = body_aware(w, h, t, scale, r["body"] and tuple(r["body"]["box"]))
@@ -144,3 +144,14 @@ def test_safe_bounds_of_all_images(spark):
     rows = {r["image"]: plain(r) for r in media._crop_rows(spark, DATA).collect() if r["target"]}
     got = {r["image"]: None if r["x1"] is None else (r["x1"], r["y1"], r["x2"], r["y2"]) for r in queries.q_safe_bounds(spark, DATA).collect()}
     assert {k: v for k, v in got.items() if k in rows} == rows and None in rows.values() and len(rows) > 1000
+
+
+def test_tight_retry_of_all_images(spark):
+    want = {}
+    for r in media._crop_rows(spark, DATA).collect():
+        first, again = prepared(r), prepared(r, "tight")
+        retried = first[0] is not None and r["mode"] != "tight" and r["target"] is not None and again[0] is None
+        x = again if retried else first
+        want[r["image"]] = (x[0], x[1], x[4], x[5], retried)
+    got = {r["image"]: (r["skip"], r["strategy"], r["bucket"], None if r["x1"] is None else (r["x1"], r["y1"], r["x2"], r["y2"]), r["retried"]) for r in media.q_tight_retry(spark, DATA).collect()}
+    assert got == want and any(x[4] for x in want.values()) and any(x[0] for x in want.values())

@@ -1,11 +1,13 @@
 """Sinks: all files or none, manifests with holes, comparisons in order."""
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from granary.sources import reports
+from granary.sources.models import ModelSpec, model_manifest, registry
 from granary.sources.sidecars import read_sidecars, write_sidecars
 
 
@@ -55,3 +57,19 @@ def test_crops_and_comparisons(spark, tmp_path):
     parts = sorted(p for p in os.listdir(tmp_path / "comparison") if p.endswith(".csv"))
     lines = [x for p in parts for x in (tmp_path / "comparison" / p).read_text().split()[1:]]
     assert lines == ["a,1", "B,9", "b,2", "c,3"] and spark.read.json(f"{tmp_path}/summary").first()["n"] == 3
+
+
+def test_models(spark, tmp_path):
+    """Registered files that are there, changed, missing, or stand twice."""
+    for name, content in (("a/detect.bin", b"one"), ("a/embed.bin", b"two"), ("b/embed.bin", b"three"), ("other.bin", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    table = registry(spark, [ModelSpec("small", "detect", "detect.bin", sha(b"one")), ModelSpec("small", "embed", "embed.bin", sha(b"two"), "int8"), ModelSpec("small", "parse", "parse.bin", sha(b"z")), ModelSpec("large", "detect", "other.bin", None, licence="MIT")])
+    got = sorted((r["role"], r["status"], r["bytes"]) for r in model_manifest(spark, str(tmp_path), table, "small").collect())
+    assert got == [("detect", "ok", 3), ("embed", "corrupt", 5), ("embed", "ok", 3), ("parse", "missing", None)]
+    assert [tuple(r)[:4] for r in model_manifest(spark, str(tmp_path), table, "large").collect()] == [("detect", "other.bin", "fp32", "MIT")]
+    with pytest.raises(ValueError, match="profile"):
+        model_manifest(spark, str(tmp_path), table, "none")
+    with pytest.raises(ValueError, match="two models"):
+        registry(spark, [ModelSpec("p", "r", "a"), ModelSpec("p", "r", "b")])
