@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import cleared, shared_dir
+from granary.llm.common import cleared, limit_batches, shared_dir, small_batches
 from granary.llm.decontaminate import remove_contaminated
 from granary.llm.mixing import cyclic_weights, mix_sources
 from granary.llm.near_dup import keep_one_of_each
@@ -17,6 +17,7 @@ from granary.llm.sharding import assign_shards
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go: low quality or toxic ones."""
+    limit_batches(spark)  # for the session: whole texts pass through Python when the caller writes what this gives
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    limit_batches(spark)
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -56,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name.replace(' ', '-')}"
-        with cleared(spark):
+        with cleared(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
