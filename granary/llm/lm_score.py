@@ -30,6 +30,8 @@ MIXES = np.arange(1, 20) / 20
 HEAD_WORDS, CACHE_WORDS = 1 << 17, 1 << 20
 #: Windows whose arrays are held together, so that they stay in a core's cache; windows that wait for training at most.
 TOGETHER, TRAINED = 64, 1 << 13
+#: Exponents up to this size are raised as they are, larger ones less the largest of their row.
+TALLEST = 60
 
 
 class Subwords:
@@ -39,19 +41,22 @@ class Subwords:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encode = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("words", pat_str=r" [^ \n]*|\n", mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.edge = table[b"\n"]
         self.clear()
 
     def clear(self) -> None:
         self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
+        """All words are encoded in one call, a line each: no word holds a line's end, so that its id parts them."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        coded = [self.encode(" " + t) for t in texts]
-        size = np.array([len(x) for x in coded], np.int64)
-        ids = np.fromiter((i for x in coded for i in x), np.int32, int(size.sum()))
+        ids = np.array(self.encode("".join(" " + t + "\n" for t in b"\n".join(texts).decode("utf-8", "replace").split("\n"))), np.int32)
+        edges = np.flatnonzero(ids == self.edge)
+        size = np.diff(edges, prepend=-1) - 1
+        ids = ids[ids != self.edge]
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -71,7 +76,7 @@ class Subwords:
             if len(self.known) > CACHE_WORDS:
                 self.clear()
                 new[:] = True
-            self.learn(unique[new], [words.text(i).decode("utf-8", "replace") for i in at[new].tolist()])
+            self.learn(unique[new], words.texts(at[new]))
         return np.searchsorted(self.known, unique), inverse
 
     def counts(self, words: Words, hashes: np.ndarray) -> np.ndarray:
@@ -99,6 +104,12 @@ class Subwords:
         return out, begin
 
 
+def with_one(flat: np.ndarray) -> np.ndarray:
+    out = np.ones((len(flat), WIDTH + 1), flat.dtype)
+    out[:, :-1] = flat
+    return out
+
+
 @dataclass
 class Attention:
     """One head over classes: next-class logits from a window of embedded classes and places."""
@@ -111,50 +122,55 @@ class Attention:
         shape = {"e": (CLASSES, WIDTH), "p": (SEEN, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}
         return Attention({k: rng.normal(0, 0.2 if k != "b" else 0, s).astype(np.float32) for k, s in shape.items()})
 
-    MASK = np.where(np.tril(np.ones((SEEN, SEEN), bool)), 0, -1e9).astype(np.float32)
+    MASK = np.tril(np.ones((SEEN, SEEN), np.float32))
 
     def hidden(self, x: np.ndarray):
         w = self.weights
-        h = w["e"][x] + w["p"]
-        q, k, v = np.split((h.reshape(-1, WIDTH) @ w["qkv"]).reshape(*x.shape, 3 * WIDTH), 3, -1)
+        h = w["e"][x]
+        h += w["p"]
+        q, k, v = np.ascontiguousarray((h.reshape(-1, WIDTH) @ w["qkv"]).reshape(*x.shape, 3, WIDTH).transpose(2, 0, 1, 3))
+        q *= np.float32(WIDTH**-0.5)
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
-        a += self.MASK
-        a -= a.max(-1, keepdims=True)
+        if not max(a.max(), -a.min()) < TALLEST:
+            a -= np.where(self.MASK > 0, a, -np.inf).max(-1, keepdims=True)
+            np.minimum(a, 0, out=a)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        return h, q, k, v, a, h + a @ v
+        a *= self.MASK
+        a /= (a.reshape(-1, SEEN) @ np.ones(SEEN, a.dtype)).reshape(*x.shape, 1)
+        o = a @ v
+        o += h
+        return h, q, k, v, a, o
 
     def chances(self, x: np.ndarray, from_: int, target: np.ndarray) -> np.ndarray:
         """The probability of each target class at the window places from `from_` on."""
-        out, total = self.masses(self.hidden(x)[-1][:, from_:].reshape(-1, WIDTH))
-        return out[np.arange(len(out)), target.ravel()] / total
+        out, total = self.masses(with_one(self.hidden(x)[-1][:, from_:].reshape(-1, WIDTH)))
+        return out.ravel()[np.arange(len(out)) * CLASSES + target.ravel()] / total
 
     def masses(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What is in proportion to the probability of each class, and its sum; flat holds hidden rows."""
-        out = flat @ self.weights["u"]
-        out += self.weights["b"]
-        out -= out.max(1, keepdims=True)
+        """What is in proportion to the probability of each class, and its sum; flat holds hidden rows and a one for each."""
+        out = flat @ np.concatenate([self.weights["u"], self.weights["b"][None]])
+        if not max(out.max(), -out.min()) < TALLEST:
+            out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
-        return out, out @ np.ones(CLASSES, np.float32)
+        return out, out @ np.ones(CLASSES, out.dtype)
 
     def slopes(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict]:
         """The probability of each target, and the slopes of the weighted loss, by causal attention backwards."""
         w = self.weights
         h, q, k, v, a, o = self.hidden(x)
-        flat = o.reshape(-1, WIDTH)
+        flat = with_one(o.reshape(-1, WIDTH))
         p, total = self.masses(flat)
-        spot = np.arange(len(p)), target.ravel()
-        said = (p[spot] / total).reshape(target.shape)
+        spot, each = np.arange(len(p)) * CLASSES + target.ravel(), p.reshape(-1)
+        said = (each[spot] / total).reshape(target.shape)
         p *= (weight / total)[:, None]
-        p[spot] -= weight
-        g = {"u": flat.T @ p, "b": np.ones(len(p), np.float32) @ p}
+        each[spot] -= weight
+        out = flat.T @ p
+        g = {"u": out[:-1], "b": out[-1]}
         do = (p @ w["u"].T).reshape(o.shape)
         da = do @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(-1, keepdims=True)
+        da -= (do * (o - h)).sum(-1, keepdims=True)
         da *= a
-        da *= np.float32(WIDTH**-0.5)
-        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1).reshape(-1, 3 * WIDTH)
+        dqkv = np.concatenate([da @ k * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1).reshape(-1, 3 * WIDTH)
         g["qkv"] = h.reshape(-1, WIDTH).T @ dqkv
         dh = do + (dqkv @ w["qkv"].T).reshape(h.shape)
         g["p"] = dh.sum(0)
@@ -286,6 +302,14 @@ def neighbours(pairs: np.ndarray, unigram: np.ndarray) -> np.ndarray:
     return (pairs + 20 * unigram) / (pairs.sum(1, keepdims=True) + 20)
 
 
+def mixed_logs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each share in MIXES the sum of logarithms of the mixed probabilities, which are multiplied by sixteens before."""
+    both = np.ones((len(MIXES), -(-len(p) // 16) * 16))
+    np.multiply(MIXES[:, None], p - q, out=both[:, : len(p)])
+    both[:, : len(p)] += q
+    return np.log(np.multiply.reduce(both.reshape(len(MIXES), 16, -1), axis=1)).sum(1)
+
+
 def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention, unigram: np.ndarray):
     """What a task's training documents give: word counts, and one row with counts of neighbours, weights trained on all
     windows, and the likelihood of each share in MIXES, every window judged before the task learns from it."""
@@ -306,7 +330,7 @@ def gather(batches, ranks: bytes, classes: np.ndarray, start: Attention, unigram
         while len(x) - lo >= least:
             own = slice(lo, lo + BATCH)
             said = model.step(x[own], target[own], live[own], grown, RATE / 4)[live[own]]
-            gains[:] += np.log(MIXES[:, None] * said + (1 - MIXES[:, None]) * after[x[own], target[own]][live[own]]).sum(1)
+            gains[:] += mixed_logs(said, after[x[own], target[own]][live[own]])
             trained += int(live[own].sum())
             lo += BATCH
         pending = [(x[lo:], target[lo:], live[lo:])]
